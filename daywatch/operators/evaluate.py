@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from daywatch.operators.iforest import IsolationForestModel
+from daywatch.operators.iforest import IsolationForestModel, spread
 from daywatch.operators.ranking import exact_quantiles, running_totals
 from daywatch.params import Params
 
@@ -189,18 +189,26 @@ def score_range(scored: DataFrame, score: str = "risk_score") -> DataFrame:
                       F.max(score).alias("max"))
 
 
-def describe(df: DataFrame, measures: list[str], quartiles: bool = True) -> DataFrame:
+def long_form(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., measure, value) rows."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                      for m in measures])
+    return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
+
+
+def describe(df: DataFrame, measures: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max per measure (long form)."""
-    aggs = [f(F.col(m).cast("double")).alias(f"{k}_{m}") for m in measures for k, f in (
-        ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
-    q = exact_quantiles(df, measures, [0.25, 0.5, 0.75]) if quartiles else {}
-    rows = F.array(*[F.struct(
-        F.lit(m).alias("measure"),
-        *[F.col(f"{k}_{m}").alias(k) for k in ("n", "mean", "std", "min", "max")],
-        *[F.lit(q[(m, x)]).cast("double").alias(n) for x, n in (
-            (0.25, "p25"), (0.5, "p50"), (0.75, "p75")) if quartiles])
-        for m in measures])
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+    x = F.col("value")
+    stats = long_form(df, measures, []).groupBy("measure").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_quantiles(df, measures, [0.25, 0.5, 0.75])
+
+    def at(prob):
+        return F.create_map(*[v for m in measures for v in (
+            F.lit(m), F.lit(q[(m, prob)]).cast("double"))])[F.col("measure")]
+
+    return stats.withColumns({"p25": at(0.25), "p50": at(0.5), "p75": at(0.75)})
 
 
 def correlation(df: DataFrame, measures: list[str]) -> DataFrame:
@@ -222,13 +230,6 @@ def feature_correlation(features: DataFrame, names: tuple[str, ...]) -> DataFram
                                          for i, n in enumerate(names)]), list(names))
 
 
-def long_form(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., measure, value) rows."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                      for m in measures])
-    return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.*")
-
-
 def trim_outliers(df: DataFrame, measures: list[str]) -> DataFrame:
     """Long form without values above twice the normals' 99 % quantile."""
     normal = df.filter(~F.col("is_insider"))
@@ -266,7 +267,7 @@ def density_histogram(rows: DataFrame, groups: list[str], bins: Column) -> DataF
 
 def permutation_importance(features: DataFrame, model: IsolationForestModel,
                            names: tuple[str, ...], p: Params = Params(),
-                           group_rows: int = 4096) -> DataFrame:
+                           group_rows: int = 512) -> DataFrame:
     """Mean absolute score change when one feature is shuffled, per feature.
 
     Rows fall into groups by a hash of their key; each column is permuted within
@@ -296,7 +297,8 @@ def permutation_importance(features: DataFrame, model: IsolationForestModel,
         return pd.DataFrame({"position": range(x.shape[1]), "total": sums, "n": len(x)})
 
     bucket = F.pmod(F.xxhash64("user", "day", F.lit(p.seed)), F.lit(groups)).alias("g")
-    parts = (features.select(bucket, "user", "day", "features").groupBy("g")
+    grouped = spread(features.select(bucket, "user", "day", "features"), groups, "g")
+    parts = (grouped.groupBy("g")
              .applyInPandas(change, "position int, total double, n bigint"))
     label = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
     return parts.groupBy("position").agg(

@@ -81,19 +81,24 @@ def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
     """
     departments = index_departments(daily)
     raw = encode(daily if p.fit_on == "all" else training_rows(daily), departments)
-    first = raw.agg(*[f(n).alias(f"{k}_{n}") for n in NAMES
-                      for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    first = _moments(raw, [F.col(n) for n in NAMES])
     inf = float("inf")
-    low, high = [], []
-    for n in NAMES:
-        m, s = first[f"m_{n}"], first[f"s_{n}"]
-        low.append(m - p.winsor_sigmas * s if s else -inf)
-        high.append(m + p.winsor_sigmas * s if s else inf)
-    draft = FeaturePrep(NAMES, tuple(low), tuple(high), (), (), departments)
-    clipped = raw.select(*[c.alias(n) for n, c in zip(NAMES, draft.clipped(raw))])
-    second = clipped.agg(*[f(n).alias(f"{k}_{n}") for n in NAMES
-                           for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return FeaturePrep(
-        NAMES, tuple(low), tuple(high),
-        tuple(second[f"m_{n}"] or 0.0 for n in NAMES),
-        tuple(second[f"s_{n}"] or 1.0 for n in NAMES), departments)
+    low = tuple(m - p.winsor_sigmas * s if s else -inf for m, s, _ in first)
+    high = tuple(m + p.winsor_sigmas * s if s else inf for m, s, _ in first)
+    draft = FeaturePrep(NAMES, low, high, (), (), departments)
+    second = _moments(raw, draft.clipped(raw))
+    return FeaturePrep(NAMES, low, high, tuple(m or 0.0 for m, _, _ in second),
+                       tuple(s or 1.0 for _, _, s in second), departments)
+
+
+def _moments(df: DataFrame, cols: list) -> list[tuple]:
+    """(mean, sample std, population std) per column, nulls left out.
+
+    One short aggregate over (position, value) pairs; only partial aggregates
+    of a few groups are shuffled.
+    """
+    pairs = df.select(F.posexplode(F.array(*cols)).alias("i", "x"))
+    found = {r.i: (r.m, r.s, r.p) for r in pairs.groupBy("i").agg(
+        F.avg("x").alias("m"), F.stddev_samp("x").alias("s"),
+        F.stddev_pop("x").alias("p")).collect()}
+    return [found.get(i, (None, None, None)) for i in range(len(cols))]

@@ -61,43 +61,56 @@ def grow_tree(rows: np.ndarray, limit: int, rng: np.random.Generator) -> list[tu
 
 @dataclass(frozen=True)
 class Forest:
-    """All trees in flat arrays; a leaf points to itself."""
+    """All trees in flat arrays; a leaf is its own child."""
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    length: np.ndarray   # path length credited at the node
+    child: np.ndarray     # left child of node i at 2 i, right child at 2 i + 1
+    length: np.ndarray    # path length credited at the node
     depth: int
     norm: float
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
+    def raw(self, x: np.ndarray, block: int = 256) -> np.ndarray:
         """Negated anomaly score per row, in (-1, 0): lower is more anomalous."""
-        at = np.broadcast_to(self.roots, (len(x), len(self.roots)))
-        row = np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            left = x[row, self.feature[at]] <= self.threshold[at]
-            at = np.where(left, self.left[at], self.right[at])
-        return -np.exp2(-self.length[at].mean(axis=1) / self.norm)
+        out = np.empty(len(x))
+        for start in range(0, len(x), block):   # blocks that stay in cache
+            part = x[start:start + block]
+            flat = np.ascontiguousarray(part).ravel()
+            offset = (np.arange(len(part), dtype="int32") * x.shape[1])[:, None]
+            at = np.repeat(self.roots[None, :], len(part), axis=0)
+            for _ in range(self.depth):
+                right = flat.take(self.feature.take(at) + offset) > self.threshold.take(at)
+                at = self.child.take(2 * at + right)
+            out[start:start + block] = self.length.take(at).mean(axis=1)
+        return -np.exp2(-out / self.norm)
 
 
 def _flatten(nodes: pd.DataFrame, tree_rows: int) -> Forest:
     nodes = nodes.sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True)
-    first = nodes.groupby("tree_id", sort=True)["node_id"].transform("size")
-    starts = nodes.index[nodes["node_id"] == 0].to_numpy()
-    base = np.repeat(starts, first.iloc[starts].to_numpy())
-    leaf = nodes["feature"].to_numpy() < 0
+    roots = np.flatnonzero(nodes["node_id"].to_numpy() == 0)
+    base = np.repeat(roots, np.diff(np.append(roots, len(nodes))))
+    feature = nodes["feature"].to_numpy()
+    pairs = nodes[["left", "right"]].to_numpy() + base[:, None]
     return Forest(
-        roots=starts,
-        feature=np.where(leaf, 0, nodes["feature"].to_numpy()).astype("int32"),
+        roots=roots.astype("int32"),
+        feature=np.maximum(feature, 0).astype("int32"),
         threshold=nodes["threshold"].to_numpy("float64"),
-        left=(nodes["left"].to_numpy() + base).astype("int64"),
-        right=(nodes["right"].to_numpy() + base).astype("int64"),
+        child=pairs.ravel().astype("int32"),
         length=nodes["depth"].to_numpy() + path_norm(nodes["size"].to_numpy()),
         depth=int(nodes["depth"].max()),
         norm=float(path_norm(tree_rows)) or 1.0)
 
 
+def spread(df: DataFrame, groups: int, key: str) -> DataFrame:
+    """Partition by `key` for work that is heavy per row, not per byte.
+
+    AQE would merge such small partitions into one task; an explicit number of
+    partitions is left alone, and a group-by on `key` needs no further shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(groups, 4 * cores)), key)
+
+
 def draw_samples(train: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, int]:
     """`tree_rows` rows without replacement for every tree, as (tree_id, features).
 
@@ -121,7 +134,7 @@ def draw_samples(train: DataFrame, keys: list[str], p: Params) -> tuple[DataFram
                          F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree_id"))
              .filter(taken).withColumn("mark", mark))
     nth = F.row_number().over(W.partitionBy("tree_id").orderBy("mark", *keys))
-    return (drawn.withColumn("nth", nth).filter(F.col("nth") <= size)
+    return (spread(drawn, p.trees, "tree_id").withColumn("nth", nth).filter(F.col("nth") <= size)
             .select("tree_id", "nth", "features")), size
 
 

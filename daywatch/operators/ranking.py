@@ -85,12 +85,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     """
     clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")),
                                F.col(c).cast("double")).alias(c) for c in cols])
-    sizes = clean.agg(*[F.count(c).alias(c) for c in cols]).first()
-    if max(sizes) <= small:
-        row = clean.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c)
-                          for c in cols]).first()
-        return {(c, q): (row[c][i] if row[c] else None)
-                for c in cols for i, q in enumerate(probs)}
+    pairs = clean.select(F.posexplode(F.array(*cols)).alias("i", "v")).dropna(subset=["v"])
+    found = {r.i: r.n for r in pairs.groupBy("i").agg(F.count("v").alias("n")).collect()}
+    sizes = {c: found.get(i, 0) for i, c in enumerate(cols)}
+    if max(sizes.values()) <= small:
+        rows = pairs.groupBy("i").agg(
+            F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+        values = {cols[r.i]: r.q for r in rows}
+        return {(c, q): (values[c][k] if c in values else None)
+                for c in cols for k, q in enumerate(probs)}
 
     targets = {}
     for c in cols:
