@@ -57,7 +57,8 @@ def finite(col: Column) -> Column:
 
 
 def clip(col: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(col, F.lit(low)), F.lit(high))
+    # greatest and least skip nulls, so a null needs its own branch
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
 
 
 def ensemble(if_score: Column, ae_score: Column, p: Params) -> Column:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daywatch import schemas
 from daywatch.operators.alerts import generate_alerts
 from daywatch.operators.baseline import with_deviations
 from daywatch.operators.clean import clean_device, clean_email, clean_file, clean_logon
@@ -71,33 +70,26 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
     run_id = uuid.uuid4().hex
     out = f"{root}/{run_id}"
 
-    clean = {}
-    for name, cleaner in CLEANERS.items():
-        T.write_by_day(cleaner(logs[name], p), f"{out}/{name}_clean")
-        clean[name] = T.read_table(spark, f"{out}/{name}_clean")
-    T.write_table(logs["directory"], f"{out}/directory")
+    clean = {name: T.write_by_day(cleaner(logs[name], p), f"{out}/{name}_clean")
+             for name, cleaner in CLEANERS.items()}
+    directory = T.write_table(logs["directory"], f"{out}/directory")
 
     daily = daily_behaviour(clean["logon"], clean["file"], clean["device"], clean["email"],
-                            T.read_table(spark, f"{out}/directory"), p, spine)
-    T.write_by_day(with_deviations(daily, p), f"{out}/daily_behaviour")
-    daily = T.read_table(spark, f"{out}/daily_behaviour")
+                            directory, p, spine)
+    daily = T.write_by_day(with_deviations(daily, p), f"{out}/daily_behaviour")
     if daily.isEmpty():
         raise ValueError("no activity to aggregate")
 
     prep = fit_features(daily, p)
-    T.write_by_day(prep.transform(daily), f"{out}/features")
-    features = T.read_table(spark, f"{out}/features")
+    features = T.write_by_day(prep.transform(daily), f"{out}/features")
 
     models = fit_detectors(features, prep, p)
     models.save(spark, f"{out}/models")
-    T.write_by_day(models.score(features, p), f"{out}/scored")
-    scored = T.read_table(spark, f"{out}/scored")
+    scored = T.write_by_day(models.score(features, p), f"{out}/scored")
 
     newest = scored.agg(F.max("day")).first()[0]
-    T.write_table(user_risk(scored, p, as_of=newest), f"{out}/user_risk")
-    risk = T.read_table(spark, f"{out}/user_risk")
-    T.write_table(generate_alerts(scored, risk, p), f"{out}/alerts")
-    alerts = T.read_table(spark, f"{out}/alerts", schemas.ALERTS)
+    risk = T.write_table(user_risk(scored, p, as_of=newest), f"{out}/user_risk")
+    alerts = T.write_table(generate_alerts(scored, risk, p), f"{out}/alerts")
 
     T.write_json(T.run_summary(risk, alerts), f"{out}/summary")
     T.publish(spark, root, run_id)

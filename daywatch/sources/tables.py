@@ -14,26 +14,29 @@ from daywatch.sources.logs import path_missing
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """A Parquet table; with `schema`, an absent path is a typed empty table."""
+    """A Parquet table; with `schema`, an absent or empty path is a typed empty table."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as e:
         if schema is None or not path_missing(e):
             raise
         return spark.createDataFrame([], schema)
 
 
-def write_by_day(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by day.
+def write_by_day(df: DataFrame, path: str) -> DataFrame:
+    """Parquet partitioned by day; returns the written table.
 
     The rebalance hint lets AQE merge small days into few files and split a day
     too large for one task.
     """
     df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def write_table(df: DataFrame, path: str) -> DataFrame:
     df.hint("rebalance").write.mode("overwrite").parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
 
 
 def run_summary(user_risk: DataFrame, alerts: DataFrame) -> DataFrame:
