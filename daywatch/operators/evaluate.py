@@ -27,7 +27,8 @@ def complete_labels(threats: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def user_scores(scored: DataFrame, score: str = "risk_score") -> DataFrame:
-    return scored.groupBy("user").agg(F.avg(score).alias("score"))
+    # rounding drops the noise of summation order: equal means are equal scores
+    return scored.groupBy("user").agg(F.round(F.avg(score), 9).alias("score"))
 
 
 def label_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ CTES |= {
         AS avg_risk, round(max(max_risk_score), 2) AS max_risk,
         count(*) FILTER (risk_tier = 'CRITICAL') AS critical_count,
         count(*) FILTER (risk_tier = 'HIGH') AS high_count FROM risk GROUP BY department""",
-    "labelled": """SELECT "user", score, is_insider FROM (SELECT "user", avg(risk_score) AS score
+    "labelled": """SELECT "user", score, is_insider FROM (SELECT "user", round(avg(risk_score), 9) AS score
         FROM scored GROUP BY "user") JOIN (SELECT DISTINCT user_id, is_insider FROM truth)
         ON user_id = "user\"""",
     "sizes": """SELECT count(*) FILTER (is_insider) AS p, count(*) FILTER (NOT is_insider) AS n
@@ -280,10 +280,9 @@ TRIMMED = ("SELECT measure, is_insider, round(value, 6) AS value FROM ("
            + ") WHERE NOT is_insider GROUP BY measure) c USING (measure) "
              "WHERE value <= cut * 2")
 
-SCORES = _r("risk_score if_score ae_score", 2)
-ALERT_COLS = ("timestamp, user_id, department, round(risk_score, 4) AS risk_score, risk_tier, "
+ALERT_COLS = ("timestamp, user_id, department, round(risk_score, 6) AS risk_score, risk_tier, "
               "if_score, ae_score, alert_type, status, message, color")
-RISK_COLS = ('"user", max_risk_score, round(avg_risk_score, 4) AS avg_risk_score, '
+RISK_COLS = ('"user", max_risk_score, round(avg_risk_score, 6) AS avg_risk_score, '
              "high_risk_days, medium_risk_days, latest_score, latest_day::varchar AS latest_day, "
              "total_days_active, department, risk_tier, trend")
 LOG_COLS = f'id, {_stamp("date")} AS date, "user", pc, activity, hour, day::varchar AS day'
@@ -295,16 +294,17 @@ BODIES = {
     "clean_email_events": f"""SELECT {LOG_COLS}, "to", "from", attachments, size, content,
         is_external FROM email""",
     "session_list": """SELECT "user", day::varchar AS day,
-        round(session_minutes, 6) AS session_minutes FROM sess""",
+        round(session_minutes, 3) AS session_minutes FROM sess""",
     "daily_logon": f"""SELECT "user", day::varchar AS day, login_count,
         {_r('login_hour_mean login_hour_std', 6)}, after_hours_logins, unique_pcs FROM d_logon""",
-    "daily_session": f"""SELECT "user", day::varchar AS day, {_r('session_duration_total', 6)},
+    "daily_session": f"""SELECT "user", day::varchar AS day, {_r('session_duration_total', 3)},
         session_count FROM d_session""",
     "daily_file": 'SELECT * REPLACE (day::varchar AS day) FROM d_file',
     "daily_device": 'SELECT * REPLACE (day::varchar AS day) FROM d_device',
     "daily_email": 'SELECT * REPLACE (day::varchar AS day) FROM d_email',
     "rolling_deviation": f"""SELECT "user", day::varchar AS day,
-        {', '.join(f'round({m}_deviation, 6) AS {m}_deviation' for m in BASELINE_MEASURES)}
+        {', '.join(f'round({m}_deviation, {3 if m == "session_duration_total" else 6}) '
+                   f'AS {m}_deviation' for m in BASELINE_MEASURES)}
         FROM matrix""",
     "training_set": """SELECT "user", day::varchar AS day, department, login_count
         FROM daily WHERE is_weekend = 0""",
@@ -322,7 +322,7 @@ BODIES = {
         WHERE status NOT IN ('OPEN', 'IN_PROGRESS', 'RESOLVED')
         OR alert_id NOT IN (SELECT alert_id FROM alerts)""",
     "kpis": "SELECT * FROM kpi",
-    "week_over_week": """SELECT round(last7, 4) AS last7, round(prev7, 4) AS prev7,
+    "week_over_week": """SELECT round(last7, 6) AS last7, round(prev7, 6) AS prev7,
         CASE WHEN prev7 > 0 THEN round((last7 - prev7) / prev7 * 100, 1) ELSE 0 END
         AS risk_trend_pct FROM wow""",
     "threat_level": """SELECT CASE WHEN critical_users > 0 THEN 'CRITICAL'
@@ -341,11 +341,11 @@ BODIES = {
         OR lower(name) LIKE '%bui%' OR lower(department) LIKE '%bui%')""",
     "watchlist_summary": """SELECT count(*) AS total,
         count(*) FILTER (risk_tier = 'CRITICAL') AS critical,
-        count(*) FILTER (risk_tier = 'HIGH') AS high, round(avg(avg_risk_score), 4) AS avg
+        count(*) FILTER (risk_tier = 'HIGH') AS high, round(avg(avg_risk_score), 6) AS avg
         FROM people""",
     "dossier_daily": """SELECT "user", day::varchar AS day, department, if_score, ae_score,
         risk_score, risk_tier FROM scored WHERE "user" IN (SELECT "user" FROM risk)""",
-    "dossier_alerts_top20": """SELECT user_id, nth, alert_id, round(risk_score, 4) AS risk_score
+    "dossier_alerts_top20": """SELECT user_id, nth, alert_id, round(risk_score, 6) AS risk_score
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY risk_score DESC, alert_id) AS nth FROM alerts) WHERE nth <= 20""",
     "dossier_overview": """SELECT "user", name, days, first_day, first_score,
@@ -355,8 +355,8 @@ BODIES = {
         LEFT JOIN (SELECT user_id, least(count(*), 20) AS n_alerts,
         arg_min(alert_id, (-risk_score, alert_id)) AS top_alert FROM alerts GROUP BY user_id) a
         ON a.user_id = "user\"""",
-    "behaviour_profile": """SELECT "user", round(max(peak) , 4) AS peak_score, measure,
-        round(avg(v), 4) AS average, round(least(100, avg(v) / any_value(top) * 100), 4) AS pct
+    "behaviour_profile": """SELECT "user", round(max(peak) , 6) AS peak_score, measure,
+        round(avg(v), 6) AS average, round(least(100, avg(v) / any_value(top) * 100), 6) AS pct
         FROM (""" + " UNION ALL ".join(
             f"""SELECT "user", '{m}' AS measure, {top}.0::double AS top, nth, peak,
             coalesce({m}, 0)::double AS v FROM (SELECT s."user", s.day,
@@ -365,7 +365,7 @@ BODIES = {
             FROM scored s LEFT JOIN daily_any d ON d."user" = s."user" AND d.day = s.day)"""
             for m, top in BEHAVIOUR_MAXIMA.items())
         + """) WHERE nth <= 30 GROUP BY "user", measure""",
-    "timeline": f"""SELECT day::varchar AS day, {_r('risk_score_avg risk_score_max', 4)},
+    "timeline": f"""SELECT day::varchar AS day, {_r('risk_score_avg risk_score_max', 6)},
         n_anomalies FROM perday WHERE day >= (SELECT d FROM newest) - 20""",
     "timeline_user": """SELECT "user", day::varchar AS day, risk_score, if_score, ae_score,
         risk_tier FROM scored WHERE day >= (SELECT d FROM newest) - 7""",
@@ -374,11 +374,11 @@ BODIES = {
         round(avg(mean), 1) AS mean, sum(n_anomalies)::bigint AS incidents FROM (
         SELECT day, round(risk_score_max, 2) AS top, round(risk_score_avg, 2) AS mean,
         n_anomalies FROM perday WHERE day >= (SELECT d FROM newest) - 30)""",
-    "incident_calendar": f"""SELECT day::varchar AS day, {_r('risk_score_avg risk_score_max', 4)},
+    "incident_calendar": f"""SELECT day::varchar AS day, {_r('risk_score_avg risk_score_max', 6)},
         n_anomalies FROM (SELECT * FROM perday WHERE day >= (SELECT d FROM newest) - 365
         ORDER BY day DESC LIMIT 60)""",
     "population_daily": f"""SELECT day::varchar AS day,
-        {_r('risk_score_avg risk_score_max', 4)}, n_anomalies FROM perday""",
+        {_r('risk_score_avg risk_score_max', 6)}, n_anomalies FROM perday""",
     "heatmap": "SELECT * FROM heat",
     "heatmap_matrix": "SELECT department, " + ", ".join(
         f"coalesce(max(avg_risk) FILTER (dow = '{d}'), 0) AS \"{d}\"" for d in WEEKDAYS)
@@ -391,7 +391,7 @@ BODIES = {
     "departments_top": """SELECT department, avg_risk FROM dept
         ORDER BY avg_risk DESC, department LIMIT 8""",
     "department_totals": """SELECT sum(user_count)::bigint AS total_users,
-        round(avg(avg_risk), 4) AS avg_risk,
+        round(avg(avg_risk), 6) AS avg_risk,
         arg_min(department, (-avg_risk, department)) AS hotspot,
         arg_min(department, (-critical_count, -avg_risk, department)) AS most_critical
         FROM dept""",
@@ -408,9 +408,9 @@ BODIES = {
             ("logon", "logon", "pc"), ("file", "filelog", "filename"),
             ("device", "device", "pc"), ("email", "email", '"to"'))),
     "export_alerts": """SELECT alert_id, user_id, department, risk_tier,
-        round(risk_score, 4) AS risk_score, alert_type, status, timestamp FROM alerts""",
+        round(risk_score, 6) AS risk_score, alert_type, status, timestamp FROM alerts""",
     "export_users": """SELECT "user", name, department, risk_tier, max_risk_score,
-        round(avg_risk_score, 4) AS avg_risk_score, trend FROM people""",
+        round(avg_risk_score, 6) AS avg_risk_score, trend FROM people""",
     "alert_records": """SELECT '{"user_id":"' || user_id || '","timestamp":"' || timestamp ||
         '","risk_tier":"' || risk_tier || '"}' AS record FROM day_alerts""",
     "run_report": """SELECT (SELECT count(*) FROM risk) AS total_users, count(*) AS total_alerts,
@@ -419,7 +419,7 @@ BODIES = {
         (SELECT '{' || string_agg('"' || risk_tier || '":' || n, ',' ORDER BY risk_tier) || '}'
         FROM (SELECT risk_tier, count(*) AS n FROM risk GROUP BY risk_tier)) AS tier_distribution
         FROM alerts""",
-    "user_scores": 'SELECT "user", round(score, 4) AS score, is_insider FROM labelled',
+    "user_scores": 'SELECT "user", round(score, 6) AS score, is_insider FROM labelled',
     "complete_labels": """SELECT user_id, threat_type, trigger_date::varchar AS trigger_date,
         is_insider, description FROM truth WHERE is_insider UNION ALL SELECT user_id, 'none',
         NULL, false, 'Normal behavior' FROM directory
@@ -439,9 +439,9 @@ BODIES = {
         round(hits / p::double, 6) AS recall FROM topk, sizes
         WHERE p > 0 AND (k IN (5, 10, 15, 20) OR k = p)""",
     "score_quantiles": " UNION ALL ".join(
-        f"SELECT {q}::double AS prob, round(quantile_cont(risk_score, {q}), 4) AS value "
+        f"SELECT {q}::double AS prob, round(quantile_cont(risk_score, {q}), 6) AS value "
         "FROM scored" for q in (0.5, 0.9, 0.95, 0.99, 0.999)),
-    "score_range": """SELECT min(risk_score) AS min, round(avg(risk_score), 4) AS mean,
+    "score_range": """SELECT min(risk_score) AS min, round(avg(risk_score), 6) AS mean,
         max(risk_score) AS max FROM scored""",
     "describe": " UNION ALL ".join(
         f"""SELECT '{m}' AS measure, count({m}) AS n, round(avg({m}), 4) AS mean,
@@ -456,22 +456,22 @@ BODIES = {
         "SELECT 'risk_score' AS measure, risk_score AS value FROM scored", "measure", "25"),
     "histogram": _histogram(TRIMMED, "measure, is_insider",
                             "CASE WHEN is_insider THEN 15 ELSE 30 END"),
-    "archetype_stats": """SELECT threat_type, round(avg(max_risk_score), 4) AS mean,
+    "archetype_stats": """SELECT threat_type, round(avg(max_risk_score), 6) AS mean,
         max(max_risk_score) AS max, min(max_risk_score) AS min
         FROM truth LEFT JOIN risk ON user_id = "user" WHERE is_insider GROUP BY threat_type""",
     "insider_dossier": """SELECT t.user_id, threat_type, trigger_date::varchar AS trigger_date,
-        max_risk_score, round(avg_risk_score, 4) AS avg_risk_score, risk_tier, trend, d.name,
+        max_risk_score, round(avg_risk_score, 6) AS avg_risk_score, risk_tier, trend, d.name,
         d.department, d.role FROM truth t LEFT JOIN risk r ON r."user" = t.user_id
         LEFT JOIN directory d ON d.user_id = t.user_id WHERE is_insider""",
     "insider_series": """SELECT "user", day::varchar AS day, risk_score, threat_type,
         trigger_date::varchar AS trigger_date, day >= trigger_date AS after_trigger
         FROM scored JOIN truth ON user_id = "user" WHERE is_insider""",
-    "cohort_means": """SELECT is_insider, count(*) AS users, round(avg(score), 4) AS mean_score
+    "cohort_means": """SELECT is_insider, count(*) AS users, round(avg(score), 6) AS mean_score
         FROM labelled GROUP BY is_insider""",
     "detected_insiders": "SELECT * FROM found",
     "detection_rate": """SELECT count(*) AS users,
-        round(avg((risk_tier = 'NORMAL')::int), 4) AS normal_share,
-        round(stddev_samp(max_risk_score), 4) AS score_std,
+        round(avg((risk_tier = 'NORMAL')::int), 6) AS normal_share,
+        round(stddev_samp(max_risk_score), 6) AS score_std,
         (SELECT count(*) FROM truth WHERE is_insider) AS insiders,
         (SELECT count(*) FROM found) AS detected,
         (SELECT count(*) FROM risk WHERE max_risk_score >= 99 AND "user" IN (
@@ -521,11 +521,10 @@ BODIES = {
 
 
 def _daily_body(table: str) -> str:
-    floats = "login_hour_mean login_hour_std session_duration_total after_hours_ratio " \
-             "files_per_session"
-    whole = [m for m in MEASURES if m not in floats.split()]
+    floats = "login_hour_mean login_hour_std after_hours_ratio files_per_session"
+    whole = [m for m in MEASURES if m not in (*floats.split(), "session_duration_total")]
     return (f'SELECT "user", day::varchar AS day, {", ".join(whole)}, {_r(floats, 6)}, '
-            f"department, role, day_of_week, is_weekend FROM {table}")
+            f"{_r('session_duration_total', 3)}, department, role, day_of_week, is_weekend FROM {table}")
 
 
 def oracle_sql() -> dict[str, str]:

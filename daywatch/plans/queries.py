@@ -39,6 +39,11 @@ COMPARED = ("files_accessed", "usb_count", "emails_external", "after_hours_ratio
             "usb_count_deviation")
 
 
+# Minutes come from microseconds: three decimals leave no exact halves to round.
+PLACES = {c: 3 for c in ("session_minutes", "session_duration_total",
+                         "session_duration_total_deviation")}
+
+
 def shaped(df: DataFrame, decimals: int = 6) -> DataFrame:
     def one(f):
         c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
@@ -49,7 +54,7 @@ def shaped(df: DataFrame, decimals: int = 6) -> DataFrame:
         elif kind in ("integer", "short", "byte"):
             c = c.cast("bigint")
         elif kind == "double":
-            c = F.round(c, decimals)
+            c = F.round(c, min(decimals, PLACES.get(f.name, decimals)))
         return c.alias(f.name)
 
     return df.select(*[one(f) for f in df.schema.fields])
@@ -279,7 +284,7 @@ def ensemble_tiers(t):
     return t.scored
 
 
-@query(4)
+@query()
 def user_risk_table(t):
     return t.risk
 
@@ -294,17 +299,17 @@ def alerts_daily(t):
     return A.daily_alerts(t.scored).drop("_key")
 
 
-@query(4)
+@query()
 def alerts_rising(t):
     return A.rising_alerts(t.risk).drop("_key")
 
 
-@query(4)
+@query()
 def alerts_all(t):
     return t.alerts
 
 
-@query(4)
+@query()
 def alert_status_current(t):
     return t.triaged.select("alert_id", "user_id", "alert_type", "status")
 
@@ -316,12 +321,12 @@ def alert_status_rejects(t):
 
 # ---- reports -----------------------------------------------------------------
 
-@query(4)
+@query()
 def kpis(t):
     return R.kpis(t.risk, t.triaged, t.stored_scored)
 
 
-@query(4)
+@query()
 def week_over_week(t):
     return R.week_over_week(t.stored_scored)
 
@@ -331,27 +336,27 @@ def threat_level(t):
     return R.threat_level(R.kpis(t.risk, t.triaged, t.stored_scored))
 
 
-@query(4)
+@query()
 def alerts_page(t):
     return R.alert_page(t.alerts, page=2, limit=50)
 
 
-@query(4)
+@query()
 def alerts_search(t):
     return R.filter_alerts(t.alerts, tier="critical", search="ma")
 
 
-@query(4)
+@query()
 def watchlist(t):
     return R.watchlist(t.users, page=1, limit=100)
 
 
-@query(4)
+@query()
 def watchlist_search(t):
     return R.filter_users(t.users, tier="critical", search="bui")
 
 
-@query(4)
+@query()
 def watchlist_summary(t):
     return R.watchlist_summary(t.users)
 
@@ -361,12 +366,12 @@ def dossier_daily(t):
     return R.dossier_days(t.stored_scored, t.risk)
 
 
-@query(4)
+@query()
 def dossier_alerts_top20(t):
     return A.top_alerts_per_user(t.alerts, 20).select("user_id", "nth", "alert_id", "risk_score")
 
 
-@query(4)
+@query()
 def dossier_overview(t):
     d = R.dossiers(t.risk, t.stored_scored, t.alerts, t.directory)
     days = F.col("daily_scores")
@@ -376,34 +381,34 @@ def dossier_overview(t):
                     F.get("alerts", 0)["alert_id"].alias("top_alert"))
 
 
-@query(4)
+@query()
 def behaviour_profile(t):
     measures = t.daily("any").select("user", "day", *BEHAVIOUR_MAXIMA)
     return R.behaviour_profile(t.scored.select("user", "day", "risk_score")
                                .join(measures, ["user", "day"], "left"))
 
 
-@query(4)
+@query()
 def timeline(t):
     return R.timeline(t.stored_scored, 20)
 
 
-@query(4)
+@query()
 def timeline_user(t):
     return R.user_timeline(t.stored_scored, days=7)
 
 
-@query(4)
+@query()
 def timeline_summary(t):
     return R.timeline_summary(R.timeline(t.stored_scored, 30))
 
 
-@query(4)
+@query()
 def incident_calendar(t):
     return R.incident_calendar(R.timeline(t.stored_scored, 365))
 
 
-@query(4)
+@query()
 def population_daily(t):
     return R.population_daily(t.scored)
 
@@ -428,12 +433,12 @@ def departments(t):
     return R.departments(t.risk)
 
 
-@query(4)
+@query()
 def departments_top(t):
     return R.top_departments(R.departments(t.risk)).select("department", "avg_risk")
 
 
-@query(4)
+@query()
 def department_totals(t):
     return R.department_totals(R.departments(t.risk))
 
@@ -453,12 +458,12 @@ def user_events(t):
     return R.user_events(t.logs)
 
 
-@query(4)
+@query()
 def export_alerts(t):
     return A.by_score(t.alerts).select(*ALERT_EXPORT)
 
 
-@query(4)
+@query()
 def export_users(t):
     return t.users.select(*USER_EXPORT)
 
@@ -477,7 +482,7 @@ def run_report(t):
 
 # ---- evaluation --------------------------------------------------------------
 
-@query(4)
+@query()
 def user_scores(t):
     return t.labelled
 
@@ -512,12 +517,12 @@ def detection_report(t):
     return E.detection_report(t.labelled)
 
 
-@query(4)
+@query()
 def score_quantiles(t):
     return E.score_quantiles(t.scored)
 
 
-@query(4)
+@query()
 def score_range(t):
     return E.score_range(t.scored)
 
@@ -550,22 +555,22 @@ def histogram(t):
                                F.when(F.col("is_insider"), 15).otherwise(30))
 
 
-@query(4)
+@query()
 def archetype_stats(t):
     return E.archetype_stats(t.truth, t.risk)
 
 
-@query(4)
+@query()
 def insider_dossier(t):
     return E.insider_dossier(t.truth, t.risk, t.directory)
 
 
-@query(4)
+@query()
 def insider_series(t):
     return E.insider_series(t.scored, t.truth)
 
 
-@query(4)
+@query()
 def cohort_means(t):
     return E.cohort_means(t.labelled)
 
@@ -575,7 +580,7 @@ def detected_insiders(t):
     return E.detected_insiders(t.risk, t.truth)
 
 
-@query(4)
+@query()
 def detection_rate(t):
     return E.detection_rate(t.risk, t.truth)
 
