@@ -32,7 +32,7 @@ def user_scores(scored: DataFrame, score: str = "risk_score") -> DataFrame:
 
 
 def label_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """(user, score, is_insider) of the users with a label."""
+    """Rows of the users with a label, with is_insider."""
     labels = truth.select(F.col("user_id").alias("user"), "is_insider").distinct()
     return scores.join(labels, "user")
 
@@ -241,29 +241,51 @@ def trim_outliers(df: DataFrame, measures: list[str]) -> DataFrame:
     return rows.filter(F.col("value") <= limits[F.col("measure")] * 2.0)
 
 
-def density_histogram(rows: DataFrame, groups: list[str], bins: Column) -> DataFrame:
+def density_histogram(rows: DataFrame, groups: list[str], bins: Column,
+                      weight: str | None = None) -> DataFrame:
     """Equal-width histogram of `value` per group: bin, left edge, count, density.
 
-    A constant group gets the unit interval around its value.  The limits table
-    has one row per (measure, cohort).
+    A constant group gets the unit interval around its value.  With `weight` a
+    row stands for that many equal rows (counted before any join).
     """
-    span = rows.dropna(subset=["value"]).groupBy(*groups).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"))
+    rows = rows.dropna(subset=["value"]).withColumn(
+        "_w", F.lit(1).cast("bigint") if weight is None else F.col(weight))
+    span = rows.groupBy(*groups).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("_w").alias("n"))
     flat = F.col("lo") == F.col("hi")
     span = span.select(*groups, "n",
                        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
                        bins.cast("int").alias("bins"))
-    # measures x cohorts rows, both fixed lists
-    placed = rows.dropna(subset=["value"]).join(F.broadcast(span), groups)
+    # measures x cohorts rows, both fixed lists: safe to broadcast
+    placed = rows.join(F.broadcast(span), groups)
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     spot = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.col("bins") - 1)
     counts = placed.groupBy(*groups, "n", "lo", "hi", "bins", spot.cast("int").alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("_w").alias("count"))
     return counts.select(*groups, "bin", (F.col("lo") + F.col("bin") * width).alias("edge"),
                          "count", (F.col("count") / (F.col("n") * width)).alias("density"))
 
 
+def login_hours(logon: DataFrame, truth: DataFrame, bins: int = 24) -> DataFrame:
+    """Login-hour histogram of known insiders and known normals.
+
+    Events are counted per user and hour first, so the join with the labels sees
+    at most 24 rows per user.
+    """
+    per_hour = logon.groupBy("user", F.col("hour").cast("double").alias("value")) \
+        .agg(F.count(F.lit(1)).alias("events"))
+    known = label_scores(per_hour, truth)
+    return density_histogram(known, ["is_insider"], F.lit(bins), "events")
+
+
+def activity_histogram(rates: DataFrame, truth: DataFrame) -> DataFrame:
+    """Histograms of device events and external mail rate per user, by cohort."""
+    rows = long_form(label_scores(rates, truth), ["usb_events", "external_pct"], ["is_insider"])
+    return density_histogram(rows, ["measure", "is_insider"],
+                             F.when(F.col("is_insider"), 10).otherwise(20))
+
+
 # ---- permutation importance --------------------------------------------------
 
 def permutation_importance(features: DataFrame, model: IsolationForestModel,

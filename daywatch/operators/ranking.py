@@ -20,12 +20,15 @@ from daywatch.params import Params
 def split_points(df: DataFrame, keys: list[str], p: Params = Params()) -> list[tuple]:
     """At most `rank_buckets` - 1 key tuples that cut `df` into even buckets.
 
-    The sample is the `rank_sample` smallest key hashes (a bounded top-k), so it
-    is the same on every run.  Fewer keys than that fit one bucket: no points.
+    About 2 * `rank_sample` keys, chosen by their hash and so the same on every
+    run, reach the driver.  Fewer keys than `rank_sample` fit one bucket.
     """
-    rows = (df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(p.rank_sample).collect())
-    if len(rows) < p.rank_sample:
+    total = df.count()
+    if total < p.rank_sample:
         return []
+    share = min(1.0, 2.0 * p.rank_sample / total)
+    mark = F.pmod(F.xxhash64(*keys), F.lit(2 ** 31))
+    rows = df.select(*keys).filter(mark < F.lit(int(share * 2 ** 31))).collect()
     found = sorted({tuple(r) for r in rows})
     step = max(1, len(found) // p.rank_buckets)
     return found[step::step]

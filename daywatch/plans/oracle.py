@@ -199,6 +199,9 @@ CTES |= {
         WINDOW o AS (ORDER BY score DESC)""",
     "topk": """SELECT "user", score, row_number() OVER o AS k, (sum(is_insider::int) OVER o)::bigint
         AS hits FROM labelled WINDOW o AS (ORDER BY score DESC, "user")""",
+    "rates": """SELECT "user", count(usb) AS usb_events, avg(ext) * 100 AS external_pct FROM (
+        SELECT "user", 1 AS usb, NULL::int AS ext FROM device UNION ALL
+        SELECT "user", NULL, is_external::int FROM email) GROUP BY "user\"""",
     "labelled_days": """SELECT m.*, coalesce(is_insider, false) AS is_insider
         FROM matrix m LEFT JOIN truth ON user_id = m."user\"""",
     "top_users": """SELECT "user" FROM risk WHERE max_risk_score >=
@@ -227,20 +230,29 @@ def _r(cols: str, decimals: int) -> str:
     return ", ".join(f"round({c}, {decimals}) AS {c}" for c in cols.split())
 
 
-def _features() -> str:
-    names = (*FEATURES, "dept_encoded")
-    base = "SELECT *, dense_rank() OVER (ORDER BY department) - 1 AS dept_encoded FROM matrix"
-    moments = ", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in names)
+NAMES = (*FEATURES, "dept_encoded")
+
+
+def _scaled() -> dict[str, str]:
+    """The feature preparation as three building blocks."""
+    moments = ", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in NAMES)
     clipped = ", ".join(
         f"CASE WHEN s_{n} > 0 THEN least(greatest({n}, m_{n} - 5 * s_{n}), m_{n} + 5 * s_{n}) "
-        f"ELSE {n} END AS {n}" for n in names)
-    second = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in names)
-    scaled = ", ".join(f"round((c.{n} - m_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1 END, 4) "
-                       f"AS {n}" for n in names)
-    return with_ctes(f"""SELECT "user", day::varchar AS day, is_train, {scaled} FROM (
-        SELECT "user", day, is_weekend = 0 AS is_train, {clipped} FROM ({base}) b,
-        (SELECT {moments} FROM ({base}) b2) s) c, (SELECT {second} FROM (SELECT {clipped}
-        FROM ({base}) b3, (SELECT {moments} FROM ({base}) b4) s2) c2) t""")
+        f"ELSE {n} END AS {n}" for n in NAMES)
+    second = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in NAMES)
+    scaled = ", ".join(f"(c.{n} - m_{n}) / CASE WHEN s_{n} > 0 THEN s_{n} ELSE 1 END AS {n}"
+                       for n in NAMES)
+    return {
+        "encoded": "SELECT *, dense_rank() OVER (ORDER BY department) - 1 AS dept_encoded "
+                   "FROM matrix",
+        "winsored": f'SELECT "user", day, is_weekend = 0 AS is_train, {clipped} '
+                    f"FROM encoded JOIN (SELECT {moments} FROM encoded) ON true",
+        "scaled": f'SELECT "user", day, is_train, {scaled} FROM winsored c '
+                  f"JOIN (SELECT {second} FROM winsored) ON true",
+    }
+
+
+CTES |= _scaled()
 
 
 def _long(table: str, names, extra: str = "") -> str:
@@ -249,11 +261,10 @@ def _long(table: str, names, extra: str = "") -> str:
 
 
 def _correlation() -> str:
-    pairs = ", ".join(
-        f"{{'f1': '{a}', 'f2': '{b}', 'r': corr({a}::double, {b}::double)}}"
-        for a in FEATURES for b in FEATURES)
+    pairs = ", ".join(f"{{'f1': '{a}', 'f2': '{b}', 'r': corr({a}, {b})}}"
+                      for a in NAMES for b in NAMES)
     return with_ctes(f"""SELECT u.f1, u.f2, CASE WHEN isnan(u.r) THEN NULL
-        ELSE round(u.r, 4) END AS r FROM (SELECT unnest([{pairs}]) AS u FROM matrix)""")
+        ELSE round(u.r, 4) END AS r FROM (SELECT unnest([{pairs}]) AS u FROM scaled)""")
 
 
 HIST_MEASURES = ("files_accessed", "usb_count", "emails_external", "after_hours_ratio",
@@ -453,7 +464,13 @@ BODIES = {
         'SELECT hour::double AS value, is_insider FROM logon JOIN truth ON user_id = "user"',
         "is_insider", "24"),
     "risk_histogram": _histogram(
-        "SELECT 'risk_score' AS measure, risk_score AS value FROM scored", "measure", "25"),
+        "SELECT 'max_risk_score' AS measure, max_risk_score AS value FROM risk", "measure", "25"),
+    "activity_histogram": _histogram(
+        "SELECT is_insider, measure, value FROM truth JOIN ("
+        + " UNION ALL ".join(f"SELECT \"user\", '{m}' AS measure, {m}::double AS value FROM rates "
+                             f"WHERE {m} IS NOT NULL" for m in ("usb_events", "external_pct"))
+        + ") ON user_id = \"user\"", "measure, is_insider",
+        "CASE WHEN is_insider THEN 10 ELSE 20 END"),
     "histogram": _histogram(TRIMMED, "measure, is_insider",
                             "CASE WHEN is_insider THEN 15 ELSE 30 END"),
     "archetype_stats": """SELECT threat_type, round(avg(max_risk_score), 6) AS mean,
@@ -477,7 +494,7 @@ BODIES = {
         (SELECT count(*) FROM risk WHERE max_risk_score >= 99 AND "user" IN (
         SELECT user_id FROM truth WHERE NOT is_insider)) AS maxed_normals,
         (SELECT round(count(*) / nullif((SELECT count(*) FROM truth WHERE is_insider), 0)::double,
-        4) FROM found) AS detection_rate FROM risk""",
+        6) FROM found) AS detection_rate FROM risk""",
     "dataset_profile": " UNION ALL ".join(
         f"SELECT 'rows_{n}' AS metric, count(*) AS value FROM {t}" for n, t in (
             ("logon", "logon"), ("file", "filelog"), ("device", "device"), ("email", "email"),
@@ -487,10 +504,8 @@ BODIES = {
         UNION ALL SELECT 'users', count(DISTINCT "user") FROM daily
         UNION ALL SELECT 'span', max(day) - min(day) + 1 FROM daily""",
     "department_sizes": "SELECT department, count(*) AS users FROM directory GROUP BY department",
-    "activity_rates": """SELECT "user", count(usb) AS usb_events,
-        round(avg(ext) * 100, 6) AS external_pct FROM (
-        SELECT "user", 1 AS usb, NULL::int AS ext FROM device UNION ALL
-        SELECT "user", NULL, is_external::int FROM email) GROUP BY "user\"""",
+    "activity_rates": """SELECT "user", usb_events, round(external_pct, 6) AS external_pct
+        FROM rates""",
     "quality_report": " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", '{r}' AS rule, {bad} AS violations FROM {src}"
         for t, src, rules in (
@@ -514,6 +529,9 @@ BODIES = {
                  "'disgruntled_saboteur','negligent_insider','none')"),)))
         for r, bad in (("not_empty", "(count(*) = 0)::bigint"),
                        *((n, f"count(*) FILTER ({cond})") for n, cond in rules))),
+    "stream_daily_alerts": f"""SELECT 'ALT-' || user_id || '-' || substr(timestamp, 1, 10)
+        AS alert_id, {ALERT_COLS} FROM day_alerts, (SELECT max(ts) AS m FROM ev)
+        WHERE substr(timestamp, 1, 10)::date + 1 <= m - INTERVAL 1 DAY""",
     "stream_daily_rollup": """SELECT "user", day::varchar AS day, files_accessed,
         files_after_hours, sensitive_files FROM d_file, (SELECT max(date) AS m FROM filelog)
         WHERE day + 1 <= m - INTERVAL 1 DAY""",
@@ -531,6 +549,7 @@ def oracle_sql() -> dict[str, str]:
     out = {name: with_ctes(body) for name, body in BODIES.items()}
     out["daily_behavior"] = with_ctes(_daily_body("daily"))
     out["daily_behavior_any_spine"] = with_ctes(_daily_body("daily_any"))
-    out["scaled_features"] = _features()
+    out["scaled_features"] = with_ctes(
+        f'SELECT "user", day::varchar AS day, is_train, {_r(" ".join(NAMES), 4)} FROM scaled')
     out["correlation"] = _correlation()
     return out

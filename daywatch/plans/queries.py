@@ -26,9 +26,10 @@ from daywatch.operators.scoring import score_days, user_risk
 from daywatch.operators.sessions import daily_sessions, sessions
 from daywatch.params import ALERT_EXPORT, BEHAVIOUR_MAXIMA, FEATURES, USER_EXPORT
 from daywatch.plans.training import run_training
+from daywatch.schemas import ALERTS
 from daywatch.session import materialise, scratch_dir
 from daywatch.sources import adapters
-from daywatch.sources.tables import run_summary, to_json_records
+from daywatch.sources.tables import read_table, run_summary, to_json_records
 from daywatch.streaming import daily as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +55,7 @@ def shaped(df: DataFrame, decimals: int = 6) -> DataFrame:
         elif kind in ("integer", "short", "byte"):
             c = c.cast("bigint")
         elif kind == "double":
-            c = F.round(c, min(decimals, PLACES.get(f.name, decimals)))
+            c = F.round(c, PLACES.get(f.name, decimals) if decimals == 6 else decimals)
         return c.alias(f.name)
 
     return df.select(*[one(f) for f in df.schema.fields])
@@ -131,9 +132,14 @@ class Inputs:
     def risk(self):
         return user_risk(self.stored_scored)
 
+    @cached_property
+    def stored_risk(self):
+        """The user risk as a written table, for queries that use it repeatedly."""
+        return materialise(self.risk, "risk")
+
     @cached_property
     def alerts(self):
-        return A.generate_alerts(self.stored_scored, self.risk)
+        return A.generate_alerts(self.stored_scored, self.stored_risk)
 
     @cached_property
     def status_events(self):
@@ -151,6 +157,11 @@ class Inputs:
     def labelled(self):
         return E.label_scores(E.user_scores(self.scored), self.truth)
 
+    @cached_property
+    def stored_labelled(self):
+        """The labelled scores as a written table: rank queries pass over them repeatedly."""
+        return materialise(self.labelled, "labelled")
+
     @cached_property
     def features(self):
         """Scaled feature vectors, written once."""
@@ -274,7 +285,7 @@ def permutation_importance(t):
 
 @query(4)
 def correlation(t):
-    return E.correlation(t.matrix, list(FEATURES))
+    return E.feature_correlation(t.features, NAMES)
 
 
 # ---- scoring -----------------------------------------------------------------
@@ -323,7 +334,7 @@ def alert_status_rejects(t):
 
 @query()
 def kpis(t):
-    return R.kpis(t.risk, t.triaged, t.stored_scored)
+    return R.kpis(t.stored_risk, t.triaged, t.stored_scored)
 
 
 @query()
@@ -333,7 +344,7 @@ def week_over_week(t):
 
 @query()
 def threat_level(t):
-    return R.threat_level(R.kpis(t.risk, t.triaged, t.stored_scored))
+    return R.threat_level(R.kpis(t.stored_risk, t.triaged, t.stored_scored))
 
 
 @query()
@@ -373,7 +384,7 @@ def dossier_alerts_top20(t):
 
 @query()
 def dossier_overview(t):
-    d = R.dossiers(t.risk, t.stored_scored, t.alerts, t.directory)
+    d = R.dossiers(t.stored_risk, t.stored_scored, t.alerts, t.directory)
     days = F.col("daily_scores")
     return d.select("user", F.col("directory.name").alias("name"), F.size(days).alias("days"),
                     days[0]["day"].alias("first_day"), days[0]["risk_score"].alias("first_score"),
@@ -475,7 +486,7 @@ def alert_records(t):
 
 @query()
 def run_report(t):
-    s = run_summary(t.risk, A.all_alerts(t.stored_scored, t.risk))
+    s = run_summary(t.stored_risk, A.all_alerts(t.stored_scored, t.stored_risk))
     return s.select("total_users", "total_alerts", "critical_alerts", "high_alerts",
                     F.to_json("tier_distribution").alias("tier_distribution"))
 
@@ -494,27 +505,27 @@ def complete_labels(t):
 
 @query()
 def roc_points(t):
-    return E.roc_points(t.labelled)
+    return E.roc_points(t.stored_labelled)
 
 
 @query()
 def roc_auc(t):
-    return E.roc_auc(t.labelled)
+    return E.roc_auc(t.stored_labelled)
 
 
 @query()
 def precision_at_k(t):
-    return E.precision_at_k(t.labelled)
+    return E.precision_at_k(t.stored_labelled)
 
 
 @query()
 def top_k_precision(t):
-    return E.top_k_precision(t.labelled)
+    return E.top_k_precision(t.stored_labelled)
 
 
 @query()
 def detection_report(t):
-    return E.detection_report(t.labelled)
+    return E.detection_report(t.stored_labelled)
 
 
 @query()
@@ -534,16 +545,19 @@ def describe(t):
 
 @query()
 def login_hours_histogram(t):
-    hours = E.label_days(t.logon.select("user", F.col("hour").cast("double").alias("value")),
-                         t.truth.filter("is_insider IS NOT NULL"))
-    known = hours.filter("threat_type IS NOT NULL").select("is_insider", "value")
-    return E.density_histogram(known, ["is_insider"], F.lit(24))
+    return E.login_hours(t.logon, t.truth)
+
+
+@query()
+def activity_histogram(t):
+    rates = materialise(Q.activity_rates(t.device, t.email), "rates")
+    return E.activity_histogram(rates, t.truth)
 
 
 @query()
 def risk_histogram(t):
-    rows = t.stored_scored.select(F.lit("risk_score").alias("measure"),
-                                  F.col("risk_score").alias("value"))
+    rows = t.stored_risk.select(F.lit("max_risk_score").alias("measure"),
+                                F.col("max_risk_score").alias("value"))
     return E.density_histogram(rows, ["measure"], F.lit(25))
 
 
@@ -577,12 +591,12 @@ def cohort_means(t):
 
 @query()
 def detected_insiders(t):
-    return E.detected_insiders(t.risk, t.truth)
+    return E.detected_insiders(t.stored_risk, t.truth)
 
 
 @query()
 def detection_rate(t):
-    return E.detection_rate(t.risk, t.truth)
+    return E.detection_rate(t.stored_risk, t.truth)
 
 
 # ---- quality -----------------------------------------------------------------
@@ -604,8 +618,8 @@ def activity_rates(t):
 
 @query()
 def quality_report(t):
-    return Q.quality_report(t.logon, t.email, t.matrix, t.stored_scored, t.risk,
-                            A.all_alerts(t.stored_scored, t.risk), t.truth)
+    return Q.quality_report(t.logon, t.email, t.matrix, t.stored_scored, t.stored_risk,
+                            A.all_alerts(t.stored_scored, t.stored_risk), t.truth)
 
 
 # ---- whole run and streams ---------------------------------------------------
@@ -636,5 +650,24 @@ def stream_daily_rollup(t):
         F.count_if("is_sensitive").alias("sensitive_files")])
 
 
+@query()
+def stream_daily_alerts(t):
+    """Closed days scored in micro-batches, their alerts collected from the target."""
+    stream = S.stream_events(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+    timed = stream.select(adapters.user_name(F.col("user_id")).alias("user"), "value",
+                          F.col("ts").cast("timestamp").alias("date"))
+    days = S.closed_days(timed, adapters.component_measures())
+    people = D.one_per_user(t.directory.select("user_id", "department"))
+
+    def score(batch):
+        return score_days(batch.join(people, "user", "left").fillna("Unknown", ["department"]),
+                          stamp=False)
+
+    target = scratch_dir(t.spark, "stream-alerts")
+    S.stream_alerts(days, score, target, scratch_dir(t.spark, "stream-progress")) \
+        .awaitTermination()
+    return read_table(t.spark, target, ALERTS).select(*ALERTS.names)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

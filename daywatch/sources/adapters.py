@@ -89,18 +89,20 @@ def ground_truth(labels: DataFrame) -> DataFrame:
         F.when(insider, "labelled toxic").otherwise("Normal behavior").alias("description"))
 
 
+def component_measures() -> list[Column]:
+    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    return [F.least(F.lit(100.0), F.max("value") / F.lit(2.3)).alias("if_raw"),
+            F.least(F.lit(100.0), total / F.lit(3.1)).alias("ae_raw")]
+
+
 def component_scores(events: DataFrame) -> DataFrame:
     """(user, day, if_raw, ae_raw): two scores that plain SQL can recompute.
 
     They stand in for the detectors where a query is about scoring, alerts or
     reports.  The sum is over exact decimals, so it does not depend on order.
     """
-    value = F.col("value")
-    total = F.sum(value.cast("decimal(18,2)")).cast("double")
     return events.groupBy(user_name(F.col("user_id")).alias("user"),
-                          F.to_date("ts").alias("day")).agg(
-        F.least(F.lit(100.0), F.max(value) / F.lit(2.3)).alias("if_raw"),
-        F.least(F.lit(100.0), total / F.lit(3.1)).alias("ae_raw"))
+                          F.to_date("ts").alias("day")).agg(*component_measures())
 
 
 def status_events(events: DataFrame) -> DataFrame:

@@ -15,11 +15,10 @@ from daywatch.sources.logs import path_missing
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """A Parquet table; with `schema`, an absent or empty path is a typed empty table."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return reader.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
-        if schema is None or not path_missing(e):
+        if schema is None or not (path_missing(e) or e.getCondition() == "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
 
@@ -31,12 +30,12 @@ def write_by_day(df: DataFrame, path: str) -> DataFrame:
     too large for one task.
     """
     df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
-    return read_table(df.sparkSession, path, df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
     df.hint("rebalance").write.mode("overwrite").parquet(path)
-    return read_table(df.sparkSession, path, df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_summary(user_risk: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -32,17 +32,6 @@ def closed_days(clean: DataFrame, measures: list, lateness: str = "1 day") -> Da
             .withColumn("day", F.to_date("window.start")).drop("window"))
 
 
-def activity_sessions(clean: DataFrame, gap: str = "30 minutes",
-                      lateness: str | None = None) -> DataFrame:
-    """Bursts of activity per user, closed by `gap` without events (batch or stream)."""
-    if lateness:
-        clean = clean.withWatermark("date", lateness)
-    return (clean.groupBy(F.session_window("date", gap).alias("w"), "user")
-            .agg(F.count(F.lit(1)).alias("events"))
-            .select("user", F.col("w.start").alias("started"), F.col("w.end").alias("ended"),
-                    "events"))
-
-
 def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Drain what is available into Parquet (exactly once, through the file sink's log)."""
     query = (stream.writeStream.format("parquet").outputMode("append")

@@ -274,14 +274,6 @@ def test_stream_alerts_are_idempotent(spark, stream, tmp_path):
     assert "ALT-u0-2010-01-04" in ids
 
 
-def test_activity_sessions(spark):
-    rows = [("u", dt.datetime(2010, 1, 4, 9, m)) for m in (0, 10, 50)] + \
-           [("v", dt.datetime(2010, 1, 4, 9, 0))]
-    df = spark.createDataFrame(rows, "user string, date timestamp")
-    got = {(r.user, r.events) for r in S.activity_sessions(df).collect()}
-    assert got == {("u", 2), ("u", 1), ("v", 1)}
-
-
 def test_scratch_dir_is_below_the_checkpoint_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_dir(spark, "x")
