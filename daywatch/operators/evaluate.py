@@ -257,8 +257,12 @@ def density_histogram(rows: DataFrame, groups: list[str], bins: Column,
                        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
                        bins.cast("int").alias("bins"))
-    # measures x cohorts rows, both fixed lists: safe to broadcast
-    placed = rows.join(F.broadcast(span), groups)
+    if groups:
+        # measures x cohorts rows, both fixed lists: safe to broadcast
+        placed = rows.join(F.broadcast(span), groups)
+    else:
+        cell = span.agg(F.first(F.struct(*span.columns))).scalar()
+        placed = rows.withColumn("_s", cell).select(*rows.columns, "_s.*")
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     spot = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.col("bins") - 1)
     counts = placed.groupBy(*groups, "n", "lo", "hi", "bins", spot.cast("int").alias("bin")) \

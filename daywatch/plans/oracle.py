@@ -273,15 +273,17 @@ HIST_MEASURES = ("files_accessed", "usb_count", "emails_external", "after_hours_
 
 
 def _histogram(rows: str, groups: str, bins: str) -> str:
-    return f"""SELECT {groups}, bin::bigint AS bin, round(lo + bin * width, 6) AS edge,
+    lead = f"{groups}, " if groups else ""
+    over = f"PARTITION BY {groups}" if groups else ""
+    return f"""SELECT {lead}bin::bigint AS bin, round(lo + bin * width, 6) AS edge,
         count(*) AS count, round(count(*) / (n * width), 6) AS density FROM (
         SELECT *, least(floor((value - lo) / width), bins - 1) AS bin FROM (
-        SELECT *, (hi - lo) / bins AS width FROM (SELECT {groups}, value, n, bins,
+        SELECT *, (hi - lo) / bins AS width FROM (SELECT {lead}value, n, bins,
         CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
         CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM (
         SELECT *, min(value) OVER g AS lo0, max(value) OVER g AS hi0, count(*) OVER g AS n,
-        {bins} AS bins FROM ({rows}) WINDOW g AS (PARTITION BY {groups})))))
-        GROUP BY {groups}, bin, lo, width, n"""
+        {bins} AS bins FROM ({rows}) WINDOW g AS ({over})))))
+        GROUP BY {lead}bin, lo, width, n"""
 
 
 TRIMMED = ("SELECT measure, is_insider, round(value, 6) AS value FROM ("
@@ -464,7 +466,7 @@ BODIES = {
         'SELECT hour::double AS value, is_insider FROM logon JOIN truth ON user_id = "user"',
         "is_insider", "24"),
     "risk_histogram": _histogram(
-        "SELECT 'max_risk_score' AS measure, max_risk_score AS value FROM risk", "measure", "25"),
+        "SELECT max_risk_score AS value FROM risk", "", "25"),
     "activity_histogram": _histogram(
         "SELECT is_insider, measure, value FROM truth JOIN ("
         + " UNION ALL ".join(f"SELECT \"user\", '{m}' AS measure, {m}::double AS value FROM rates "

@@ -556,9 +556,8 @@ def activity_histogram(t):
 
 @query()
 def risk_histogram(t):
-    rows = t.stored_risk.select(F.lit("max_risk_score").alias("measure"),
-                                F.col("max_risk_score").alias("value"))
-    return E.density_histogram(rows, ["measure"], F.lit(25))
+    return E.density_histogram(
+        t.stored_risk.select(F.col("max_risk_score").alias("value")), [], F.lit(25))
 
 
 @query()
