@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from daywatch.operators.iforest import IsolationForestModel, spread
 from daywatch.operators.ranking import exact_quantiles, running_totals
@@ -39,8 +39,8 @@ def label_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
 
 def label_days(daily: DataFrame, truth: DataFrame) -> DataFrame:
     """Every day row with is_insider (false without a label) and threat_type."""
-    labels = truth.select(F.col("user_id").alias("user"), "is_insider", "threat_type") \
-        .dropDuplicates(["user"])
+    labels = truth.groupBy(F.col("user_id").alias("user")).agg(
+        F.max(F.struct("is_insider", "threat_type")).alias("l")).select("user", "l.*")
     return daily.join(labels, "user", "left").fillna(False, subset=["is_insider"])
 
 

@@ -32,11 +32,11 @@ class FeaturePrep:
 
     def transform(self, daily: DataFrame) -> DataFrame:
         """user, day, is_train, the descriptive measures and `features`."""
-        raw = encode(daily, self.departments)
+        raw = encode(daily, self.departments, self.names)
         scaled = [(x - F.lit(m)) / F.lit(s)
                   for x, m, s in zip(self.clipped(raw), self.mean, self.scale)]
         return raw.select("user", "day", (F.col("is_weekend") == 0).alias("is_train"),
-                          *[F.col(f"_{c}").alias(c) if c in NAMES else F.col(c)
+                          *[F.col(f"_{c}").alias(c) if c in self.names else F.col(c)
                             for c in META],
                           F.array(*scaled).alias("features"))
 
@@ -56,12 +56,13 @@ class FeaturePrep:
         return FeaturePrep(*map(tuple, cols), StringIndexerModel.load(f"{path}/departments"))
 
 
-def encode(daily: DataFrame, departments: StringIndexerModel) -> DataFrame:
+def encode(daily: DataFrame, departments: StringIndexerModel,
+           names: tuple[str, ...] = NAMES) -> DataFrame:
     """Feature columns as finite doubles (null where not finite), department by index."""
     indexed = departments.transform(daily)
-    others = [c for c in indexed.columns if c not in NAMES]
-    measured = [F.col(c).alias(f"_{c}") for c in META if c in NAMES]  # as measured
-    return indexed.select(*others, *measured, *[C.finite(F.col(n)).alias(n) for n in NAMES])
+    others = [c for c in indexed.columns if c not in names]
+    measured = [F.col(c).alias(f"_{c}") for c in META if c in names]  # as measured
+    return indexed.select(*others, *measured, *[C.finite(F.col(n)).alias(n) for n in names])
 
 
 def index_departments(daily: DataFrame) -> StringIndexerModel:
@@ -79,15 +80,16 @@ def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
     The standard deviation of the limits is the sample one, that of the scale
     the population one; a constant feature is neither clipped nor scaled.
     """
+    names = (*p.features, "dept_encoded")
     departments = index_departments(daily)
-    raw = encode(daily if p.fit_on == "all" else training_rows(daily), departments)
-    first = _moments(raw, [F.col(n) for n in NAMES])
+    raw = encode(daily if p.fit_on == "all" else training_rows(daily), departments, names)
+    first = _moments(raw, [F.col(n) for n in names])
     inf = float("inf")
     low = tuple(m - p.winsor_sigmas * s if s else -inf for m, s, _ in first)
     high = tuple(m + p.winsor_sigmas * s if s else inf for m, s, _ in first)
-    draft = FeaturePrep(NAMES, low, high, (), (), departments)
+    draft = FeaturePrep(names, low, high, (), (), departments)
     second = _moments(raw, draft.clipped(raw))
-    return FeaturePrep(NAMES, low, high, tuple(m or 0.0 for m, _, _ in second),
+    return FeaturePrep(names, low, high, tuple(m or 0.0 for m, _, _ in second),
                        tuple(s or 1.0 for _, _, s in second), departments)
 
 

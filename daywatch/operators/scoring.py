@@ -47,11 +47,12 @@ def user_risk(scored: DataFrame, p: Params = Params(),
     """
     user = W.partitionBy("user")
     n = p.trend_rows
+    since = F.date_sub(last_day(scored, as_of), p.risk_window_days)
     numbered = scored.select(
         "user", "day", "department", "risk_score", "risk_tier",
         F.row_number().over(user.orderBy("day")).alias("nth"),
         F.count(F.lit(1)).over(user).alias("rows"),
-        (F.col("day") >= F.date_sub(last_day(scored, as_of), p.risk_window_days)).alias("in_window"))
+        (F.col("day") >= since).alias("in_window"))
     back = F.col("rows") - F.col("nth")       # 0 = newest row
     score = F.col("risk_score")
     inside = F.col("in_window")

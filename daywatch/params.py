@@ -76,6 +76,7 @@ class Params:
     rank_block: int = 65_536          # ranks per task on the split path
     # baseline and features
     baseline_rows: int = 7
+    features: tuple[str, ...] = FEATURES
     winsor_sigmas: float = 5.0
     fit_on: str = "all"               # or "train"
     # isolation forest

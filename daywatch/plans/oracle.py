@@ -189,8 +189,8 @@ CTES |= {
         AS avg_risk, round(max(max_risk_score), 2) AS max_risk,
         count(*) FILTER (risk_tier = 'CRITICAL') AS critical_count,
         count(*) FILTER (risk_tier = 'HIGH') AS high_count FROM risk GROUP BY department""",
-    "labelled": """SELECT "user", score, is_insider FROM (SELECT "user", round(avg(risk_score), 9) AS score
-        FROM scored GROUP BY "user") JOIN (SELECT DISTINCT user_id, is_insider FROM truth)
+    "labelled": """SELECT "user", score, is_insider FROM (
+        SELECT "user", round(avg(risk_score), 9) AS score FROM scored GROUP BY "user") JOIN (SELECT DISTINCT user_id, is_insider FROM truth)
         ON user_id = "user\"""",
     "sizes": """SELECT count(*) FILTER (is_insider) AS p, count(*) FILTER (NOT is_insider) AS n
         FROM labelled""",
@@ -544,7 +544,8 @@ def _daily_body(table: str) -> str:
     floats = "login_hour_mean login_hour_std after_hours_ratio files_per_session"
     whole = [m for m in MEASURES if m not in (*floats.split(), "session_duration_total")]
     return (f'SELECT "user", day::varchar AS day, {", ".join(whole)}, {_r(floats, 6)}, '
-            f"{_r('session_duration_total', 3)}, department, role, day_of_week, is_weekend FROM {table}")
+            f"{_r('session_duration_total', 3)}, department, role, day_of_week, is_weekend "
+            f"FROM {table}")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -170,6 +170,13 @@ def test_features_fit_on_train(daily):
     assert a.mean != b.mean
 
 
+def test_feature_list_is_a_parameter(daily):
+    prep = fit_features(daily, Params(features=("login_count", "usb_count")))
+    row = prep.transform(daily).first()
+    assert prep.names == ("login_count", "usb_count", "dept_encoded")
+    assert len(row.features) == 3 and row.is_train in (True, False)
+
+
 def test_unseen_department_is_kept(daily):
     prep = fit_features(daily)
     new = daily.limit(1).withColumn("department", F.lit("New"))

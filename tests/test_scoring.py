@@ -36,7 +36,8 @@ def risk(spark, series, **kw):
 
 def test_score_days_rounds_then_tiers(spark):
     df = spark.createDataFrame([("u", D, "IT", 94.996, 94.996), ("v", D, "IT", 150.0, 100.0)],
-                               "user string, day date, department string, if_raw double, ae_raw double")
+                               "user string, day date, department string, "
+                               "if_raw double, ae_raw double")
     rows = {r.user: r for r in score_days(df).collect()}
     assert (rows["u"].risk_score, rows["u"].risk_tier) == (95.0, "CRITICAL")
     assert rows["v"].risk_score == 100.0 and rows["v"].scored_at is not None
