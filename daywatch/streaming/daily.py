@@ -27,9 +27,14 @@ def closed_days(clean: DataFrame, measures: list, lateness: str = "1 day") -> Da
     Takes a cleaned log stream with `user` and `date`.  State is one partial
     aggregate per user and open day; the map side combines before the shuffle.
     """
-    window = F.window("date", "1 day")
-    return (clean.withWatermark("date", lateness).groupBy(window, "user").agg(*measures)
-            .withColumn("day", F.to_date("window.start")).drop("window"))
+    # windows start at midnight UTC: shift by the session's zone and back, so that
+    # they are the same days as to_date(date)
+    zone = F.current_timezone()
+    timed = clean.withColumn("_wall", F.from_utc_timestamp("date", zone))
+    window = F.window("_wall", "1 day")
+    day = F.to_date(F.to_utc_timestamp("window.start", zone))
+    return (timed.withWatermark("_wall", lateness).groupBy(window, "user").agg(*measures)
+            .withColumn("day", day).drop("window"))
 
 
 def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> None:
