@@ -6,7 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daywatch.llm import chat, exact_dedup, mixing, pieces
+from daywatch.llm import (ann, chat, exact_dedup, langid, mixing, neardup, pieces, quality, substring,
+                          toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,19 @@ FROM d WINDOW w AS (PARTITION BY body ORDER BY cp DESC, doc_id)
 """
 
 
+@query
+def op2_language(spark, sf_dir):
+    """The language of every text, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """A quality score of every text."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_chat_format(spark, sf_dir):
     """Conversations rendered, read back from the rendered text and digested."""
@@ -50,6 +64,13 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """What is left of each text without repeats of 50 words."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
 @query
 def op6_sentencepiece(spark, sf_dir):
     """Ids by the agenda, checked with the library, and the decoded text."""
@@ -61,3 +82,43 @@ def op7_mix_sources(spark, sf_dir):
     """Words that the mix takes of each document."""
     return mixing.taken_words(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op8_neighbours(spark, sf_dir):
+    """The ten nearest vectors found for each query."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """A toxicity score of every text."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_near_dedup(spark, sf_dir):
+    """Components of near duplicates on two-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+ORACLE["op10_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+         ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS g
+  FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM s JOIN m ON m.id = s.doc_id
+"""
