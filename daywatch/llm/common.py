@@ -42,6 +42,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of a row as one struct `_row` beside the given ones: no name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(whole, *[v.alias(k) for k, v in columns.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns of `_row` again, some replaced."""
+    return rows.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
+
+
 def id_remainder(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % parts

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from daywatch.llm.common import WS, stored, text_of
+from daywatch.llm.common import WS, packed, stored, text_of, unpacked
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -40,8 +40,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # repeated and null ids keep their rows
     full = docs.select(F.col(id_col).alias("_id"), F.length(text_of(text_col)).alias("_cp"),
                        F.length(body).alias("_n"), F.sha2(body, 256).alias("_sha"))
-    full = full.join(survivors, F.col("_id").eqNullSafe(F.col("_s")),
-                     "left" if digest_all else "left").drop("_s")
+    full = full.join(survivors, F.col("_id").eqNullSafe(F.col("_s")), "left").drop("_s")
     if not digest_all:
         full = full.withColumn("_sha", F.when(F.col("_open"), F.col("_sha")))
     full = stored(full, "dedup-digests")
@@ -77,10 +76,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def rows_kept(docs: DataFrame, result: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keep = (result.filter("kept")
             .select(F.col(id_col).alias("_k"), F.lit(True).alias("_stay")).distinct())
-    once = Window.partitionBy("_k", "_body").orderBy(F.length("_raw").desc(), F.col("_raw"))
-    cols = docs.columns
-    body = F.xxhash64(F.translate(text_of(text_col), WS, ""))
-    rows = docs.withColumns({"_body": body, "_raw": text_of(text_col)})
-    rows = rows.join(keep, rows[id_col].eqNullSafe(keep["_k"]), "inner")
-    return (rows.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
-            .select(*[F.col(f"`{c}`") for c in cols]))
+    once = Window.partitionBy("_id", "_body").orderBy(F.length("_raw").desc(), F.col("_raw"))
+    rows = packed(docs, _id=F.col(id_col), _raw=text_of(text_col),
+                  _body=F.xxhash64(F.translate(text_of(text_col), WS, "")))
+    rows = rows.join(keep, F.col("_id").eqNullSafe(F.col("_k")))
+    rows = rows.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1")
+    return unpacked(rows, docs.columns)

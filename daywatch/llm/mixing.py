@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from daywatch.llm.common import WORD, stored, text_of
+from daywatch.llm.common import WORD, packed, stored, text_of, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -186,26 +186,25 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .groupBy("doc_id", "source", "size", "start")
            .agg(F.sort_array(F.collect_list(F.struct("block", "uses"))).alias("_uses")))
     per = per.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"),
-                     F.col("size").alias("_z"), "start",
+                     F.col("size").alias("_z"), F.col("start").alias("_start"),
                      F.col("_uses")["uses"].alias("_uses"),
                      F.row_number().over(Window.partitionBy("doc_id", "source", "size")
                                          .orderBy("start")).alias("_k"))
-    cols = docs.columns
-    source = F.col(options.get("source_col", "source")).cast("string")
-    rows = docs.withColumns({"_id": F.col(id_col), "_s2": source, "_z2": word_count(text_col)})
+    rows = packed(docs, _id=F.col(id_col), _text=text_of(text_col), _z2=word_count(text_col),
+                  _s2=F.col(options.get("source_col", "source")).cast("string"))
     rows = rows.withColumn("_k2", F.row_number().over(
-        Window.partitionBy("_id", "_s2", "_z2").orderBy(F.xxhash64(text_of(text_col)))))
+        Window.partitionBy("_id", "_s2", "_z2").orderBy(F.xxhash64("_text"))))
     rows = rows.join(per, F.col("_id").eqNullSafe(F.col("_d")) & F.col("_s2").eqNullSafe(F.col("_src"))
                      & (F.col("_z2") == F.col("_z")) & (F.col("_k2") == F.col("_k")))
-    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(cap))))
-    rows = rows.filter(F.exists("_uses", lambda u: u >= F.col("_n")))
-    whole = F.forall("_uses", lambda u: u >= F.col("_n"))
-    words = F.regexp_extract_all(text_of(text_col), F.lit(f"({WORD})"), 1)
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.lit(cap))))
+    rows = rows.filter(F.exists("_uses", lambda u: u >= F.col("_nth")))
+    whole = F.forall("_uses", lambda u: u >= F.col("_nth"))
+    words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), 1)
     part = F.concat_ws(" ", F.filter(words, lambda w, i: F.get(F.col("_uses"), (
-        F.floor((F.col("start") + i) / block) - F.floor(F.col("start") / block)).cast("int"))
-        >= F.col("_n")))
-    changed = {text_col: F.when(whole, F.col(f"`{text_col}`")).otherwise(part)}
-    if "n_chars" in cols:
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(
+        F.floor((F.col("_start") + i) / block) - F.floor(F.col("_start") / block)).cast("int"))
+        >= F.col("_nth")))
+    changed = {text_col: F.when(whole, F.col(f"_row.`{text_col}`")).otherwise(part)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("_row.n_chars")).otherwise(
             F.length(part).cast("bigint"))
-    return rows.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in cols])
+    return unpacked(rows, docs.columns, **changed)

@@ -18,14 +18,12 @@ components is lost.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from daywatch.llm.common import (blocks_of, mix, span_hashes, stored, text_bytes, text_of,
-                                 window_hashes, word_spans)
+from daywatch.llm.common import (blocks_of, mix, packed, span_hashes, stored, text_bytes,
+                                 text_of, unpacked, window_hashes, word_spans)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -280,7 +278,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of `docs`, all columns, one document of each component."""
     keep = (near_duplicates(docs, id_col, text_col, words, percent, **options).filter("kept")
             .select(F.col("doc_id").alias("_keep")).distinct())
-    once = Window.partitionBy("_keep").orderBy(F.xxhash64(text_of(text_col)))
-    cols = docs.columns
-    rows = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")))
-    return rows.select(*[F.col(f"`{c}`") for c in cols])
+    rows = packed(docs, _id=F.col(id_col).cast("bigint"))
+    return unpacked(rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep"))), docs.columns)
