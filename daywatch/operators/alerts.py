@@ -62,7 +62,7 @@ def number_alerts(alerts: DataFrame, p: Params = Params()) -> DataFrame:
     Numbered per key range plus the counts of the lower ranges, never by a
     one-task sort.
     """
-    numbered = running_totals(alerts, ["_key"], {"_n": F.lit(1)}, p)
+    numbered = running_totals(alerts, ["_key"], {"_n": F.lit(1)})
     return numbered.select(C.alert_id(F.col("_n")).alias("alert_id"), *_BODY)
 
 
@@ -81,14 +81,30 @@ def normal_status(status: Column) -> Column:
     return F.trim(F.upper(F.coalesce(status, F.lit(""))))
 
 
+STATUS_KEY = ["user_id", "alert_day", "alert_type"]
+
+
+def keyed(alerts: DataFrame) -> DataFrame:
+    """Alerts with `alert_day`, the part of the key that survives a new run."""
+    return alerts.withColumn("alert_day", F.substring("timestamp", 1, 10))
+
+
+def updates_by_id(updates: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Updates that name an alert_id of the current run, as status events."""
+    known = keyed(alerts).select("alert_id", *STATUS_KEY)
+    return updates.join(known, "alert_id").select(*STATUS_KEY, "status", "ts", "seq")
+
+
 def split_status_events(events: DataFrame, alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) updates; rejected carry a `reason`.
 
-    Known ids join once, as a left outer join against the unique alert ids.
+    Only the keys that updates name take part on the alert side, one row each.
     """
-    known = alerts.select("alert_id", F.lit(True).alias("_known"))
+    named = events.select(*STATUS_KEY).distinct()
+    known = (named.join(keyed(alerts).select(*STATUS_KEY), STATUS_KEY, "left_semi")
+             .withColumn("_known", F.lit(True)))
     checked = (events.withColumn("status", normal_status(F.col("status")))
-               .join(known, "alert_id", "left")
+               .join(known, STATUS_KEY, "left")
                .withColumn("reason", F.when(~F.col("status").isin(*ALERT_STATUSES),
                                             F.lit("invalid status"))
                            .when(F.col("_known").isNull(), F.lit("unknown alert")))
@@ -101,7 +117,7 @@ def current_status(events: DataFrame) -> DataFrame:
     """Latest valid status per alert (latest by time, then sequence)."""
     valid = events.withColumn("status", normal_status(F.col("status"))) \
         .filter(F.col("status").isin(*ALERT_STATUSES))
-    return valid.groupBy("alert_id").agg(
+    return valid.groupBy(*STATUS_KEY).agg(
         F.max_by("status", F.struct("ts", "seq")).alias("_status"))
 
 
@@ -111,7 +127,7 @@ def with_current_status(alerts: DataFrame, events: DataFrame) -> DataFrame:
     Updates reduce to one row per alert before the join, so an alert with a
     flood of updates does not skew it.
     """
-    return (alerts.join(current_status(events), "alert_id", "left")
+    return (keyed(alerts).join(current_status(events), STATUS_KEY, "left")
             .withColumn("status", F.coalesce("_status", "status"))
             .select(*alerts.columns))
 

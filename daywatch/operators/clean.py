@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from daywatch.functions import columns as C
@@ -44,8 +44,16 @@ def clean_email(df: DataFrame, p: Params = Params()) -> DataFrame:
             .withColumn("attachments", count))
 
 
+def read_counts(df: DataFrame, p: Params = Params()) -> list[Column]:
+    """Aggregates over a raw log: rows, rows without a usable date, rows without a user."""
+    if isinstance(df.schema["date"].dataType, StringType):
+        parsed = C.parse_timestamp(F.col("date"), p.date_formats)
+    else:
+        parsed = F.col("date").cast("timestamp")
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(parsed.isNull()).alias("bad_dates"),
+            F.count_if(F.col("user").isNull()).alias("no_user")]
+
+
 def unparseable(df: DataFrame, p: Params = Params()) -> DataFrame:
     """One row: rows read, and rows whose date fits no known format."""
-    parsed = C.parse_timestamp(F.col("date"), p.date_formats)
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.count_if(parsed.isNull()).alias("bad_dates"))
+    return df.agg(*read_counts(df, p)[:2])

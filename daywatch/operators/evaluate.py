@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daywatch.operators.iforest import IsolationForestModel, spread
-from daywatch.operators.ranking import exact_quantiles, running_totals
+from daywatch.operators.iforest import IsolationForestModel
+from daywatch.operators.ranking import exact_quantiles, indexed, running_totals
 from daywatch.params import Params
+from daywatch.session import materialise
 
 
 # ---- labels ------------------------------------------------------------------
@@ -64,17 +66,17 @@ def _class_sizes(labelled: DataFrame) -> dict[str, Column]:
             "_N": labelled.agg(F.count_if(~F.col("is_insider")).alias("n")).scalar()}
 
 
-def roc_points(labelled: DataFrame, p: Params = Params()) -> DataFrame:
+def roc_points(labelled: DataFrame) -> DataFrame:
     """(score, fpr, tpr) per distinct score as the threshold; empty without insiders."""
-    run = running_totals(_by_score(labelled), ["_down"], {"tp": "pos", "fp": "neg"}, p)
+    run = running_totals(_by_score(labelled), ["_down"], {"tp": "pos", "fp": "neg"})
     return (run.withColumns(_class_sizes(labelled)).filter("_P > 0").select(
         "score", (F.try_divide(F.col("fp"), F.col("_N"))).alias("fpr"),
         (F.col("tp") / F.col("_P")).alias("tpr")))
 
 
-def roc_auc(labelled: DataFrame, p: Params = Params()) -> DataFrame:
+def roc_auc(labelled: DataFrame) -> DataFrame:
     """One row, area under the ROC curve; null unless both classes occur."""
-    run = running_totals(_by_score(labelled), ["_down"], {"fp": "neg"}, p)
+    run = running_totals(_by_score(labelled), ["_down"], {"fp": "neg"})
     sizes = _class_sizes(labelled)
     # each insider beats the normals below it, and ties count one half
     wins = run.withColumns(sizes).agg(
@@ -84,31 +86,55 @@ def roc_auc(labelled: DataFrame, p: Params = Params()) -> DataFrame:
                        F.col("P").alias("insiders"), F.col("N").alias("normals"))
 
 
-def precision_at_k(labelled: DataFrame, p: Params = Params(),
-                   total_insiders: Column | None = None) -> DataFrame:
-    """Precision and recall among the k best scores, for every k (ties by user)."""
+def insider_total(truth: DataFrame) -> Column:
+    """Insiders in the ground truth, with or without activity."""
+    known = truth.filter("is_insider")
+    return known.agg(F.count_distinct("user_id").alias("n")).scalar()
+
+
+def precision_at_k(labelled: DataFrame, truth: DataFrame) -> DataFrame:
+    """Precision and recall among the k best scores, for every k (ties by user).
+
+    Recall is over all insiders of the ground truth, also those without a score.
+    """
     ranked = running_totals(
         labelled.withColumn("_down", -F.col("score")), ["_down", "user"],
-        {"k": F.lit(1), "hits": F.col("is_insider").cast("bigint")}, p)
-    total = _class_sizes(labelled)["_P"] if total_insiders is None else total_insiders
-    return (ranked.withColumn("_P", total).filter("_P > 0").select(
+        {"k": F.lit(1), "hits": F.col("is_insider").cast("bigint")})
+    return (ranked.withColumn("_T", insider_total(truth)).filter("_T > 0").select(
         "k", "user", "score", "hits", (F.col("hits") / F.col("k")).alias("precision"),
-        (F.col("hits") / F.col("_P")).alias("recall")))
+        (F.col("hits") / F.col("_T")).alias("recall")))
 
 
 def top_k_precision(labelled: DataFrame) -> DataFrame:
-    """Precision among the K best scores with K = number of insiders; empty without any."""
-    at = precision_at_k(labelled).withColumn("_K", _class_sizes(labelled)["_P"])
-    return at.filter(F.col("k") == F.col("_K")).select("k", "hits", "precision")
+    """Precision among the K best scores, K = insiders with a score; empty without any."""
+    ranked = running_totals(
+        labelled.withColumn("_down", -F.col("score")), ["_down", "user"],
+        {"k": F.lit(1), "hits": F.col("is_insider").cast("bigint")})
+    at = ranked.withColumn("_K", _class_sizes(labelled)["_P"]).filter(F.col("k") == F.col("_K"))
+    return at.select("k", "hits", (F.col("hits") / F.col("k")).alias("precision"))
 
 
-def detection_report(labelled: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20)) -> DataFrame:
-    """Precision and recall at the chosen k and at k = number of insiders."""
-    at = precision_at_k(labelled).withColumn("_K", _class_sizes(labelled)["_P"])
-    return at.filter(F.col("k").isin(*ks) | (F.col("k") == F.col("_K"))) \
+def detection_report(labelled: DataFrame, truth: DataFrame,
+                     ks: tuple[int, ...] = (5, 10, 15, 20)) -> DataFrame:
+    """Precision and recall at the chosen k and at k = all insiders of the ground truth."""
+    at = precision_at_k(labelled, truth).withColumn("_T", insider_total(truth))
+    return at.filter(F.col("k").isin(*ks) | (F.col("k") == F.col("_T"))) \
         .select("k", "hits", "precision", "recall")
 
 
+def detector_report(scored: DataFrame, truth: DataFrame,
+                    scores: tuple[str, ...] = ("if_score", "ae_score", "risk_score")) -> DataFrame:
+    """One row per detector: area under the ROC curve and precision among the K best."""
+    rows = []
+    for name in scores:
+        labelled = materialise(label_scores(user_scores(scored, name), truth), "detector")
+        best = top_k_precision(labelled).agg(F.max("precision").alias("v")).scalar()
+        rows.append(roc_auc(labelled).select(
+            F.lit(name).alias("detector"), "auc_roc", "insiders", "normals",
+            best.alias("precision_top_k")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # ---- cohorts -----------------------------------------------------------------
 
 def cohort_means(labelled: DataFrame) -> DataFrame:
@@ -199,17 +225,14 @@ def long_form(df: DataFrame, measures: list[str], keep: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, measures: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max per measure (long form)."""
-    x = F.col("value")
-    stats = long_form(df, measures, []).groupBy("measure").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
+    kinds = (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+    row = df.agg(*[f(F.col(m).cast("double")).alias(f"{k}|{m}") for m in measures for k, f in kinds])
     q = exact_quantiles(df, measures, [0.25, 0.5, 0.75])
-
-    def at(prob):
-        return F.create_map(*[v for m in measures for v in (
-            F.lit(m), F.lit(q[(m, prob)]).cast("double"))])[F.col("measure")]
-
-    return stats.withColumns({"p25": at(0.25), "p50": at(0.5), "p75": at(0.75)})
+    one = F.array(*[F.struct(
+        F.lit(m).alias("measure"), *[F.col(f"`{k}|{m}`").alias(k) for k, _ in kinds],
+        *[F.lit(q[(m, p)]).cast("double").alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
+        for m in measures])
+    return row.select(F.explode(one).alias("r")).select("r.*")
 
 
 def correlation(df: DataFrame, measures: list[str]) -> DataFrame:
@@ -258,8 +281,7 @@ def density_histogram(rows: DataFrame, groups: list[str], bins: Column,
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
                        bins.cast("int").alias("bins"))
     if groups:
-        # measures x cohorts rows, both fixed lists: safe to broadcast
-        placed = rows.join(F.broadcast(span), groups)
+        placed = rows.join(span, groups)    # one row per group: its size decides the join
     else:
         cell = span.agg(F.first(F.struct(*span.columns))).scalar()
         placed = rows.withColumn("_s", cell).select(*rows.columns, "_s.*")
@@ -293,44 +315,54 @@ def activity_histogram(rates: DataFrame, truth: DataFrame) -> DataFrame:
 # ---- permutation importance --------------------------------------------------
 
 def permutation_importance(features: DataFrame, model: IsolationForestModel,
-                           names: tuple[str, ...], p: Params = Params(),
-                           group_rows: int = 512) -> DataFrame:
+                           names: tuple[str, ...], p: Params = Params()) -> DataFrame:
     """Mean absolute score change when one feature is shuffled, per feature.
 
-    Rows fall into groups by a hash of their key; each column is permuted within
-    the group, which is a random permutation of the column as a whole, and all
-    features are scored in the same pass.  Groups stay near `group_rows` rows.
+    Every column is permuted as a whole.  Rows are numbered in a pseudorandom order;
+    feature f of row i comes from row i + s(f), modulo the rows, with a shift drawn per
+    feature.  Values travel to their rows through one shuffle; all features are scored in
+    one pass.
     """
-    spark = features.sparkSession
-    groups = max(1, math.ceil(features.count() / group_rows))
+    spark, width = features.sparkSession, len(names)
+    rows = materialise(indexed(features.select("user", "day", "features"), ["user", "day"], p.seed),
+                       "importance")
+    n = rows.count()
+    rng = np.random.default_rng(p.seed)
+    shifts = rng.integers(1, max(2, n), width).tolist()
+    shift = F.element_at(F.array(*[F.lit(x) for x in shifts]), F.col("f") + 1)
+    given = rows.select("_idx", F.posexplode("features").alias("f", "v")).select(
+        F.pmod(F.col("_idx") - shift, F.lit(max(1, n))).alias("_to"), "f", "v")
+    given = given.groupBy("_to").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("other"))
+    both = rows.select("_idx", "features").join(given, F.col("_idx") == F.col("_to")) \
+        .select("features", "other")
     shared = spark.sparkContext.broadcast(model.forest())
     low, span = model.score_min, model.score_max - model.score_min + 1e-10
-    seed = p.seed
-
-    def change(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["user", "day"], kind="stable")
-        x = np.stack(part["features"].to_numpy())
-        rng = np.random.default_rng([seed, int(key[0])])
 
+    def change(batches):
         def score(m):
             return np.clip((1 - (shared.value.raw(m) - low) / span) * 100, 0, 100)
 
-        base = score(x)
-        sums = []
-        for i in range(x.shape[1]):
-            mixed = x.copy()
-            mixed[:, i] = rng.permutation(mixed[:, i])
-            sums.append(float(np.abs(score(mixed) - base).sum()))
-        return pd.DataFrame({"position": range(x.shape[1]), "total": sums, "n": len(x)})
-
-    bucket = F.pmod(F.xxhash64("user", "day", F.lit(p.seed)), F.lit(groups)).alias("g")
-    grouped = spread(features.select(bucket, "user", "day", "features"), groups, "g")
-    parts = (grouped.groupBy("g")
-             .applyInPandas(change, "position int, total double, n bigint"))
-    label = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    return parts.groupBy("position").agg(
-        (F.sum("total") / F.sum("n")).alias("importance")
-    ).select(label[F.col("position")].alias("feature"), "importance")
+        total, seen = np.zeros(width), 0
+        for part in batches:
+            if not len(part):
+                continue
+            x, other = np.stack(part["features"].to_numpy()), np.stack(part["other"].to_numpy())
+            base = score(x)
+            seen += len(x)
+            for i in range(width):
+                mixed = x.copy()
+                mixed[:, i] = other[:, i]
+                total[i] += float(np.abs(score(mixed) - base).sum())
+        yield pd.DataFrame({"position": range(width), "total": total, "n": seen})
+
+    cores = spark.sparkContext.defaultParallelism
+    parts = both.repartition(4 * cores).mapInPandas(change, "position int, total double, n bigint")
+    label = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(i), F.lit(name))])
+    found = parts.groupBy("position").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("importance")) \
+        .select(label[F.col("position")].alias("feature"), "importance").collect()
+    shared.destroy()                         # one row per feature is kept
+    return spark.createDataFrame(found, "feature string, importance double")
 
 
 def top_importances(importance: DataFrame, n: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from daywatch.params import FEATURES, Params
 
 NAMES = (*FEATURES, "dept_encoded")
 
+# Descriptive columns that scored days keep.
 META = ("department", "files_accessed", "usb_count", "emails_external", "after_hours_logins",
         "sensitive_files", "email_attachments", "session_duration_total", "unique_pcs")
 
@@ -94,13 +95,7 @@ def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
 
 
 def _moments(df: DataFrame, cols: list) -> list[tuple]:
-    """(mean, sample std, population std) per column, nulls left out.
-
-    One short aggregate over (position, value) pairs; only partial aggregates
-    of a few groups are shuffled.
-    """
-    pairs = df.select(F.posexplode(F.array(*cols)).alias("i", "x"))
-    found = {r.i: (r.m, r.s, r.p) for r in pairs.groupBy("i").agg(
-        F.avg("x").alias("m"), F.stddev_samp("x").alias("s"),
-        F.stddev_pop("x").alias("p")).collect()}
-    return [found.get(i, (None, None, None)) for i in range(len(cols))]
+    """(mean, sample std, population std) per column, nulls left out; one aggregate row."""
+    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols)
+                   for n, f in (("m", F.avg), ("s", F.stddev_samp), ("p", F.stddev_pop))]).first()
+    return [(row[f"m{i}"], row[f"s{i}"], row[f"p{i}"]) for i in range(len(cols))]

@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, 2008), grown and applied on Spark.
 
-Fitting needs `trees` samples of at most `tree_rows` rows.  They are drawn by
-key hashes, so the draw does not depend on partitioning, and only the drawn
-rows are shuffled.  Each tree grows in a task of its own; scoring is one
+Fitting needs `trees` samples of at most `tree_rows` rows.  Rows are numbered by a
+hash of their keys, so the draw does not depend on partitioning, and only the drawn
+rows go to the trees.  Each tree grows in a task of its own; scoring is one
 vectorised pass with the node table (at most trees * (2 * tree_rows - 1) rows)
 broadcast.
 """
@@ -10,20 +10,21 @@ broadcast.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daywatch.functions import columns as C
-from daywatch.operators.ranking import exact_quantiles
+from daywatch.operators.ranking import exact_quantiles, indexed
 from daywatch.params import Params
+from daywatch.session import materialise
 
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, "
                "left int, right int, size int, depth int")
-HASH_RANGE = 2 ** 31
 
 
 def path_norm(n):
@@ -112,30 +113,21 @@ def spread(df: DataFrame, groups: int, key: str) -> DataFrame:
 
 
 def draw_samples(train: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, int]:
-    """`tree_rows` rows without replacement for every tree, as (tree_id, features).
+    """`tree_rows` rows without replacement for every tree, as (tree_id, nth, features).
 
-    A uniform pool of about 20 times the rows needed bounds the (row, tree)
-    draws; inside it every tree takes its smallest hashes.
+    Rows are numbered in a pseudorandom order of their keys; every tree draws numbers.
+    The draws, trees * tree_rows numbers, are a bounded table that meets the rows by
+    number: one rule at every size, and no tree is short.
     """
+    rows = indexed(train.select(*keys, "features"), keys, p.seed)
     total = train.count()
     size = min(p.tree_rows, total)
-
-    def share(fraction: float, *salt):
-        mark = F.pmod(F.xxhash64(*keys, *map(F.lit, salt[:1]), *salt[1:]), F.lit(HASH_RANGE))
-        return mark, mark < F.lit(int(min(1.0, fraction) * HASH_RANGE))
-
-    pool_share = 20.0 * p.trees * p.tree_rows / max(total, 1)
-    _, in_pool = share(pool_share, p.seed)
-    pool = train.filter(in_pool) if pool_share < 1 else train
-    pool_size = min(total, int(20.0 * p.trees * p.tree_rows))
-    # twice the rows needed: too few for a tree is 11 standard deviations away
-    mark, taken = share(2.0 * size / max(pool_size, 1), p.seed + 1, F.col("tree_id"))
-    drawn = (pool.select(*keys, "features",
-                         F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))).alias("tree_id"))
-             .filter(taken).withColumn("mark", mark))
-    nth = F.row_number().over(W.partitionBy("tree_id").orderBy("mark", *keys))
-    return (spread(drawn, p.trees, "tree_id").withColumn("nth", nth).filter(F.col("nth") <= size)
-            .select("tree_id", "nth", "features")), size
+    drawn = [(t, i, x) for t in range(p.trees)
+             for i, x in enumerate(random.Random(p.seed * 1_000_003 + t).sample(range(total), size))]
+    picks = train.sparkSession.createDataFrame(drawn, "tree_id int, nth int, _idx bigint")
+    # bounded by trees * tree_rows
+    chosen = rows.join(F.broadcast(picks), "_idx").select("tree_id", "nth", "features")
+    return spread(chosen, p.trees, "tree_id"), size
 
 
 @dataclass(frozen=True)
@@ -150,7 +142,10 @@ class IsolationForestModel:
         return _flatten(self.nodes, self.tree_rows)
 
     def raw_score(self, spark: SparkSession, features: Column) -> Column:
-        shared = spark.sparkContext.broadcast(self.forest())
+        shared = self.__dict__.get("_shared")
+        if shared is None:                   # one broadcast per model, not per call
+            shared = spark.sparkContext.broadcast(self.forest())
+            object.__setattr__(self, "_shared", shared)
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -190,6 +185,8 @@ def fit_iforest(train: DataFrame, p: Params = Params(),
                 keys: tuple[str, ...] = ("user", "day")) -> IsolationForestModel:
     """Grow the trees, then calibrate on all training rows."""
     samples, size = draw_samples(train, list(keys), p)
+    if size == 0:
+        raise ValueError("no training rows")
     limit, seed = max(1, math.ceil(math.log2(max(size, 2)))), p.seed
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -202,11 +199,8 @@ def fit_iforest(train: DataFrame, p: Params = Params(),
 
     nodes = samples.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
     draft = IsolationForestModel(nodes, size, 0.0, 0.0, 0.0)
-    raw = train.select(draft.raw_score(train.sparkSession, F.col("features")).alias("raw"))
-    raw = raw.persist()
-    try:
-        ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
-        offset = exact_quantiles(raw, ["raw"], [p.contamination])[("raw", p.contamination)]
-    finally:
-        raw.unpersist()
+    raw = materialise(train.select(
+        draft.raw_score(train.sparkSession, F.col("features")).alias("raw")), "iforest-raw")
+    ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
+    offset = exact_quantiles(raw, ["raw"], [p.contamination])[("raw", p.contamination)]
     return IsolationForestModel(nodes, size, ends.lo, ends.hi, offset)

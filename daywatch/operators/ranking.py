@@ -1,151 +1,101 @@
 """Exact global ranks, running totals and quantiles without a one-task sort.
 
-A global window would pull every row into one task.  Here rows get a bucket,
-which is a monotone function of the sort key, so ranks are local ranks plus the
-totals of the lower buckets.  Split points come from a uniform sample of the
-keys; they only balance the buckets, results never depend on them.
+A global window would pull every row into one task.  Here Spark's range partitioner
+deals the rows, every row is tagged with its partition's number, and the result is
+written once so that the tag is stable.  Partitions are monotone in the sort order, so
+a running total is the local one plus the totals of the lower partitions.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from daywatch.params import Params
+from daywatch.session import materialise
 
 
-def split_points(df: DataFrame, keys: list[str], p: Params = Params()) -> list[tuple]:
-    """At most `rank_buckets` - 1 key tuples that cut `df` into even buckets.
-
-    About 2 * `rank_sample` keys, chosen by their hash and so the same on every
-    run, reach the driver.  Fewer keys than `rank_sample` fit one bucket.
-    """
-    total = df.count()
-    if total < p.rank_sample:
-        return []
-    share = min(1.0, 2.0 * p.rank_sample / total)
-    mark = F.pmod(F.xxhash64(*keys), F.lit(2 ** 31))
-    rows = df.select(*keys).filter(mark < F.lit(int(share * 2 ** 31))).collect()
-    found = sorted({tuple(r) for r in rows})
-    step = max(1, len(found) // p.rank_buckets)
-    return found[step::step]
-
-
-def bucket_of(keys: list[str], points: list[tuple]) -> Column:
-    """Index of the bucket that holds the key tuple (ascending order)."""
-    if not points:
-        return F.lit(0)
-
-    @F.pandas_udf("int")
-    def find(block: pd.DataFrame) -> pd.Series:
-        rows = block.itertuples(index=False, name=None)
-        return pd.Series([bisect_right(points, r) for r in rows], dtype="int32")
-
-    return find(F.struct(*keys))
-
-
-def running_totals(df: DataFrame, keys: list[str], sums: dict[str, str | Column],
-                   p: Params = Params(), points: list[tuple] | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str | Column],
+                   sums: dict[str, str | Column]) -> DataFrame:
     """Adds, for each `name: value`, the running sum of `value` in order of `keys`.
 
-    `keys` are ascending, free of nulls and unique (aggregate equal keys first).
+    `keys` are column names or sort expressions that order the rows uniquely
+    (aggregate equal keys first).  The same plan at every size.
     """
-    if points is None:
-        points = split_points(df, keys, p)
-    values = {n: (F.col(v) if isinstance(v, str) else v) for n, v in sums.items()}
-    if not points:
-        # fewer than `rank_sample` rows in all: one small task
-        upto = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({n: F.sum(v).over(upto) for n, v in values.items()})
-
-    parts = df.withColumns({**{f"_v_{n}": v for n, v in values.items()},
-                            "_bucket": bucket_of(keys, points)})
-    per_bucket = parts.groupBy("_bucket").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    # one row per bucket, at most `rank_buckets` + 1: small enough for one task
-    lower = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = per_bucket.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(lower), F.lit(0)).alias(f"_b_{n}")
-                     for n in values])
-    upto = W.partitionBy("_bucket").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    local = parts.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in values})
-    out = local.join(F.broadcast(base), "_bucket")
+    values = {f"_v_{n}": (F.col(v) if isinstance(v, str) else v) for n, v in sums.items()}
+    dealt = df.withColumns(values).repartitionByRange(*keys)
+    parts = materialise(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    per_part = parts.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    # one row per shuffle partition
+    lower = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = per_part.select(
+        "_part", *[F.coalesce(F.sum(f"_t_{n}").over(lower), F.lit(0)).alias(f"_b_{n}")
+                   for n in sums])
+    upto = W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    local = parts.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in sums})
+    out = local.join(F.broadcast(base), "_part")
     return out.select(*df.columns,
-                      *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
+                      *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def indexed(df: DataFrame, keys: list[str], seed: int, name: str = "_idx") -> DataFrame:
+    """Adds a dense number from 0 in a pseudorandom order that the keys alone decide."""
+    mark = F.xxhash64(*keys, F.lit(seed))
+    rows = running_totals(df.withColumn("_mark", mark), ["_mark", *keys], {name: F.lit(1)})
+    return rows.drop("_mark").withColumn(name, F.col(name) - 1)
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    small: int = 100_000, error: float = 1e-4) -> dict[tuple[str, float], float]:
-    """Linear-interpolated quantiles, exact at any size.
+                    error: float = Params.quantile_error) -> dict[tuple[str, float], float]:
+    """Linear-interpolated quantiles, exact at any size, by one path.
 
-    Small inputs go through `percentile`.  Larger ones are bracketed by
-    `approxQuantile`; only values inside a bracket (at most 6 * `error` of the
-    rows, equal values collapsed) are ranked, and two values per quantile reach
-    the driver.
+    `approxQuantile` brackets every quantile; values inside a bracket (at most
+    6 * `error` of the rows, equal values collapsed) are ranked across partitions,
+    and two values per quantile reach the driver.
     """
     clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")),
                                F.col(c).cast("double")).alias(c) for c in cols])
-    pairs = clean.select(F.posexplode(F.array(*cols)).alias("i", "v")).dropna(subset=["v"])
-    found = {r.i: r.n for r in pairs.groupBy("i").agg(F.count("v").alias("n")).collect()}
-    sizes = {c: found.get(i, 0) for i, c in enumerate(cols)}
-    if max(sizes.values()) <= small:
-        rows = pairs.groupBy("i").agg(
-            F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
-        values = {cols[r.i]: r.q for r in rows}
-        return {(c, q): (values[c][k] if c in values else None)
-                for c in cols for k, q in enumerate(probs)}
-
-    targets = {}
-    for c in cols:
-        for i, q in enumerate(probs):
-            at = q * (sizes[c] - 1)
-            targets[(c, i)] = (math.floor(at), math.ceil(at), at - math.floor(at))
     width = error
     while True:
         edges = [e for q in probs for e in (max(0.0, q - 2 * width), min(1.0, q + 2 * width))]
         found = clean.approxQuantile(cols, edges, width)
-        spans = {(c, i): (found[j][2 * i], found[j][2 * i + 1])
-                 for j, c in enumerate(cols) for i in range(len(probs)) if sizes[c]}
-        below = clean.agg(*[F.count_if(F.col(c) < lo).alias(f"{c}|{i}")
-                            for (c, i), (lo, _) in spans.items()]).first()
+        spans = [(c, i, found[j][2 * i], found[j][2 * i + 1])
+                 for j, c in enumerate(cols) if found[j] for i in range(len(probs))]
+        if not spans:
+            return {(c, q): None for c in cols for q in probs}
+        row = clean.agg(
+            *[F.count(c).alias(f"n|{c}") for c in {s[0] for s in spans}],
+            *[x for g, (c, _, lo, hi) in enumerate(spans) for x in (
+                F.count_if(F.col(c) < lo).alias(f"below|{g}"),
+                F.count_if(F.col(c).between(lo, hi)).alias(f"in|{g}"))]).first()
         tagged = clean.select(F.explode(F.array(*[
-            F.when(F.col(c).between(lo, hi),
-                   F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.col(c).alias("v")))
-            for (c, i), (lo, hi) in spans.items()])).alias("t")).filter("t IS NOT NULL")
-        counts = tagged.groupBy("t.c", "t.i", "t.v").agg(F.count(F.lit(1)).alias("n"))
-        base = F.create_map(*[x for (c, i) in spans
-                              for x in (F.lit(f"{c}|{i}"), F.lit(below[f"{c}|{i}"]))])
-        low = F.create_map(*[x for key in spans for x in (
-            F.lit(f"{key[0]}|{key[1]}"), F.lit(targets[key][0]))])
-        high = F.create_map(*[x for key in spans for x in (
-            F.lit(f"{key[0]}|{key[1]}"), F.lit(targets[key][1]))])
-        tag = F.concat_ws("|", "c", F.col("i").cast("string"))
-        order = W.partitionBy("c", "i").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-        ranked = counts.withColumn("upto", F.sum("n").over(order) + base[tag])
+            F.when(F.col(c).between(lo, hi), F.struct(F.lit(g).alias("g"), F.col(c).alias("v")))
+            for g, (c, _, lo, hi) in enumerate(spans)])).alias("t")).filter("t IS NOT NULL")
+        counts = tagged.groupBy("t.g", "t.v").agg(F.count(F.lit(1)).alias("n"))
+        ranked = running_totals(counts, ["g", "v"], {"upto": "n"})
+        # ranks count from the whole column's start instead of the first group's
+        targets, shift, before = [], [], 0
+        for g, (c, i, _, _) in enumerate(spans):
+            at = probs[i] * (row[f"n|{c}"] - 1)
+            targets.append((math.floor(at), math.ceil(at), at - math.floor(at)))
+            shift.append(row[f"below|{g}"] - before)
+            before += row[f"in|{g}"]
+
+        def of(values):
+            return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("g") + 1)
+
+        last = F.col("upto") + of(shift)
         hit = ranked.select(
-            "c", "i", "v",
-            (low[tag].between(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("lo"),
-            (high[tag].between(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("hi"),
+            "g", "v", of([t[0] for t in targets]).between(last - F.col("n"), last - 1).alias("lo"),
+            of([t[1] for t in targets]).between(last - F.col("n"), last - 1).alias("hi"),
         ).filter("lo OR hi").collect()
-        ends: dict[tuple[str, int], list] = {}
-        for r in hit:
-            pair = ends.setdefault((r["c"], r["i"]), [None, None])
-            if r["lo"]:
-                pair[0] = r["v"]
-            if r["hi"]:
-                pair[1] = r["v"]
-        if all(None not in ends.get(k, [None]) for k in spans):
+        low = {r["g"]: r["v"] for r in hit if r["lo"]}
+        high = {r["g"]: r["v"] for r in hit if r["hi"]}
+        if len(low) == len(high) == len(spans):
             break
         width *= 4  # a bracket missed its rank: widen and look again
-    out = {}
-    for c in cols:
-        for i, q in enumerate(probs):
-            if not sizes[c]:
-                out[(c, q)] = None
-                continue
-            a, b = ends[(c, i)]
-            out[(c, q)] = a + (b - a) * targets[(c, i)][2]
+    out = {(c, q): None for c in cols for q in probs}
+    for g, (c, i, _, _) in enumerate(spans):
+        out[(c, probs[i])] = low[g] + (high[g] - low[g]) * targets[g][2]
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from daywatch.functions import columns as C
 from daywatch.operators.ranking import exact_quantiles
 from daywatch.params import Params
+from daywatch.session import materialise
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,10 @@ class ReconModel:
 
 
 def fit_recon(train: DataFrame, p: Params = Params()) -> ReconModel:
-    width = len(train.select("features").first()[0])
+    first = train.select("features").first()
+    if first is None:
+        raise ValueError("no training rows")
+    width = len(first[0])
     vectors = train.select("features", array_to_vector("features").alias("_x"))
     stages = Pipeline(stages=[
         StandardScaler(inputCol="_x", outputCol="_centred", withMean=True, withStd=False),
@@ -65,11 +69,8 @@ def fit_recon(train: DataFrame, p: Params = Params()) -> ReconModel:
     ]).fit(vectors)
     kept = min(p.recon_components, width // 2)
     draft = ReconModel(stages, kept, 0.0, 0.0, 0.0)
-    errors = draft.with_error(train.select("features")).select("recon_error").persist()
-    try:
-        low = errors.agg(F.min("recon_error")).first()[0]
-        cut = exact_quantiles(errors, ["recon_error"], [0.95, 0.999])
-    finally:
-        errors.unpersist()
+    errors = materialise(draft.with_error(train.select("features")).select("recon_error"), "errors")
+    low = errors.agg(F.min("recon_error")).first()[0]
+    cut = exact_quantiles(errors, ["recon_error"], [0.95, 0.999])
     return ReconModel(stages, kept, cut[("recon_error", 0.95)], low,
                       cut[("recon_error", 0.999)])

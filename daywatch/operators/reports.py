@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from daywatch.functions import columns as C
 from daywatch.operators.alerts import by_score, top_alerts_per_user
 from daywatch.operators.daily import one_per_user
+from daywatch.operators.ranking import running_totals
 from daywatch.operators.scoring import last_day, recent
 from daywatch.params import (ALERT_EXPORT, ALERTING_TIERS, BEHAVIOUR_MAXIMA, TIERS,
                              USER_EXPORT, WEEKDAYS, Params)
@@ -22,9 +23,23 @@ def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _page(df: DataFrame, order: list[Column], page: int, limit: int | None) -> DataFrame:
-    """One page; the order ends in an id, so pages never overlap.  None = all rows."""
-    ordered = df.orderBy(*order)
-    return ordered if limit is None else ordered.offset((page - 1) * limit).limit(limit)
+    """One page; the order ends in an id, so pages never overlap.  None = all rows.
+
+    The first page is a top-k.  Rows of later pages are found by their rank, which is
+    computed per key range, so a deep page costs no task more than its range.
+    """
+    if limit is None:
+        return df.orderBy(*order)
+    if page <= 1:
+        return df.orderBy(*order).limit(limit)
+    first = (page - 1) * limit
+    ranked = running_totals(df, order, {"_nth": F.lit(1)})
+    return ranked.filter(F.col("_nth").between(first + 1, first + limit)).orderBy("_nth").drop("_nth")
+
+
+def with_total(page: DataFrame, matching: DataFrame) -> DataFrame:
+    """The page's rows with the number of all matching rows beside them."""
+    return page.withColumn("total", matching.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 # ---- KPIs --------------------------------------------------------------------
@@ -33,12 +48,13 @@ def week_over_week(scored: DataFrame, as_of: dt.date | None = None) -> DataFrame
     """Mean score of the last 7 days against the 7 before, in percent; one pass."""
     newest = last_day(scored, as_of)
     last = F.col("day") >= F.date_sub(newest, 7)
-    prior = (F.col("day") >= F.date_sub(newest, 14)) & (F.col("day") < F.date_sub(newest, 7))
-    means = scored.agg(F.avg(F.when(last, F.col("risk_score"))).alias("last7"),
-                       F.avg(F.when(prior, F.col("risk_score"))).alias("prev7"))
+    # the filter prunes day partitions: 15 days are read
+    means = scored.filter(F.col("day") >= F.date_sub(newest, 14)).agg(
+        F.avg(F.when(last, F.col("risk_score"))).alias("last7"),
+        F.avg(F.when(~last, F.col("risk_score"))).alias("prev7"))
     change = (F.col("last7") - F.col("prev7")) / F.col("prev7") * 100.0
     return means.withColumn(
-        "risk_trend_pct", F.when(F.col("prev7") > 0, F.round(change, 1)).otherwise(F.lit(0.0)))
+        "risk_trend_pct", F.when(F.col("prev7") > 0, F.bround(change, 1)).otherwise(F.lit(0.0)))
 
 
 def tier_distribution(user_risk: DataFrame) -> DataFrame:
@@ -73,7 +89,7 @@ def kpis(user_risk: DataFrame, alerts: DataFrame, scored: DataFrame,
         F.count_distinct("user").alias("total_users"),
         F.count_if(F.col("risk_tier") == "CRITICAL").alias("critical_users"),
         F.count_if(F.col("risk_tier") == "HIGH").alias("high_risk_users"),
-        F.round(F.avg("avg_risk_score"), 1).alias("avg_risk_score"))
+        F.bround(F.avg("avg_risk_score"), 1).alias("avg_risk_score"))
     waiting = alerts.agg(
         F.count_if(F.col("status").isin("OPEN", "IN_PROGRESS")).alias("open_alerts"))
     week = week_over_week(scored, as_of).select("risk_trend_pct")
@@ -253,7 +269,7 @@ def heatmap(scored: DataFrame) -> DataFrame:
     """Mean score per department and weekday name, one decimal."""
     return (scored.filter("department IS NOT NULL")
             .groupBy("department", F.date_format("day", "EEEE").alias("dow"))
-            .agg(F.round(F.avg("risk_score"), 1).alias("avg_risk")))
+            .agg(F.bround(F.avg("risk_score"), 1).alias("avg_risk")))
 
 
 def heatmap_matrix(heat: DataFrame) -> DataFrame:
@@ -270,8 +286,8 @@ def heatmap_top(heat: DataFrame, n: int = 6) -> DataFrame:
 def departments(user_risk: DataFrame, p: Params = Params()) -> DataFrame:
     rollup = user_risk.filter("department IS NOT NULL").groupBy("department").agg(
         F.count("user").alias("user_count"),
-        F.round(F.avg("avg_risk_score"), 2).alias("avg_risk"),
-        F.round(F.max("max_risk_score"), 2).alias("max_risk"),
+        F.bround(F.avg("avg_risk_score"), 2).alias("avg_risk"),
+        F.bround(F.max("max_risk_score"), 2).alias("max_risk"),
         F.count_if(F.col("risk_tier") == "CRITICAL").alias("critical_count"),
         F.count_if(F.col("risk_tier") == "HIGH").alias("high_count"))
     return rollup.withColumn("dept_tier", C.dept_tier(F.col("avg_risk"), p))

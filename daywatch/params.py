@@ -38,11 +38,14 @@ FEATURES = (
     "usb_count", "usb_after_hours",
     "emails_sent", "emails_external", "email_attachments",
     "day_of_week", "is_weekend",
-    *(f"{m}_deviation" for m in (
-        "files_accessed", "usb_count", "emails_external", "after_hours_ratio",
-        "sensitive_files", "email_attachments", "session_duration_total")),
+    *(f"{m}_deviation" for m in BASELINE_MEASURES),
 )
 
+# Measures whose distributions are compared between cohorts.
+COMPARED = ("files_accessed", "usb_count", "emails_external", "after_hours_ratio",
+            "sensitive_files", "email_attachments", "files_accessed_deviation",
+            "usb_count_deviation")
+
 # Behaviour measures of a dossier with the value shown as 100 %.
 BEHAVIOUR_MAXIMA = {
     "files_accessed": 80,
@@ -67,7 +70,7 @@ class Params:
     # cleaning
     business_start: int = 8
     business_end: int = 18
-    date_formats: tuple[str, ...] = ("M/d/yyyy H:m:s",)
+    date_formats: tuple[str, ...] = ("M/d/yyyy H:m:s", "M/d/yyyy H:m")
     sensitive_pattern: str = "confidential|secret|private|salary|credential|strategy"
     internal_domains: tuple[str, ...] = ("dtaa.com",)
     # sessions
@@ -109,6 +112,5 @@ class Params:
     dossier_alerts: int = 20
     behaviour_rows: int = 30
     calendar_rows: int = 60
-    # distributed ranking
-    rank_sample: int = 10_000         # keys sampled to the driver for split points
-    rank_buckets: int = 1_000
+    # exact quantiles: error of the approximate bracket around each
+    quantile_error: float = 1e-4

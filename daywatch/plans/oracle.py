@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from daywatch.params import BASELINE_MEASURES, BEHAVIOUR_MAXIMA, FEATURES, WEEKDAYS
+from daywatch.params import BASELINE_MEASURES, BEHAVIOUR_MAXIMA, COMPARED, FEATURES, WEEKDAYS
 
 FMT = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -162,13 +162,15 @@ CTES |= {
         ELSE lpad(n::varchar, 5, '0') END AS alert_id, * EXCLUDE (n) FROM (
         SELECT * FROM day_alerts UNION ALL
         SELECT * REPLACE (n + (SELECT count(*) FROM day_alerts) AS n) FROM rise_alerts)""",
-    "updates": """SELECT 'ALT-' || lpad((k + 1)::varchar, 5, '0') AS alert_id,
+    "updates": """SELECT "user" AS user_id, day::varchar AS alert_day,
+        CASE WHEN event_id % 7 = 0 THEN 'RISING_TREND' ELSE 'DAILY_ANOMALY' END AS alert_type,
         upper(trim((['resolved', 'IN_PROGRESS', ' open ', 'CLOSED'])[event_id % 4 + 1]))
         AS status, ts, event_id AS seq FROM ev WHERE event_type = 'click'""",
-    "latest": """SELECT alert_id, arg_max(status, (ts, seq)) AS newest_status FROM updates
-        WHERE status IN ('OPEN', 'IN_PROGRESS', 'RESOLVED') GROUP BY alert_id""",
+    "latest": """SELECT user_id, alert_day, alert_type, arg_max(status, (ts, seq)) AS newest_status
+        FROM updates WHERE status IN ('OPEN', 'IN_PROGRESS', 'RESOLVED') GROUP BY ALL""",
     "triaged": """SELECT alerts.* REPLACE (coalesce(newest_status, status) AS status)
-        FROM alerts LEFT JOIN latest USING (alert_id)""",
+        FROM alerts LEFT JOIN latest l ON l.user_id = alerts.user_id
+        AND l.alert_type = alerts.alert_type AND alert_day = substr(timestamp, 1, 10)""",
     "people": """SELECT risk.*, coalesce(d.name, 'Unknown') AS name, coalesce(d.role, '') AS role
         FROM risk LEFT JOIN directory d ON user_id = "user\"""",
     "wow": """SELECT avg(risk_score) FILTER (day >= d - 7) AS last7,
@@ -176,17 +178,17 @@ CTES |= {
     "kpi": """SELECT (SELECT count(*) FROM risk) AS total_users,
         (SELECT count(*) FROM risk WHERE risk_tier = 'CRITICAL') AS critical_users,
         (SELECT count(*) FROM risk WHERE risk_tier = 'HIGH') AS high_risk_users,
-        (SELECT round(avg(avg_risk_score), 1) FROM risk) AS avg_risk_score,
+        (SELECT round_even(avg(avg_risk_score), 1) FROM risk) AS avg_risk_score,
         (SELECT count(*) FROM triaged WHERE status IN ('OPEN', 'IN_PROGRESS')) AS open_alerts,
-        (SELECT CASE WHEN prev7 > 0 THEN round((last7 - prev7) / prev7 * 100, 1) ELSE 0 END
+        (SELECT CASE WHEN prev7 > 0 THEN round_even((last7 - prev7) / prev7 * 100, 1) ELSE 0 END
         FROM wow) AS risk_trend_pct""",
     "perday": """SELECT day, avg(risk_score) AS risk_score_avg, max(risk_score)
         AS risk_score_max, count(*) FILTER (risk_tier IN ('HIGH', 'CRITICAL')) AS n_anomalies
         FROM scored GROUP BY day""",
-    "heat": """SELECT department, dayname(day) AS dow, round(avg(risk_score), 1) AS avg_risk
+    "heat": """SELECT department, dayname(day) AS dow, round_even(avg(risk_score), 1) AS avg_risk
         FROM scored GROUP BY ALL""",
-    "dept": """SELECT department, count(*) AS user_count, round(avg(avg_risk_score), 2)
-        AS avg_risk, round(max(max_risk_score), 2) AS max_risk,
+    "dept": """SELECT department, count(*) AS user_count, round_even(avg(avg_risk_score), 2)
+        AS avg_risk, round_even(max(max_risk_score), 2) AS max_risk,
         count(*) FILTER (risk_tier = 'CRITICAL') AS critical_count,
         count(*) FILTER (risk_tier = 'HIGH') AS high_count FROM risk GROUP BY department""",
     "labelled": """SELECT "user", score, is_insider FROM (
@@ -194,6 +196,7 @@ CTES |= {
         ON user_id = "user\"""",
     "sizes": """SELECT count(*) FILTER (is_insider) AS p, count(*) FILTER (NOT is_insider) AS n
         FROM labelled""",
+    "insiders": "SELECT count(DISTINCT user_id) AS t FROM truth WHERE is_insider",
     "roc": """SELECT score, sum(count(*) FILTER (NOT is_insider)) OVER o AS fp,
         sum(count(*) FILTER (is_insider)) OVER o AS tp FROM labelled GROUP BY score
         WINDOW o AS (ORDER BY score DESC)""",
@@ -267,11 +270,6 @@ def _correlation() -> str:
         ELSE round(u.r, 4) END AS r FROM (SELECT unnest([{pairs}]) AS u FROM scaled)""")
 
 
-HIST_MEASURES = ("files_accessed", "usb_count", "emails_external", "after_hours_ratio",
-                 "sensitive_files", "email_attachments", "files_accessed_deviation",
-                 "usb_count_deviation")
-
-
 def _histogram(rows: str, groups: str, bins: str) -> str:
     lead = f"{groups}, " if groups else ""
     over = f"PARTITION BY {groups}" if groups else ""
@@ -287,9 +285,9 @@ def _histogram(rows: str, groups: str, bins: str) -> str:
 
 
 TRIMMED = ("SELECT measure, is_insider, round(value, 6) AS value FROM ("
-           + _long("labelled_days", HIST_MEASURES, "is_insider, ") + ") l JOIN ("
+           + _long("labelled_days", COMPARED, "is_insider, ") + ") l JOIN ("
            "SELECT measure, quantile_cont(value, 0.99) AS cut FROM ("
-           + _long("labelled_days", HIST_MEASURES, "is_insider, ")
+           + _long("labelled_days", COMPARED, "is_insider, ")
            + ") WHERE NOT is_insider GROUP BY measure) c USING (measure) "
              "WHERE value <= cut * 2")
 
@@ -329,14 +327,52 @@ BODIES = {
     "alerts_rising": f"SELECT {ALERT_COLS} FROM rise_alerts",
     "alerts_all": f"SELECT alert_id, {ALERT_COLS} FROM alerts",
     "alert_status_current": "SELECT alert_id, user_id, alert_type, status FROM triaged",
-    "alert_status_rejects": f"""SELECT alert_id, status, {_stamp('ts')} AS ts, seq,
+    "alert_status_rejects": f"""SELECT user_id, alert_day, alert_type, status, {_stamp('ts')} AS ts, seq,
         CASE WHEN status NOT IN ('OPEN', 'IN_PROGRESS', 'RESOLVED') THEN 'invalid status'
         ELSE 'unknown alert' END AS reason FROM updates
         WHERE status NOT IN ('OPEN', 'IN_PROGRESS', 'RESOLVED')
-        OR alert_id NOT IN (SELECT alert_id FROM alerts)""",
+        OR (user_id, alert_day, alert_type) NOT IN (
+        SELECT (user_id, substr(timestamp, 1, 10), alert_type) FROM alerts)""",
+    "snapshot_alerts": """SELECT user_id, timestamp, alert_type, status FROM triaged, newest
+        WHERE substr(timestamp, 1, 10)::date >= d - 10""",
+    "watchlist_page2_by_trend": f"""SELECT {RISK_COLS}, name, role FROM (SELECT * FROM people
+        ORDER BY trend, "user" LIMIT 20 OFFSET 20)""",
+    "page_total": """SELECT alert_id, (SELECT count(*) FROM alerts WHERE risk_tier = 'CRITICAL')
+        AS total FROM (SELECT * FROM alerts WHERE risk_tier = 'CRITICAL'
+        ORDER BY risk_score DESC, alert_id LIMIT 5 OFFSET 5)""",
+    "csv_logs": " UNION ALL ".join(
+        f"""SELECT '{name}' AS log, '{prefix}' || event_id AS id, "user", strftime(CASE
+        WHEN event_id % 3 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END,
+        '%Y-%m-%d %H:%M:%S') AS date, {chars} AS chars FROM ev
+        WHERE event_type IN ({kinds}) AND event_id % 50 <> 0""" for name, prefix, kinds, chars in (
+            ("logon", "L", "'view','click'", "NULL::bigint"), ("file", "F", "'signup'", "NULL::bigint"),
+            ("device", "D", "'error'", "NULL::bigint"), ("email", "E", "'purchase'", "length(props) + 22"))),
+    "csv_dropped": " UNION ALL ".join(
+        f"""SELECT '{name}' AS log, count(*) AS rows, count(*) FILTER (event_id % 50 = 0)
+        AS bad_dates FROM ev WHERE event_type IN ({kinds})""" for name, kinds in (
+            ("logon", "'view','click'"), ("file", "'signup'"), ("device", "'error'"),
+            ("email", "'purchase'"))),
+    "recon_energy": 'SELECT "user", day::varchar AS day, round(' + " + ".join(
+        f"(s.{n} - m.{n}) ** 2" for n in NAMES) + ", 3) AS energy FROM scaled s JOIN (SELECT "
+        + ", ".join(f"avg({n}) AS {n}" for n in NAMES) + " FROM scaled WHERE is_train) m ON true",
+    "recon_calibration": """SELECT count(*) AS training,
+        count(*) - floor(0.95 * (count(*) - 1))::bigint - 1 AS above_p95,
+        count(*) - floor(0.999 * (count(*) - 1))::bigint - 1 AS above_p999
+        FROM matrix WHERE is_weekend = 0""",
+    "iforest_gates": """SELECT "user", day::varchar AS day, true AS in_range,
+        is_weekend = 0 AS is_train FROM matrix""",
+    "iforest_ends": "SELECT 0.0::double AS ordinary, 100.0::double AS oddest",
+    "full_run_tables": """SELECT 'daily_behaviour' AS "table", count(*) AS rows FROM daily
+        UNION ALL SELECT 'features', count(*) FROM daily
+        UNION ALL SELECT 'training', count(*) FROM daily WHERE is_weekend = 0
+        UNION ALL SELECT 'scored', count(*) FROM daily UNION ALL SELECT 'user_risk',
+        count(DISTINCT "user") FROM daily WHERE day >= (SELECT max(day) FROM daily) - 30""",
+    "detector_report": """SELECT unnest(['if_score', 'ae_score', 'risk_score']) AS detector,
+        count(*) FILTER (is_insider) AS insiders, count(*) FILTER (NOT is_insider) AS normals
+        FROM (SELECT DISTINCT "user", is_insider FROM daily JOIN truth ON user_id = "user")""",
     "kpis": "SELECT * FROM kpi",
     "week_over_week": """SELECT round(last7, 6) AS last7, round(prev7, 6) AS prev7,
-        CASE WHEN prev7 > 0 THEN round((last7 - prev7) / prev7 * 100, 1) ELSE 0 END
+        CASE WHEN prev7 > 0 THEN round_even((last7 - prev7) / prev7 * 100, 1) ELSE 0 END
         AS risk_trend_pct FROM wow""",
     "threat_level": """SELECT CASE WHEN critical_users > 0 THEN 'CRITICAL'
         WHEN high_risk_users > 2 THEN 'HIGH' WHEN open_alerts > 5 THEN 'MEDIUM'
@@ -444,13 +480,15 @@ BODIES = {
         WHERE a.is_insider AND NOT b.is_insider) AS auc_roc, p AS insiders, n AS normals
         FROM sizes""",
     "precision_at_k": """SELECT k, "user", round(score, 6) AS score, hits,
-        round(hits / k::double, 6) AS "precision", round(hits / p::double, 6) AS recall
-        FROM topk, sizes WHERE p > 0""",
+        round(hits / k::double, 6) AS "precision", round(hits / t::double, 6) AS recall
+        FROM topk, insiders WHERE t > 0""",
     "top_k_precision": """SELECT k, hits, round(hits / k::double, 6) AS "precision"
         FROM topk, sizes WHERE k = p""",
     "detection_report": """SELECT k, hits, round(hits / k::double, 6) AS "precision",
-        round(hits / p::double, 6) AS recall FROM topk, sizes
-        WHERE p > 0 AND (k IN (5, 10, 15, 20) OR k = p)""",
+        round(hits / t::double, 6) AS recall FROM topk, insiders
+        WHERE t > 0 AND (k IN (5, 10, 15, 20) OR k = t)""",
+    "user_means": """SELECT "user", round(avg(risk_score), 6) AS score FROM scored
+        GROUP BY "user\"""",
     "score_quantiles": " UNION ALL ".join(
         f"SELECT {q}::double AS prob, round(quantile_cont(risk_score, {q}), 6) AS value "
         "FROM scored" for q in (0.5, 0.9, 0.95, 0.99, 0.999)),

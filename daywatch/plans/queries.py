@@ -7,9 +7,10 @@ results compare across engines.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 from typing import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from daywatch.operators import alerts as A
@@ -18,28 +19,25 @@ from daywatch.operators import evaluate as E
 from daywatch.operators import quality as Q
 from daywatch.operators import reports as R
 from daywatch.operators.baseline import with_deviations
-from daywatch.operators.clean import clean_device, clean_email, clean_file, clean_logon
+from daywatch.operators.clean import (clean_device, clean_email, clean_file, clean_logon,
+                                      unparseable)
 from daywatch.operators.features import NAMES, fit_features, training_rows
 from daywatch.operators.iforest import fit_iforest
 from daywatch.operators.recon import fit_recon
 from daywatch.operators.scoring import score_days, user_risk
 from daywatch.operators.sessions import daily_sessions, sessions
-from daywatch.params import ALERT_EXPORT, BEHAVIOUR_MAXIMA, FEATURES, USER_EXPORT
-from daywatch.plans.training import run_training
+from daywatch.params import ALERT_EXPORT, BEHAVIOUR_MAXIMA, COMPARED, FEATURES, USER_EXPORT
+from daywatch.plans.training import CLEANERS, fit_detectors, run_training
 from daywatch.schemas import ALERTS
 from daywatch.session import materialise, scratch_dir
-from daywatch.sources import adapters
+from daywatch.sources import adapters, tables as T
+from daywatch.sources.logs import FILES, read_corpus
 from daywatch.sources.tables import read_table, run_summary, to_json_records
 from daywatch.streaming import daily as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-COMPARED = ("files_accessed", "usb_count", "emails_external", "after_hours_ratio",
-            "sensitive_files", "email_attachments", "files_accessed_deviation",
-            "usb_count_deviation")
-
-
 # Minutes come from microseconds: three decimals leave no exact halves to round.
 PLACES = {c: 3 for c in ("session_minutes", "session_duration_total",
                          "session_duration_total_deviation")}
@@ -162,11 +160,18 @@ class Inputs:
         """The labelled scores as a written table: rank queries pass over them repeatedly."""
         return materialise(self.labelled, "labelled")
 
+    @cached_property
+    def prep(self):
+        return fit_features(self.stored_matrix)
+
     @cached_property
     def features(self):
         """Scaled feature vectors, written once."""
-        m = self.stored_matrix
-        return materialise(fit_features(m).transform(m), "features")
+        return materialise(self.prep.transform(self.stored_matrix), "features")
+
+    @cached_property
+    def detectors(self):
+        return fit_detectors(self.features, self.prep)
 
 
 def query(decimals: int = 6):
@@ -200,6 +205,40 @@ def clean_email_events(t):
     return t.email
 
 
+def _csv_corpus(t):
+    """The derived logs as CSV files: mail with line breaks, stamps in three styles, some unusable."""
+    root, n = scratch_dir(t.spark, "csv"), F.substring("id", 2, 20).cast("bigint")
+    stamp = (F.when(n % 50 == 0, "n/a").when(n % 3 == 0, F.date_format("date", "M/d/yyyy H:mm"))
+             .when(n % 3 == 1, F.date_format("date", "M/d/yyyy H:mm:ss"))
+             .otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")))
+    for name in CLEANERS:
+        raw = getattr(adapters, name)(t.events).withColumn("date", stamp)
+        if name == "email":
+            raw = raw.withColumn("content", F.concat("content", F.lit('\nsecond line, "quoted"')))
+        T.write_csv(raw, f"{root}/{FILES[name]}")
+    return read_corpus(t.spark, root)
+
+
+@query()
+def csv_logs(t):
+    """The CSV corpus read back and cleaned: no row with a usable stamp is lost."""
+    corpus, parts = _csv_corpus(t), []
+    for name, clean in CLEANERS.items():
+        rows = clean(corpus[name])
+        chars = F.length("content") if name == "email" else F.lit(None)
+        parts.append(rows.select(F.lit(name).alias("log"), "id", "user", F.date_format(
+            "date", "yyyy-MM-dd HH:mm:ss").alias("date"), chars.cast("bigint").alias("chars")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def csv_dropped(t):
+    """Rows per CSV log, and how many have no usable date."""
+    return reduce(DataFrame.unionByName, [
+        unparseable(df).withColumn("log", F.lit(name)) for name, df in _csv_corpus(t).items()
+        if name in CLEANERS])
+
+
 @query()
 def session_list(t):
     return sessions(t.logon)
@@ -277,6 +316,46 @@ def recon_scores(t):
         model.label(F.col("recon_error")).alias("label"))
 
 
+@query(3)
+def recon_energy(t):
+    """Squares kept and lost by the rotation: the squared distance from the training mean."""
+    rotated = t.detectors.recon.stages.transform(
+        t.features.withColumn("_x", array_to_vector("features")))
+    energy = F.aggregate(vector_to_array("_z"), F.lit(0.0), lambda s, v: s + v * v)
+    return rotated.select("user", "day", energy.alias("energy"))
+
+
+@query()
+def recon_calibration(t):
+    """How many training rows lie above the two calibrating quantiles."""
+    model = t.detectors.recon
+    errors = model.with_error(t.features.filter("is_train"))
+    return errors.agg(F.count(F.lit(1)).alias("training"),
+                      F.count_if(F.col("recon_error") > model.threshold).alias("above_p95"),
+                      F.count_if(F.col("recon_error") > model.score_max).alias("above_p999"))
+
+
+@query()
+def iforest_gates(t):
+    """Every user-day has a forest score within bounds."""
+    rows = t.detectors.raw_scores(t.features)
+    return rows.select("user", "day", F.col("if_raw").between(0.0, 100.0).alias("in_range"), "is_train")
+
+
+@query(4)
+def iforest_ends(t):
+    """The most ordinary and the oddest training row."""
+    rows = t.detectors.raw_scores(t.features.filter("is_train"))
+    return rows.agg(F.min("if_raw").alias("ordinary"), F.max("if_raw").alias("oddest"))
+
+
+@query()
+def detector_report(t):
+    """Classes behind each detector's evaluation, on real detector scores."""
+    scored = t.detectors.score(t.features)
+    return E.detector_report(scored, t.truth).select("detector", "insiders", "normals")
+
+
 @query()
 def permutation_importance(t):
     model = fit_iforest(t.features.filter("is_train"))
@@ -325,6 +404,22 @@ def alert_status_current(t):
     return t.triaged.select("alert_id", "user_id", "alert_type", "status")
 
 
+@query()
+def snapshot_alerts(t):
+    """Updates made in an earlier run reach the readers of the current one."""
+    root = scratch_dir(t.spark, "snapshot")
+    every = A.all_alerts(t.stored_scored, t.stored_risk)
+    T.write_table(A.number_alerts(every), f"{root}/first/alerts")
+    T.publish(t.spark, root, "first")
+    T.append_status(t.status_events, T.status_path(root))
+    newest = t.stored_scored.agg(F.max("day")).scalar()
+    late = every.filter(F.to_date(F.substring("timestamp", 1, 10)) >= F.date_sub(newest, 10))
+    T.write_table(A.number_alerts(late), f"{root}/second/alerts")     # numbered anew
+    T.publish(t.spark, root, "second")
+    return T.load_snapshot(t.spark, root, views=False)["alerts"].select(
+        "user_id", "timestamp", "alert_type", "status")
+
+
 @query()
 def alert_status_rejects(t):
     return A.split_status_events(t.status_events, t.alerts)[1]
@@ -362,6 +457,17 @@ def watchlist(t):
     return R.watchlist(t.users, page=1, limit=100)
 
 
+@query()
+def watchlist_page2_by_trend(t):
+    return R.watchlist(t.users, sort="trend", ascending=True, page=2, limit=20)
+
+
+@query()
+def page_total(t):
+    page = R.alert_page(t.alerts, tier="critical", page=2, limit=5)
+    return R.with_total(page, R.filter_alerts(t.alerts, tier="critical")).select("alert_id", "total")
+
+
 @query()
 def watchlist_search(t):
     return R.filter_users(t.users, tier="critical", search="bui")
@@ -515,7 +621,7 @@ def roc_auc(t):
 
 @query()
 def precision_at_k(t):
-    return E.precision_at_k(t.stored_labelled)
+    return E.precision_at_k(t.stored_labelled, t.truth)
 
 
 @query()
@@ -525,7 +631,13 @@ def top_k_precision(t):
 
 @query()
 def detection_report(t):
-    return E.detection_report(t.stored_labelled)
+    return E.detection_report(t.stored_labelled, t.truth)
+
+
+@query()
+def user_means(t):
+    """Mean score of every user, labelled or not."""
+    return E.user_scores(t.scored)
 
 
 @query()
@@ -632,6 +744,22 @@ def full_run(t):
         .select("total_users", "total_alerts", "critical_alerts", "high_alerts")
 
 
+@query()
+def full_run_tables(t):
+    """Rows of the tables that a whole run publishes."""
+    e, root = t.events, scratch_dir(t.spark, "run")
+    logs = {"logon": adapters.logon(e), "file": adapters.file(e), "device": adapters.device(e),
+            "email": adapters.email(e), "directory": t.directory}
+    run_training(t.spark, logs, root)
+    out = f"{root}/{T.current_run(t.spark, root)}"
+    tables = {n: t.spark.read.parquet(f"{out}/{n}")
+              for n in ("daily_behaviour", "features", "scored", "user_risk")}
+    tables["training"] = tables["features"].filter("is_train")
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("rows")).withColumn("table", F.lit(n))
+        for n, df in tables.items()])
+
+
 def _closed(t, clean, measures):
     """Closed days of the whole events stream, drained through the file sink."""
     target = scratch_dir(t.spark, "stream")

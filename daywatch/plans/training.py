@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from daywatch.operators.alerts import generate_alerts
 from daywatch.operators.baseline import with_deviations
-from daywatch.operators.clean import clean_device, clean_email, clean_file, clean_logon
+from daywatch.operators.clean import (clean_device, clean_email, clean_file, clean_logon,
+                                      read_counts)
 from daywatch.operators.daily import daily_behaviour
+from daywatch.operators.evaluate import detector_report
 from daywatch.operators.features import META, FeaturePrep, fit_features
 from daywatch.operators.iforest import IsolationForestModel, fit_iforest
 from daywatch.operators.recon import ReconModel, fit_recon
@@ -65,13 +67,19 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
     """Clean, aggregate, fit, score, alert, publish; returns the one-row summary.
 
     Each step reads the table the step before has written, so a lost executor
-    costs one step and nothing is computed twice.
+    costs one step and nothing is computed twice.  The summary says for each log how
+    many rows were read and how many had no usable date or no user; with a ground
+    truth among the logs, the run also writes `evaluation`, a row per detector.
     """
     run_id = uuid.uuid4().hex
     out = f"{root}/{run_id}"
 
-    clean = {name: T.write_by_day(cleaner(logs[name], p), f"{out}/{name}_clean")
-             for name, cleaner in CLEANERS.items()}
+    # counted while the logs are cleaned and written, without a further read
+    read = {name: Observation(f"{name}-{run_id}") for name in CLEANERS}
+    clean = {name: T.write_by_day(
+        cleaner(logs[name].observe(read[name], *read_counts(logs[name], p)), p),
+        f"{out}/{name}_clean") for name, cleaner in CLEANERS.items()}
+    dropped = {name: r.get for name, r in read.items()}
     directory = T.write_table(logs["directory"], f"{out}/directory")
 
     daily = daily_behaviour(clean["logon"], clean["file"], clean["device"], clean["email"],
@@ -91,7 +99,13 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
     risk = T.write_table(user_risk(scored, p, as_of=newest), f"{out}/user_risk")
     alerts = T.write_table(generate_alerts(scored, risk, p), f"{out}/alerts")
 
-    T.write_json(T.run_summary(risk, alerts), f"{out}/summary")
+    truth = logs.get("ground_truth")
+    if truth is not None and not truth.isEmpty():
+        T.write_table(detector_report(scored, truth), f"{out}/evaluation")
+
+    T.write_json(T.run_summary(risk, alerts).withColumn("read", F.struct(*[
+        F.struct(*[F.lit(v).alias(k) for k, v in counts.items()]).alias(name)
+        for name, counts in dropped.items()])), f"{out}/summary")
     T.publish(spark, root, run_id)
     return spark.read.json(f"{out}/summary")
 

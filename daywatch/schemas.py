@@ -43,7 +43,9 @@ USER_RISK = _struct(
     "user string, max_risk_score double, avg_risk_score double, high_risk_days bigint, "
     "medium_risk_days bigint, latest_score double, latest_day date, "
     "total_days_active bigint, department string, risk_tier string, trend string")
-STATUS_EVENTS = _struct("alert_id string, status string, ts timestamp, seq bigint")
+# Updates name an alert by what it is about, not by its number: numbers change with every run.
+STATUS_EVENTS = _struct("user_id string, alert_day string, alert_type string, status string, "
+                        "ts timestamp, seq bigint")
 
 RESULTS = {"scored": SCORED, "user_risk": USER_RISK, "alerts": ALERTS,
            "directory": DIRECTORY}

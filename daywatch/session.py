@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,18 +26,33 @@ def local_session(cores: str = "8", app: str = "daywatch") -> SparkSession:
     )
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (tests) a local temporary folder is set.
+    Where the session names none, a local master gets a temporary folder that goes at
+    exit; any other master is refused, because its executors share no local disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("daywatch.local.scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="daywatch-")
-            spark.conf.set("daywatch.local.scratch", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="daywatch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("daywatch.local.scratch", root)
+    return f"{root.rstrip('/')}/daywatch-{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate data."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; call it when no result is lazy any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

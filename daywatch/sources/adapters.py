@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from daywatch.functions.columns import alert_id
-
 # Folder and recipient of an event by the number k in its properties.
 FOLDERS = ("reports", "confidential", "engineering", "salary", "public",
            "strategy", "marketing", "credentials", "shared", "archive")
@@ -106,9 +104,11 @@ def component_scores(events: DataFrame) -> DataFrame:
 
 
 def status_events(events: DataFrame) -> DataFrame:
-    """Clicks as triage updates of alert k + 1; some carry an invalid status."""
+    """Clicks as triage updates of alerts on their user and day; some are invalid."""
     names = ("resolved", "IN_PROGRESS", " open ", "CLOSED")
     return _events(events, ("click",), "").select(
-        alert_id(F.col("k") + 1).alias("alert_id"),
+        F.col("user").alias("user_id"), F.date_format("date", "yyyy-MM-dd").alias("alert_day"),
+        F.when(F.col("event_id") % 7 == 0, "RISING_TREND").otherwise("DAILY_ANOMALY")
+        .alias("alert_type"),
         _pick(names, F.col("event_id")).alias("status"),
         F.col("date").alias("ts"), F.col("event_id").alias("seq"))

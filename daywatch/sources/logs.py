@@ -42,10 +42,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType,
 
 
 def read_corpus(spark: SparkSession, root: str,
-                renames: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
-    """All raw logs below `root`."""
+                renames: dict[str, dict[str, str]] | None = None,
+                multi_line: tuple[str, ...] = ("email",)) -> dict[str, DataFrame]:
+    """All raw logs below `root`.
+
+    Logs in `multi_line` may hold line breaks inside quotes (mail bodies do).  Such a
+    file cannot be split, so a large log of this kind should come as many files.
+    """
     return {name: read_csv(spark, f"{root}/{file}", schemas.RAW[name],
-                           (renames or {}).get(name))
+                           (renames or {}).get(name), name in multi_line)
             for name, file in FILES.items()}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from daywatch import schemas
+from daywatch.operators.alerts import STATUS_KEY, with_current_status
 from daywatch.operators.reports import alert_export, tier_map, user_export
 from daywatch.sources.logs import path_missing
 
@@ -75,6 +76,11 @@ def to_json_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def status_path(root: str) -> str:
+    """Where the triage updates of all runs below `root` lie."""
+    return f"{root}/status"
+
+
 def append_status(events: DataFrame, path: str) -> None:
     """Status updates are only ever appended; readers take the newest per alert."""
     events.select(*schemas.STATUS_EVENTS.names).write.mode("append").parquet(path)
@@ -83,9 +89,9 @@ def append_status(events: DataFrame, path: str) -> None:
 def compact_status(spark: SparkSession, path: str, target: str) -> None:
     """Newest update per alert into a new folder."""
     events = spark.read.schema(schemas.STATUS_EVENTS).parquet(path)
-    newest = events.groupBy("alert_id").agg(
+    newest = events.groupBy(*STATUS_KEY).agg(
         F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("e"))
-    write_table(newest.select("alert_id", "e.*"), target)
+    write_table(newest.select(*STATUS_KEY, "e.*"), target)
 
 
 # ---- snapshots ---------------------------------------------------------------
@@ -110,6 +116,7 @@ def current_run(spark: SparkSession, root: str) -> str | None:
 def load_snapshot(spark: SparkSession, root: str, views: bool = True) -> dict[str, DataFrame]:
     """The result tables of the current run, also as temporary views.
 
+    Alerts carry their newest triage status, also one set in an earlier run.
     Calling it again reloads: readers see a whole run or the one before it.
     """
     run = current_run(spark, root)
@@ -117,6 +124,8 @@ def load_snapshot(spark: SparkSession, root: str, views: bool = True) -> dict[st
     for name, schema in schemas.RESULTS.items():
         df = (read_table(spark, f"{root}/{run}/{name}", schema) if run
               else spark.createDataFrame([], schema))
+        if name == "alerts":
+            df = with_current_status(df, read_table(spark, status_path(root), schemas.STATUS_EVENTS))
         if views:
             df.createOrReplaceTempView(name)
         out[name] = df

@@ -37,12 +37,22 @@ def closed_days(clean: DataFrame, measures: list, lateness: str = "1 day") -> Da
             .withColumn("day", day).drop("window"))
 
 
-def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Drain what is available into Parquet (exactly once, through the file sink's log)."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed their day, over the kept progress."""
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> int:
+    """Drain what is available into Parquet (exactly once, through the file sink's log).
+
+    Returns how many rows came too late and are in no day.
+    """
     query = (stream.writeStream.format("parquet").outputMode("append")
              .option("path", target).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    return late_rows(query)
 
 
 def stream_alerts(days: DataFrame, score: Callable[[DataFrame], DataFrame], target: str,

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from daywatch import schemas
 from daywatch.operators import evaluate as E
 from daywatch.operators.features import NAMES, FeaturePrep, fit_features
 from daywatch.operators.iforest import (IsolationForestModel, draw_samples, fit_iforest,
@@ -113,7 +114,7 @@ def test_recon(spark, vectors, tmp_path):
 
 def test_permutation_importance(vectors, forest):
     names = tuple(f"f{i}" for i in range(6))
-    got = E.permutation_importance(vectors, forest, names, P, group_rows=300)
+    got = E.permutation_importance(vectors, forest, names, P)
     rows = {r.feature: r.importance for r in got.collect()}
     assert set(rows) == set(names) and all(v > 0 for v in rows.values())
     assert E.top_importances(got, 2).count() == 2
@@ -122,6 +123,15 @@ def test_permutation_importance(vectors, forest):
     zero = {r.feature: r.importance for r in
             E.permutation_importance(flat, forest, names, P).collect()}
     assert zero["f2"] == 0
+    again = {r.feature: r.importance for r in
+             E.permutation_importance(vectors.repartition(7), forest, names, P).collect()}
+    assert again == pytest.approx(rows)      # partitions decide nothing
+
+
+def test_empty_training_set_is_refused(vectors):
+    for fit in (fit_iforest, fit_recon):
+        with pytest.raises(ValueError, match="no training rows"):
+            fit(vectors.filter("false"))
 
 
 @pytest.fixture(scope="module")
@@ -195,24 +205,31 @@ def brute_auc(rows):
     return np.mean([1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg])
 
 
-@pytest.mark.parametrize("p", [Params(), Params(rank_sample=20, rank_buckets=5)])
-def test_ranking_quality(spark, p):
+def truth_of(spark, insiders, normals=()):
+    return spark.createDataFrame(
+        [(u, "x", None, i, "") for us, i in ((insiders, True), (normals, False)) for u in us],
+        schemas.GROUND_TRUTH)
+
+
+def test_ranking_quality(spark):
     rng = np.random.default_rng(6)
     rows = [(f"u{i:03}", float(np.round(rng.random() * (1.5 if i < 12 else 1), 1 + i % 3)), i < 12)
             for i in range(90)]
     df = labelled(spark, rows)
-    assert E.roc_auc(df, p).first().auc_roc == pytest.approx(brute_auc(rows))
-    points = sorted((r.fpr, r.tpr) for r in E.roc_points(df, p).collect())
+    assert E.roc_auc(df).first().auc_roc == pytest.approx(brute_auc(rows))
+    points = sorted((r.fpr, r.tpr) for r in E.roc_points(df).collect())
     area = np.trapezoid([0] + [t for _, t in points], [0] + [f for f, _ in points])
     assert area == pytest.approx(brute_auc(rows))
     order = sorted(rows, key=lambda r: (-r[1], r[0]))
-    at = {r.k: r for r in E.precision_at_k(df, p).collect()}
+    # eighteen insiders are known, twelve of them have a score
+    truth = truth_of(spark, [f"u{i:03}" for i in range(12)] + [f"x{i}" for i in range(6)])
+    at = {r.k: r for r in E.precision_at_k(df, truth).collect()}
     hits = np.cumsum([r[2] for r in order])
     for k, h in enumerate(hits, 1):
-        assert (at[k].hits, at[k].precision, at[k].recall) == (h, h / k, h / 12)
+        assert (at[k].hits, at[k].precision, at[k].recall) == (h, h / k, h / 18)
     top = E.top_k_precision(df).first()
     assert (top.k, top.hits) == (12, hits[11])
-    assert {r.k for r in E.detection_report(df).collect()} == {5, 10, 12, 15, 20}
+    assert {r.k for r in E.detection_report(df, truth).collect()} == {5, 10, 15, 18, 20}
 
 
 def test_evaluation_without_insiders(spark):

@@ -13,11 +13,11 @@ from daywatch.operators import alerts as A
 from daywatch.operators import evaluate as E
 from daywatch.operators import quality as Q
 from daywatch.operators import reports as R
-from daywatch.operators.clean import clean_file
+from daywatch.operators.clean import clean_file, unparseable
 from daywatch.operators.scoring import score_days, user_risk
 from daywatch.params import ALERT_EXPORT, FEATURES, TIERS, USER_EXPORT, Params
-from daywatch.plans.training import Detectors, train_from_files
-from daywatch.session import scratch_dir
+from daywatch.plans.training import CLEANERS, Detectors, train_from_files
+from daywatch.session import clear_scratch, materialise, scratch_dir
 from daywatch.sources import logs as L
 from daywatch.sources import tables as T
 from daywatch.streaming import daily as S
@@ -208,11 +208,47 @@ def test_exports_and_status_log(spark, run, tmp_path):
     assert spark.read.json(f"{tmp_path}/kpi").first().total_users == USERS
     now = dt.datetime(2010, 1, 1)
     for i, status in enumerate(["OPEN", "RESOLVED"]):
-        T.append_status(spark.createDataFrame([("ALT-00001", status, now, i)],
-                                              schemas.STATUS_EVENTS), f"{tmp_path}/status")
+        T.append_status(spark.createDataFrame(
+            [("u", "2010-01-04", "DAILY_ANOMALY", status, now, i)], schemas.STATUS_EVENTS),
+            f"{tmp_path}/status")
     T.compact_status(spark, f"{tmp_path}/status", f"{tmp_path}/status2")
     r = spark.read.parquet(f"{tmp_path}/status2").collect()
-    assert [(x.alert_id, x.status, x.seq) for x in r] == [("ALT-00001", "RESOLVED", 1)]
+    assert [(x.user_id, x.status, x.seq) for x in r] == [("u", "RESOLVED", 1)]
+
+
+def test_status_survives_a_new_run(spark, tmp_path):
+    """The second run numbers its alerts anew; the update stays with its alert."""
+    root = str(tmp_path)
+
+    def alert(number, user):
+        return (number, "2010-01-04T00:00:00Z", user, "IT", 90.0, "HIGH", 1.0, 1.0,
+                "DAILY_ANOMALY", "OPEN", "m", "c")
+
+    for run_id, rows in (("one", [alert("ALT-00001", "a"), alert("ALT-00002", "b")]),
+                         ("two", [alert("ALT-00001", "b")])):
+        T.write_table(spark.createDataFrame(rows, schemas.ALERTS), f"{root}/{run_id}/alerts")
+        T.publish(spark, root, run_id)
+        if run_id == "one":
+            T.append_status(spark.createDataFrame(
+                [("b", "2010-01-04", "DAILY_ANOMALY", "resolved", dt.datetime(2010, 1, 5), 1)],
+                schemas.STATUS_EVENTS), T.status_path(root))
+            now = T.load_snapshot(spark, root, views=False)["alerts"]
+            assert {r.user_id: r.status for r in now.collect()} == {"a": "OPEN", "b": "RESOLVED"}
+    now = T.load_snapshot(spark, root, views=False)["alerts"].collect()
+    assert [(r.alert_id, r.user_id, r.status) for r in now] == [("ALT-00001", "b", "RESOLVED")]
+
+
+def test_mail_bodies_and_stamps_without_seconds(spark, tmp_path):
+    rows = ['id,date,user,pc,to,from,activity,attachments,size,content',
+            'E1,1/4/2010 8:00,u,p,a@x.com,u@dtaa.com,Send,1,10,"line one\nline ""two"""',
+            'E2,01/04/2010 08:00:30,u,p,a@x.com,u@dtaa.com,Send,1,10,plain',
+            'E3,never,u,p,a@x.com,u@dtaa.com,Send,1,10,plain']
+    (tmp_path / "email.csv").write_text("\n".join(rows))
+    mail = L.read_corpus(spark, str(tmp_path))["email"]
+    assert unparseable(mail).first() == (3, 1)
+    found = {r.id: r for r in CLEANERS["email"](mail).collect()}
+    assert set(found) == {"E1", "E2"} and found["E1"].content == 'line one\nline "two"'
+    assert found["E1"].date == dt.datetime(2010, 1, 4, 8)
 
 
 def test_summary_without_alerts(spark):
@@ -278,8 +314,31 @@ def test_scratch_dir_is_below_the_checkpoint_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch_dir(spark, "x")
     assert path != scratch_dir(spark, "x")
-    if root:
-        assert path.startswith(root)
+    assert path.startswith(root or spark.conf.get("daywatch.local.scratch"))
+
+
+class _Cluster:
+    """What scratch_root asks of a session, on a cluster without a shared folder."""
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+def test_scratch_is_refused_without_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(_Cluster(), "x")
+
+
+def test_clear_scratch_removes_the_copies(spark):
+    kept = materialise(spark.range(3).toDF("i"), "clear")
+    assert kept.count() == 3
+    clear_scratch(spark)
+    again = materialise(spark.range(2).toDF("i"), "clear")
+    assert again.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept.inputFiles()).count()
 
 
 # ---- rest --------------------------------------------------------------------

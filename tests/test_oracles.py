@@ -1,13 +1,19 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+def own(names):
+    return {k: v for k, v in names.items() if not re.match(r"op\d+_|pipeline$", k)}
+
+
+SQL = own(entry.oracle_sql())
+QUERIES = own(entry.queries())
 # no positive label at this size, so these are empty there
 EMPTY = {"roc_points", "precision_at_k", "top_k_precision", "detection_report"}
 

@@ -2,14 +2,13 @@
 
 import datetime as dt
 import random
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from daywatch import schemas
 from daywatch.operators import alerts as A
-from daywatch.operators.ranking import exact_quantiles, running_totals, split_points
+from daywatch.operators.ranking import exact_quantiles, running_totals
 from daywatch.operators.scoring import by_risk, recent, score_days, user_risk
 from daywatch.params import Params
 
@@ -105,42 +104,56 @@ def test_rising_needs_medium_tier(spark):
     assert A.rising_alerts(user_risk(s)).count() == 0
 
 
-def test_numbering_in_buckets_equals_one_sort(spark):
+def test_numbering_equals_one_sort(spark):
     """Many ranges, and a third of the alerts with one user."""
     rng = random.Random(1)
     series = {f"user{i:03}": flat([rng.choice([50, 90, 97]) for _ in range(10)])
               for i in range(30)} | {"hot": flat([96] * 150)}
     s = scored(spark, series)
-    plain = {r.alert_id: (r.user_id, r.timestamp) for r in
+    found = {r.alert_id: (r.user_id, r.timestamp) for r in
              A.generate_alerts(s, user_risk(s)).collect()}
-    p = replace(P, rank_sample=40, rank_buckets=8)
-    assert split_points(A.daily_alerts(s), ["_key"], p)
-    cut = {r.alert_id: (r.user_id, r.timestamp) for r in
-           A.generate_alerts(s, user_risk(s), p).collect()}
-    assert cut == plain and len(cut) > 250
+    order = sorted(A.all_alerts(s, user_risk(s)).collect(), key=lambda r: r["_key"])
+    assert found == {f"ALT-{i:05}": (r.user_id, r.timestamp) for i, r in enumerate(order, 1)}
+    assert len(found) > 250
+
+
+def test_numbering_has_no_python_and_no_single_partition(spark):
+    s = alerting(spark)
+    text = A.generate_alerts(s, user_risk(s))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text
+    # the only one-task window is over one row per range
+    for line in text.split("\n"):
+        if "SinglePartition" in line:
+            assert "_key" not in line and "user" not in line
 
 
 def test_running_totals_composite_keys(spark):
     rng = random.Random(2)
     rows = [(rng.choice([0.0, 0.5, rng.random()]), f"u{i}", i % 3) for i in range(400)]
     df = spark.createDataFrame(rows, "s double, u string, v int")
-    p = replace(P, rank_sample=50, rank_buckets=10)
     got = {(r.s, r.u): (r.n, r.t) for r in
-           running_totals(df, ["s", "u"], {"n": F.lit(1), "t": "v"}, p).collect()}
+           running_totals(df, ["s", "u"], {"n": F.lit(1), "t": "v"}).collect()}
     total = 0
     for n, (s, u, v) in enumerate(sorted(rows), 1):
         total += v
         assert got[(s, u)] == (n, total)
+    down = {r.u: r.n for r in running_totals(
+        df, [F.col("s").desc(), F.col("u")], {"n": F.lit(1)}).collect()}
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [down[u] for _, u, _ in order] == list(range(1, 401))
 
 
-def test_exact_quantiles_both_ways(spark):
+def test_exact_quantiles(spark):
     import numpy as np
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=3000), np.zeros(2000)])   # a third and more ties
     df = spark.createDataFrame([(float(a), float(a) * 2) for a in x], "a double, b double")
     probs = [0.0, 0.05, 0.5, 0.95, 0.999, 1.0]
     small = exact_quantiles(df, ["a", "b"], probs)
-    large = exact_quantiles(df, ["a", "b"], probs, small=10, error=0.01)
+    large = exact_quantiles(df, ["a", "b"], probs, error=0.05)
+    none = exact_quantiles(df.withColumn("c", F.lit(None).cast("double")), ["c", "a"], [0.5])
+    assert none[("c", 0.5)] is None and none[("a", 0.5)] == pytest.approx(np.quantile(x, 0.5))
+    assert exact_quantiles(df.filter("false"), ["a"], [0.5]) == {("a", 0.5): None}
     for q in probs:
         want = float(np.quantile(x, q))
         assert small[("a", q)] == pytest.approx(want, abs=1e-12)
@@ -153,11 +166,13 @@ def test_status_updates(spark):
     alerts = A.generate_alerts(s, user_risk(s))
     t = dt.datetime(2010, 1, 1)
     later = t + dt.timedelta(hours=1)
-    events = spark.createDataFrame([
+    updates = spark.createDataFrame([
         ("ALT-00001", "resolved ", t, 1), ("ALT-00001", "IN_PROGRESS", later, 2),
         ("ALT-00002", "RESOLVED", later, 4), ("ALT-00002", "OPEN", later, 3),
-        ("ALT-00003", "CLOSED", later, 5), ("ALT-99999", "OPEN", later, 6),
-        ("ALT-00003", None, later, 7)], schemas.STATUS_EVENTS)
+        ("ALT-00003", "CLOSED", later, 5), ("ALT-00003", None, later, 7)],
+        "alert_id string, status string, ts timestamp, seq bigint")
+    events = A.updates_by_id(updates, alerts).unionByName(spark.createDataFrame(
+        [("nobody", "2010-01-01", "DAILY_ANOMALY", "OPEN", later, 6)], schemas.STATUS_EVENTS))
     now = {r.alert_id: r.status for r in A.with_current_status(alerts, events).collect()}
     assert now == {"ALT-00001": "IN_PROGRESS", "ALT-00002": "RESOLVED", "ALT-00003": "OPEN",
                    "ALT-00004": "OPEN", "ALT-00005": "OPEN"}
