@@ -84,11 +84,11 @@ def session_runs(logon: DataFrame, p: Params = Params()) -> DataFrame:
     kind = F.lower("activity")
     events = (logon.filter(kind.isin("logon", "logoff"))
               .select(*KEYS, "date", (kind == "logoff").alias("is_logoff")))
-    # at most (all events / hot_group_rows) rows, hence safe to broadcast
+    # result-neutral: both paths pair alike; the list's size decides how it is joined
     hot = (events.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("events"))
            .filter(F.col("events") > p.hot_group_rows).select(*KEYS))
-    usual = events.join(F.broadcast(hot), KEYS, "left_anti")
-    heavy = events.join(F.broadcast(hot), KEYS, "left_semi")
+    usual = events.join(hot, KEYS, "left_anti")
+    heavy = events.join(hot, KEYS, "left_semi")
     pairs = _pair_whole(usual).unionByName(_pair_split(heavy, p.rank_block))
     return (pairs.select(*KEYS, _minutes("login_at", "logoff_at").alias("session_minutes"), "n")
             .filter(F.col("session_minutes") < p.session_cap_minutes))
