@@ -64,6 +64,25 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+ORACLE["op4_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, ['user', 'assistant'][i + 1], '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+e AS (
+  SELECT *, '(\\|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<s>|</s>|<<ROLE>>|<</ROLE>>)' AS risky FROM t),
+f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, risky)) + CASE role WHEN 'user' THEN 15
+         WHEN 'system' THEN 17 WHEN 'assistant' THEN 9
+         ELSE 23 + length(role) + len(regexp_extract_all(role, risky)) END AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 @query
 def op5_substring_dedup(spark, sf_dir):
     """What is left of each text without repeats of 50 words."""
@@ -71,6 +90,24 @@ def op5_substring_dedup(spark, sf_dir):
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+ORACLE["op5_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos
+      FROM k JOIN f USING (k) WHERE first < doc_id),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n
+      FROM o ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id)
+"""
+
+
 @query
 def op6_sentencepiece(spark, sf_dir):
     """Ids by the agenda, checked with the library, and the decoded text."""
