@@ -5,9 +5,8 @@ whose joined string is a piece, best score first, then leftmost.  A popped pair
 merged when both nodes still hold what they held when it was pushed.  Symbols that
 are no piece fall back to byte pieces.
 
-No piece holds the blank mark after another character, and none holds a line feed
-(`cuts` derives this from the vocabulary), so a text is cut at such places without
-changing any merge.  Cuts repeat a lot: their ids are kept in a bounded table, and
+A text is cut where no merge can cross: between two characters that are neighbours in
+no piece (`cuts` derives such places from the vocabulary).  Cuts repeat a lot: their ids are kept in a bounded table, and
 each batch's new cuts are checked with the sentencepiece library before use.
 """
 
@@ -15,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -53,13 +53,24 @@ class Vocabulary:
         self.cut = re.compile(self.cuts())
 
     def cuts(self) -> str:
-        """Where no merge can cross: at a line feed, and before a run of blank marks."""
-        joined = [s for s in self.rank if len(s) > 1]
-        if any(re.search(f"[^{MARK}]{MARK}", s) for s in joined):
+        """Where no merge can cross: between characters that are neighbours in no piece.
+
+        Used are line feeds, places before a run of blank marks, and places between a
+        word and the punctuation that touches no letter in any piece.
+        """
+        near = {pair for s in self.rank for pair in zip(s, s[1:])}
+        if any(b == MARK and a != MARK for a, b in near):
             return r"(?s).+"
-        if any("\n" in s for s in joined):
+        if any("\n" in pair for pair in near):
             return f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+"
-        return f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
+        touching = {a for a, b in near if b.isalnum()} | {b for a, b in near if a.isalnum()}
+        alone = "".join(re.escape(c) for c in string.punctuation if c != "_" and c not in touching)
+        rest = f"{MARK}*[^{MARK}\n]+|{MARK}+"
+        if not alone:
+            return rf"\n|{rest}"
+        word = r"[^\W_]"
+        # a whole run of either kind, when what follows cannot merge with it
+        return (rf"\n|{MARK}*{word}+(?![^{MARK}\n{alone}])|[{alone}]+(?![^{MARK}\n\w]|_)|{rest}")
 
     def fallback(self, symbol: str) -> list[int]:
         if len(self.bytes) < 256:
@@ -68,19 +79,15 @@ class Vocabulary:
 
     def encode_cut(self, text: str) -> tuple[int, ...]:
         """Ids of one cut, blanks already written as marks."""
-        rank, whole = self.rank, self.rank.get(text)
-        symbols = list(text)
-        n = len(symbols)
+        find, n = self.rank.get, len(text)
         if n == 1:
+            whole = find(text)
             return (whole[1],) if whole else tuple(self.fallback(text))
+        symbols = list(text)
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            found = rank.get(pair)
-            if found:
-                agenda.append((found[0], i, pair))
+        agenda = [(found[0], i, pair) for i in range(n - 1)
+                  if (found := find(pair := text[i:i + 2]))]
         heapify(agenda)
         while agenda:
             _, i, pair = heappop(agenda)
@@ -93,19 +100,19 @@ class Vocabulary:
             if k < n:
                 left[k] = i
                 joined = pair + symbols[k]
-                found = rank.get(joined)
+                found = find(joined)
                 if found:
                     heappush(agenda, (found[0], i, joined))
             h = left[i]
             if h >= 0:
                 joined = symbols[h] + pair
-                found = rank.get(joined)
+                found = find(joined)
                 if found:
                     heappush(agenda, (found[0], h, joined))
         ids = []
         for s in symbols:
             if s is not None:
-                found = rank.get(s)
+                found = find(s)
                 if found:
                     ids.append(found[1])
                 else:
@@ -114,11 +121,16 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts cut by cut; `keep` bounds the table of known cuts."""
+    """Encodes texts cut by cut.
+
+    Known cuts lie in two tables of at most `keep` entries: when the younger is full it
+    becomes the older, and cuts met again move on, so frequent ones stay.
+    """
 
-    def __init__(self, path: str | None = None, keep: int = 400_000, short: int = 48):
+    def __init__(self, path: str | None = None, keep: int = 500_000, short: int = 48):
         self.vocabulary, self.keep, self.short = Vocabulary(path), keep, short
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.corrected = 0
 
     def learn(self, cuts: set[str]) -> dict[str, tuple[int, ...]]:
@@ -142,16 +154,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         find = self.vocabulary.cut.findall
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
+        if len(self.known) > self.keep:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         rows, extra, step = [], {}, 256
         for at in range(0, len(texts), step):
             cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:at + step]]
             new = set(chain.from_iterable(cut)).difference(known)
             if new:
-                got = self.learn(new)
-                long = {c for c in new if len(c) > self.short}
+                old = new.intersection(older)
+                known.update((c, older[c]) for c in old)
+                got = self.learn(new - old)
+                long = {c for c in got if len(c) > self.short}
                 extra = {c: got[c] for c in long}
                 known.update((c, ids) for c, ids in got.items() if c not in long)
             if extra:
@@ -202,7 +216,7 @@ def _sha(text: str) -> str:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     path: str | None = None, keep: int = 400_000,
+                     path: str | None = None, keep: int = 500_000,
                      digest: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids, decoded (or their SHA-256), n_corrected.
 
