@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,58 +52,110 @@ class Model:
     langs: list[str]
     pieces: dict                      # piece -> tuple of probabilities, one per language
     longest: int
-    known: dict = field(default_factory=dict)      # word -> row in `rows`
-    rows: np.ndarray | None = None
-    keep: int = 400_000
+    keep: int = 250_000
+    state: dict = field(default_factory=dict)      # tables of a worker, built on first use
 
     def __getstate__(self):
         return self.langs, self.pieces, self.longest
 
     def __setstate__(self, state):
         self.langs, self.pieces, self.longest = state
-        self.known, self.rows, self.keep = {}, None, 400_000
-
-    def word(self, word: str) -> list[float]:
-        """Log-probability of a word in each language, all segmentations summed."""
-        total = [0.0] * len(self.langs)
-        for s in stretches(word):
-            end = forward(s, self.pieces, self.longest, len(self.langs))[-1]
-            total = [t + math.log(e) for t, e in zip(total, end)]
-        return total
+        self.keep, self.state = 250_000, {}
+
+    def _tables(self):
+        """Numbers of pieces, -1 for other beginnings of pieces; their probabilities."""
+        if not self.state:
+            at = {p[:i]: -1 for p in self.pieces for i in range(1, len(p))}
+            at.update((p, i) for i, p in enumerate(self.pieces))
+            width = len(self.langs)
+            probs = np.array([*self.pieces.values(), (FLOOR,) * width]).reshape(-1, width)
+            empty = np.empty((0, width))
+            self.state = {"at": at, "probs": probs, "known": {}, "rows": empty,
+                          "older": {}, "older_rows": empty}
+        return self.state
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language, all segmentations summed.
+
+        The forward algorithm for all words at once: one array step per position.
+        """
+        t = self._tables()
+        get, floor, longest = t["at"].get, len(t["probs"]) - 1, self.longest
+        begin, end, piece, depth, first, last = [], [], [], [], [], []
+        owner, base = [], 0
+        for k, word in enumerate(words):
+            for s in stretches(word):
+                n = len(s)
+                for j in range(n):
+                    if get(s[j], -1) < 0:
+                        begin.append(base + j)
+                        end.append(base + j + 1)
+                        piece.append(floor)
+                        depth.append(j + 1)
+                    for i in range(j + 1, min(j + longest, n) + 1):
+                        v = get(s[j:i])
+                        if v is None:
+                            break
+                        if v >= 0:
+                            begin.append(base + j)
+                            end.append(base + i)
+                            piece.append(v)
+                            depth.append(i)
+                owner.append(k)
+                first.append(base)
+                base += n + 1
+                last.append(base - 1)
+        begin, end, piece, depth = (np.array(x, np.int64) for x in (begin, end, piece, depth))
+        alpha = np.zeros((base, len(self.langs)))
+        alpha[first] = 1.0
+        order = np.lexsort((end, depth))
+        begin, end, piece = begin[order], end[order], piece[order]
+        steps = np.flatnonzero(np.diff(depth[order], prepend=-1))
+        for lo, hi in zip(steps, np.append(steps[1:], len(order))):
+            e = end[lo:hi]
+            new = np.flatnonzero(np.diff(e, prepend=-1))
+            alpha[e[new]] = np.add.reduceat(alpha[begin[lo:hi]] * t["probs"][piece[lo:hi]], new, axis=0)
+        out = np.zeros((len(words), len(self.langs)))
+        np.add.at(out, owner, np.log(alpha[last]))
+        return out
+
+    def texts(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Sums over the words of each text; None for one without letters.
+
+        Known words lie in two tables: when the younger is full it becomes the older, and
+        words met again move on, so frequent ones stay.
+        """
+        t = self._tables()
+        if len(t["known"]) > self.keep:
+            t["older"], t["older_rows"] = t["known"], t["rows"]
+            t["known"], t["rows"] = {}, t["rows"][:0]
+        known, older = t["known"], t["older"]
+        words = [words_of(x) for x in texts]
+        missing = list(set(chain.from_iterable(words)).difference(known))
+        if missing:
+            old = [w for w in missing if w in older]
+            new = [w for w in missing if w not in older]
+            known.update((w, len(known)) for w in old + new)
+            t["rows"] = np.concatenate((
+                t["rows"], t["older_rows"][[older[w] for w in old]], self.words(new)))
+        rows = t["rows"]
+        return [rows[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                if own else None for own in words]
 
     def text(self, text: str) -> np.ndarray | None:
-        """Sum over a text's words; None when it has no letters."""
-        words = words_of(text)
-        if not words:
-            return None
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            n = len(known)
-            if self.rows is None or n + len(new) > len(self.rows):
-                grown = np.zeros((2 * (n + len(new)), len(self.langs)))
-                if self.rows is not None:
-                    grown[:n] = self.rows[:n]
-                self.rows = grown
-            for i, w in enumerate(new):
-                self.rows[n + i] = self.word(w)
-                known[w] = n + i
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return self.rows[at].sum(axis=0)
+        return self.texts([text])[0]
 
 
 def forward(s: str, pieces: dict, longest: int, n: int) -> list[list[float]]:
     """alpha[i]: for each language, the summed probability of all segmentations of s[:i]."""
-    alpha = [[1.0] * n]
-    for i in range(1, len(s) + 1):
-        a = [x * FLOOR for x in alpha[i - 1]] if s[i - 1:i] not in pieces else [0.0] * n
-        for j in range(max(0, i - longest), i):
+    alpha = [[1.0] * n] + [[0.0] * n for _ in s]
+    for j in range(len(s)):
+        if s[j] not in pieces:
+            alpha[j + 1] = [x + y * FLOOR for x, y in zip(alpha[j + 1], alpha[j])]
+        for i in range(j + 1, min(j + longest, len(s)) + 1):
             p = pieces.get(s[j:i])
             if p:
-                a = [x + y * z for x, y, z in zip(a, alpha[j], p)]
-        alpha.append(a)
+                alpha[i] = [x + y * z for x, y, z in zip(alpha[i], alpha[j], p)]
     return alpha
 
 
@@ -154,7 +207,7 @@ def _expect(batches, langs, pieces, longest):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         path: str | None = None, bound: int = 8000, rounds: int = 3, smooth: float = 0.05,
-        longest: int = 8, seed: int = 3) -> Model:
+        least: float = 0.5, longest: int = 8, seed: int = 3) -> Model:
     """Fit on at most about `bound` rows with a language whose crc32(id) mod 4 is not 2."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"),
                        text_of(text_col).alias("text"))
@@ -174,27 +227,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         total = {x: smooth * len(vocabulary) for x in langs}
         for (x, _p), v in sorted(e.items()):
             total[x] += v
+        # pieces that no language needs leave the table; single characters stay
         pieces = {p: tuple((e.get((x, p), 0.0) + smooth) / total[x] for x in langs)
-                  for p in vocabulary}
+                  for p in vocabulary
+                  if len(p) == 1 or max(e.get((x, p), 0.0) for x in langs) >= least}
     return Model(langs, pieces, longest)
 
 
 def _identify(batches, model):
     for b in batches:
-        lang, score = [], []
-        for t in b.column(1).to_pylist():
-            z = model.text(t) if model.langs else None
-            if z is None:
-                lang.append("und")
-                score.append(0.0)
-                continue
-            p = np.exp(z - z.max())
-            best = int(z.argmax())
-            lang.append(model.langs[best])
-            score.append(float(p[best] / p.sum()))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-            ["doc_id", "lang_pred", "score"])
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            texts = part.column(1).to_pylist()
+            lang, score = [], []
+            for z in model.texts(texts) if model.langs else [None] * len(texts):
+                if z is None:
+                    lang.append("und")
+                    score.append(0.0)
+                    continue
+                p = np.exp(z - z.max())
+                best = int(z.argmax())
+                lang.append(model.langs[best])
+                score.append(float(p[best] / p.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                ["doc_id", "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id",
