@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from daywatch.session import scratch_dir
 
@@ -21,6 +21,15 @@ IS_WS = np.zeros(256, bool)
 IS_WS[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def stored_and_counted(df: DataFrame, name: str, which: Column | None = None):
+    """`stored`, and how many rows it has (or how many of them are `which`), counted while
+    they are written."""
+    seen = Observation()
+    count = F.count(F.lit(1)) if which is None else F.count_if(which)
+    kept = stored(df.observe(seen, count.alias("n")), name)
+    return kept, seen.get["n"]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared checkpoint folder and read it back.
 

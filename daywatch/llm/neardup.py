@@ -1,7 +1,7 @@
 """Near duplicates: a multi-index Hamming join over b-bit MinHash signatures.
 
 A document's set is its distinct word shingles.  Its signature has `chunks` x `width`
-symbols of 16 bits, one MinHash value each.  Two signatures that differ in at most
+symbols of 8 bits, one MinHash value each, packed into 64-bit columns.  Two signatures that differ in at most
 2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most one
 different symbol; so each chunk is indexed once per symbol left out (`width` keys), and
 all pairs within that distance meet under a key.  With the defaults, 80 symbols and a
@@ -13,7 +13,8 @@ stands for it, so copies are never paired.  Under a key, documents are compared
 leader, in a few rounds with changing leaders; after each round those that already hang
 together need no further comparison.  A last round compares all that are still apart.
 Thus a group of thousands of near copies costs about its size, and no link between
-components is lost.
+components is lost.  The signature distance is part of the join's condition, so pairs
+that merely share a key (a common passage) are compared but never become rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daywatch.llm.common import (blocks_of, mix, packed, span_hashes, stored, text_bytes,
-                                 text_of, unpacked, window_hashes, word_spans)
+from daywatch.llm.common import (blocks_of, mix, packed, span_hashes, stored,
+                                 stored_and_counted, text_bytes, text_of, unpacked, window_hashes,
+                                 word_spans)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -65,9 +67,9 @@ def _sequence(h: np.ndarray) -> int:
 
 
 def signatures(grams: np.ndarray, first: np.ndarray, symbols: int, step: int = 200_000):
-    """MinHash symbols of 16 bits, one row per non-empty set; and which rows those are."""
+    """MinHash symbols of 8 bits, one row per non-empty set; and which rows those are."""
     filled = np.flatnonzero(np.diff(first) > 0)
-    out = np.empty((len(filled), symbols), np.uint16)
+    out = np.empty((len(filled), symbols), np.uint8)
     at = 0
     while at < len(filled):
         last = max(at + 1, int(np.searchsorted(first[filled], first[filled[at]] + step)))
@@ -76,7 +78,7 @@ def signatures(grams: np.ndarray, first: np.ndarray, symbols: int, step: int = 2
         part, cuts = grams[lo:hi], first[filled[at:last]] - lo
         for k in range(symbols):
             low = np.minimum.reduceat(mix(part, 1000 + k), cuts)
-            out[at:last, k] = (low & np.uint64(0xFFFF)).astype(np.uint16)
+            out[at:last, k] = (low & np.uint64(0xFF)).astype(np.uint8)
         at = last
     return filled, out
 
@@ -95,13 +97,28 @@ def _sign(batches, words, symbols):
                 if len(rows):
                     a[rows] = np.add.reduceat(mix(grams, 1), first[rows])
                     c[rows] = np.add.reduceat(mix(grams, 2), first[rows])
-            packed = [None] * (hi - lo)
-            for r, s in zip(rows.tolist(), sig):
-                packed[r] = s.tobytes()
+            packed = np.zeros((hi - lo, symbols // 8), np.int64)
+            packed[rows] = sig.view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()),
                  pa.array(a.view(np.int64)), pa.array(c.view(np.int64)),
-                 pa.array(packed, pa.binary())], ["id", "n", "c1", "c2", "sig"])
+                 *[pa.array(packed[:, i].copy()) for i in range(symbols // 8)]],
+                ["id", "n", "c1", "c2", *_columns(symbols)])
+
+
+def _columns(symbols: int) -> list[str]:
+    return [f"s{i}" for i in range(symbols // 8)]
+
+
+def distance(symbols: int, left: str = "", right: str = "_2") -> Column:
+    """In how many symbols two packed signatures differ: bytes of the XOR that are not 0."""
+    total = F.lit(0)
+    for c in _columns(symbols):
+        x = F.col(left + c).bitwiseXOR(F.col(c + right))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def _keys(batches, chunks, width):
@@ -109,7 +126,8 @@ def _keys(batches, chunks, width):
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16)
+            sig = np.column_stack([part.column(i).to_numpy() for i in range(1, part.num_columns)])
+            sig = np.ascontiguousarray(sig).view(np.uint8)
             sig = sig.reshape(part.num_rows, chunks, width).astype(np.uint64)
             out = []
             for c in range(chunks):
@@ -145,17 +163,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     both = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y"))
                   .union(links.select("b", "a")).distinct(), name)
-    label = stored(both.groupBy("x").agg(F.min("y").alias("m"))
-                   .select(F.col("x").alias("id"), F.least("x", "m").alias("component")), name)
+    label = (both.groupBy("x").agg(F.min("y").alias("m"))
+             .select(F.col("x").alias("id"), F.least("x", "m").alias("component")))
+    label = stored(label, name)
     while True:
         near = (both.join(label.select(F.col("id").alias("y"), F.col("component").alias("c")), "y")
                 .groupBy("x").agg(F.min("c").alias("c")))
         new = label.join(near, F.col("id") == F.col("x")).select(
             "id", F.col("component").alias("old"), F.least("component", "c").alias("l"))
-        jump = new.select(F.col("id").alias("l"), F.col("l").alias("l2"))
-        new = stored(new.join(jump, "l").select("id", "old", F.least("l", "l2").alias("component")), name)
+        jump = label.select(F.col("id").alias("l"), F.col("component").alias("l2"))
+        new = new.join(jump, "l").select("id", "old", F.least("l", "l2").alias("component"))
+        new, changed = stored_and_counted(new, name, F.col("old") != F.col("component"))
         label = new.select("id", "component")
-        if new.filter("old <> component").isEmpty():
+        if not changed:
             return label
 
 
@@ -165,20 +185,9 @@ def _near(a: str, b: str, percent: int) -> Column:
     return lo * 100 >= hi * percent
 
 
-def _distances(batches, limit):
-    """The pairs whose signatures differ in at most `limit` symbols."""
-    for b in batches:
-        for at in range(0, b.num_rows, 4000):
-            part = b.slice(at, 4000)
-            sa, sb = [np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16)
-                      .reshape(part.num_rows, -1) for c in ("sa", "sb")]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]) \
-                .filter(pa.array((sa != sb).sum(axis=1) <= limit))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = 5, percent: int = 80, chunks: int = 16, width: int = 5,
-                    rounds: int = 3) -> DataFrame:
+                    rounds: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * common shingles >= percent * all shingles.  Letters
@@ -189,66 +198,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of `docs` are ignored; an empty table gives no rows.
     """
     spark, symbols = docs.sparkSession, chunks * width
+    names = _columns(symbols)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     signed = stored(texts.mapInArrow(
         lambda it: _sign(it, words, symbols),
-        "id bigint, n bigint, c1 bigint, c2 bigint, sig binary"), "near-signed")
+        "id bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{c} bigint" for c in names)),
+        "near-signed")
     # classes of equal sets; the smallest id stands for a class
     of_class = (signed.filter("n > 0 and id is not null").groupBy("n", "c1", "c2")
-                .agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig")))
-    classes = stored(of_class, "near-classes")
-    keyed = classes.select("rep", "sig").mapInArrow(
+                .agg(F.min(F.struct("id", *names)).alias("r")))
+    classes = stored(of_class.select("n", "c1", "c2", F.col("r.id").alias("rep"),
+                                     *[f"r.{c}" for c in names]), "near-classes")
+    keyed = classes.select("rep", *names).mapInArrow(
         lambda it: _keys(it, chunks, width), "key bigint, rep bigint")
     keyed = stored(keyed, "near-keys")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("key")
-    members = keyed.join(shared, "key").distinct()
-    info = classes.select("rep", F.col("n"), "sig")
-    members = stored(members.join(info.select("rep", "n"), "rep"), "near-members")
-
-    # the sets of documents that share a key with another of like size
-    span = members.groupBy("key").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sets = None
+    info = classes.select("rep", "n", *names)
+    # lists that follow the input are merged, never broadcast
+    members = stored(keyed.join(shared.hint("merge"), "key").distinct()
+                     .join(info.hint("merge"), "rep").withColumn("comp", F.col("rep")), "near-members")
+    # full sets of the documents that share a key; the list follows the input, so it is merged
+    wanted = members.select(F.col("rep").alias("id")).distinct().hint("merge")
+    own = texts.join(wanted, "id").dropDuplicates(["id"])
+    sets = stored(own.mapInArrow(lambda it: _sets(it, words), "id bigint, grams array<bigint>"),
+                  "near-sets")
     label, links, tried = None, None, None
-    for turn in range(rounds + 1):
-        now = members if label is None else members.join(
-            label.withColumnRenamed("id", "rep"), "rep", "left")
-        now = now.withColumn("comp", F.col("rep") if label is None
-                             else F.coalesce("component", "rep")).select("key", "rep", "n", "comp")
-        # keys whose members hang together already are done
-        apart = (now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .filter("lo <> hi").select("key"))
-        now = now.join(apart, "key")
-        if turn < rounds:
-            order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "comp") if turn else \
-                F.struct(F.lit(0).cast("bigint"), "rep", "n", "comp")
-            lead = now.groupBy("key").agg(F.min(order).alias("l"))
-            lead = lead.select("key", F.col("l.rep").alias("rep2"), F.col("l.n").alias("n2"),
-                               F.col("l.comp").alias("comp2"))
-        else:
+    second = ["rep", "n", "comp", *names]
+    now, turns = members, ["nearest", *range(1, rounds + 1), "rest"]
+    for turn in turns:
+        if turn == "rest":
             # members outside a key's largest component, against all others of the key
             per = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
             main = per.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"))
             lead = now.join(main.select("key", F.col("t.comp").alias("main")), "key")
             lead = lead.filter("comp <> main").select(
-                "key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        pairs = now.join(lead, "key").filter(
-            (F.col("comp") != F.col("comp2")) & _near("n", "n2", percent))
-        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+                F.col("key").alias("key_2"), *[F.col(c).alias(f"{c}_2") for c in second])
+        else:
+            # one leader per key, another each turn
+            order = F.struct((F.lit(0).cast("bigint") if turn == "nearest" else
+                              F.xxhash64("rep", F.lit(turn))).alias("o"), *second)
+            lead = now.groupBy("key").agg(F.min(order).alias("l"))
+            lead = lead.select(F.col("key").alias("key_2"),
+                               *[F.col(f"l.{c}").alias(f"{c}_2") for c in second])
+        close = ((F.col("key") == F.col("key_2")) & (F.col("comp") != F.col("comp_2"))
+                 & _near("n", "n_2", percent) & (distance(symbols) <= 2 * chunks - 1))
+        pairs = now.join(lead.hint("merge"), close)
+        if turn == "nearest":
+            # first only the smallest leader that a document meets: large groups hang
+            # together after as many comparisons as they have members
+            pairs = pairs.groupBy("rep").agg(F.min("rep_2").alias("rep_2"))
+        pairs = pairs.select(
+            F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = (pairs.join(info.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-                 .join(info.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b"))
-        pairs = stored(pairs.mapInArrow(lambda it: _distances(it, 2 * chunks - 1),
-                                        "a bigint, b bigint"), "near-pairs")
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
+        pairs, count = stored_and_counted(pairs, "near-pairs")
+        if count:
+            tried = pairs if tried is None else tried.union(pairs)
+            found, linked = stored_and_counted(confirmed(pairs, sets, percent), "near-links")
+            if linked:
+                links = found if links is None else links.union(found)
+                label = components(links, "near-components")
+        if turn == "rest":
+            break
+        # what is left: without leaders that met all others, and only keys whose members
+        # do not hang together yet
+        if turn != "nearest":
+            gone = lead.select("key_2", "rep_2")
+            now = now.join(gone.hint("merge"), (F.col("key") == F.col("key_2"))
+                           & (F.col("rep") == F.col("rep_2")), "left_anti")
+        if label is not None:
+            now = (now.drop("comp").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+                   .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+        apart = (now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .filter("lo <> hi").select("key"))
+        now, count = stored_and_counted(now.join(apart.hint("merge"), "key"), "near-apart")
+        if not count:
             break
-        found = confirmed(pairs, texts, words, percent)
-        found = stored(found, "near-links")
-        tried = pairs if tried is None else stored(tried.union(pairs), "near-tried")
-        links = found if links is None else stored(links.union(found), "near-all-links")
-        label = components(links, "near-components")
     if label is None:
         label = spark.createDataFrame([], "id bigint, component bigint")
     label = label.select(F.col("id").alias("rep"), "component")
@@ -261,14 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = texts.join(wanted, "id").dropDuplicates(["id"])
-    sets = stored(own.mapInArrow(lambda it: _sets(it, words), "id bigint, grams array<bigint>"),
-                  "near-sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b"))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    both = (sides.join(sets, "id").groupBy("a", "b")
+            .agg(F.min_by("grams", "id").alias("ga"), F.max_by("grams", "id").alias("gb")))
     common = F.size(F.array_intersect("ga", "gb"))
     return both.filter(common * 100 >= percent * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 

@@ -99,11 +99,13 @@ def test_pigeonhole_keys_meet():
     import pyarrow as pa
     rng = np.random.default_rng(0)
     for _ in range(50):
-        a = rng.integers(0, 1 << 16, 80).astype(np.uint16)
+        a = rng.integers(0, 256, 80).astype(np.uint8)
         b = a.copy()
         b[rng.permutation(80)[:31]] ^= 1
+        packed = np.stack([a, b]).view(np.int64)
         batch = pa.RecordBatch.from_arrays(
-            [pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["rep", "sig"])
+            [pa.array([1, 2]), *[pa.array(packed[:, i].copy()) for i in range(10)]],
+            ["rep", *neardup._columns(80)])
         keys = {1: set(), 2: set()}
         for out in neardup._keys([batch], 16, 5):
             for k, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
@@ -111,6 +113,22 @@ def test_pigeonhole_keys_meet():
         assert keys[1] & keys[2]
 
 
+def test_distance_counts_symbols(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 256, (40, 80)).astype(np.uint8)
+    b = a.copy()
+    for i in range(40):
+        b[i, rng.permutation(80)[:2 * i]] ^= np.uint8(rng.integers(1, 256))
+    rows = [tuple(map(int, x)) + tuple(map(int, y))
+            for x, y in zip(a.view(np.int64), b.view(np.int64))]
+    names = neardup._columns(80)
+    df = spark.createDataFrame(rows, [*names, *[f"{c}_2" for c in names]])
+    got = [r[0] for r in df.select(neardup.distance(80)).collect()]
+    assert got == (a != b).sum(axis=1).tolist()
+
+
 # ---- substring --------------------------------------------------------------
 
 def substring_truth(rows, window):
