@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from daywatch.llm.common import (blocks_of, span_hashes, stored, text_bytes, text_of,
+from daywatch.llm.common import (blocks_of, mix, span_hashes, stored, text_bytes, text_of,
                                  window_hashes, word_spans)
 
 PACKED = 1_500_000        # entries that a task gathers before it hands them out by bucket
@@ -89,7 +89,7 @@ def _rows(rows, names):
         [pa.array(cols[0], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[1:]], list(names))
 
 
-def _anchors(table: pa.Table) -> pa.Table:
+def _anchors(table: pa.Table, groups: int) -> pa.Table:
     """Places of the windows whose hash a block of one document and another share."""
     ids, counts, low, places = [], [], [], []
     for i, c, h, p in zip(*[table.column(x).to_pylist() for x in ("ids", "counts", "hashes", "places")]):
@@ -106,16 +106,42 @@ def _anchors(table: pa.Table) -> pa.Table:
     hit = ((np.minimum.reduceat(own, new) != np.maximum.reduceat(own, new))
            & (np.maximum.reduceat(low[order] & 1, new) == 1))
     chosen = order[np.repeat(hit, run)]
-    return _by_owner(ids[chosen], places[chosen], "id")
+    return _packed(ids[chosen], places[chosen], groups)
 
 
-def _by_owner(owner, places, name):
+def _runs(x: np.ndarray):
+    """Start and end of each run of equal values."""
+    if not len(x):
+        return []
+    new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return list(zip(new, np.append(new[1:], len(x))))
+
+
+PACKED_SCHEMA = "bucket bigint, owners binary, places binary"
+
+
+def _packed(owner, places, groups: int) -> pa.Table:
+    """Places by groups of owners, a row per group: what buckets found meets again by owner."""
+    group = (mix(owner.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group, owner, places = group[order], owner[order], places[order].astype(np.uint32)
+    runs = _runs(group)
+    return pa.table({
+        "bucket": pa.array([int(group[lo]) for lo, _ in runs], pa.int64()),
+        "owners": pa.array([owner[lo:hi].tobytes() for lo, hi in runs], pa.binary()),
+        "places": pa.array([places[lo:hi].tobytes() for lo, hi in runs], pa.binary())})
+
+
+def _by_owner(table: pa.Table) -> pa.Table:
+    """One row per owner: all its places, sorted."""
+    owner = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
+    places = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("places").to_pylist()])
     order = np.lexsort((places, owner))
-    owner, places = owner[order], places[order].astype(np.uint32)
-    new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else \
-        np.empty(0, np.int64)
-    parts = [places[lo:hi].tobytes() for lo, hi in zip(new, np.append(new[1:], len(owner)))]
-    return pa.table({name: pa.array(owner[new], pa.int64()), "places": pa.array(parts, pa.binary())})
+    owner, places = owner[order], places[order]
+    runs = _runs(owner)
+    return pa.table({
+        "owner": pa.array([int(owner[lo]) for lo, _ in runs], pa.int64()),
+        "hits": pa.array([places[lo:hi].tobytes() for lo, hi in runs], pa.binary())})
 
 
 def _spread(starts: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -157,7 +183,7 @@ def _extend(batches, block, window, digest):
                 data = np.frombuffer(raw, np.uint8)
                 h, _, _ = _words(data, np.array([0, len(raw)]))
                 n = len(h) - window + 1
-                places = np.concatenate([np.frombuffer(x, np.uint32) for x in hits]).astype(np.int64)
+                places = np.frombuffer(hits, np.uint32).astype(np.int64)
                 places = places[places <= len(h) - block]
                 edge = np.zeros(len(h) + 1, np.int64)
                 np.add.at(edge, np.maximum(places - (window - block), 0), 1)
@@ -204,7 +230,7 @@ def _deal(batches, buckets):
         yield flush()
 
 
-def _covered(table: pa.Table) -> pa.Table:
+def _covered(table: pa.Table, groups: int) -> pa.Table:
     """The windows that also start in a document with a smaller id."""
     kinds = (("rid", np.int64), ("id", np.int64), ("starts", np.uint32), ("h1", np.uint64),
              ("h2", np.uint32))
@@ -215,7 +241,7 @@ def _covered(table: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]))))
     least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(a))))
     gone = order[own > least]
-    return _by_owner(rid[gone], start[gone], "rid")
+    return _packed(rid[gone], start[gone], groups)
 
 
 def _cut(batches, window, digest):
@@ -225,7 +251,7 @@ def _cut(batches, window, digest):
             words = text.encode("utf-8", "surrogatepass").split()
             removed = None
             if hits:
-                starts = np.concatenate([np.frombuffer(x, np.uint32) for x in hits]).astype(np.int64)
+                starts = np.frombuffer(hits, np.uint32).astype(np.int64)
                 removed = _spread(starts, 0, window - 1, len(words))
             rows.append((ident, len(words), *_finish(words, removed, digest)))
         if rows:
@@ -252,10 +278,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     probes = rows.filter("id is not null").mapInArrow(
         lambda it: _probes(it, block, buckets),
         "bucket bigint, ids binary, counts binary, hashes binary, places binary")
-    anchors = stored(probes.groupBy("bucket").applyInArrow(_anchors, "id bigint, places binary"),
+    anchors = probes.groupBy("bucket").applyInArrow(lambda t: _anchors(t, buckets), PACKED_SCHEMA)
+    anchors = stored(anchors.groupBy("bucket").applyInArrow(_by_owner, "owner bigint, hits binary"),
                      "repeat-anchors")
-    anchors = anchors.groupBy("id").agg(F.collect_list("places").alias("hits"))
-    opened = rows.join(anchors, "id", "left").select("id", "text", "hits").mapInArrow(
+    opened = rows.join(anchors, F.col("id") == F.col("owner"), "left").select("id", "text", "hits").mapInArrow(
         lambda it: _extend(it, block, window, digest), OPEN)
     opened = stored(opened.withColumn("rid", F.monotonically_increasing_id()), "repeat-windows")
     todo = opened.filter("text is not null")
@@ -264,9 +290,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = (todo.select("rid", "id", "starts", "h1", "h2")
                .mapInArrow(lambda it: _deal(it, parts), "bucket bigint, rid binary, id binary, "
                            "starts binary, h1 binary, h2 binary")
-               .groupBy("bucket").applyInArrow(_covered, "rid bigint, places binary"))
-    covered = covered.groupBy("rid").agg(F.collect_list("places").alias("hits"))
-    cut = todo.join(covered, "rid", "left").select("id", "text", "hits").mapInArrow(
+               .groupBy("bucket").applyInArrow(lambda t: _covered(t, parts), PACKED_SCHEMA)
+               .groupBy("bucket").applyInArrow(_by_owner, "owner bigint, hits binary"))
+    cut = todo.join(covered, F.col("rid") == F.col("owner"), "left").select("id", "text", "hits").mapInArrow(
         lambda it: _cut(it, window, digest),
         "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     done = opened.filter("text is null").select(F.col("id").alias("doc_id"), "n_words",
