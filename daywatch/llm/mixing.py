@@ -1,7 +1,8 @@
 """Mix sources to target weights from packed blocks, with DataFrame functions only.
 
 Words of a source, document after document, form one stream that is cut into
-blocks of a fixed number of words.  The mix is a row of slots, one block each,
+blocks of a fixed number of words (fewer in the last one, and in all blocks of a
+source whose target is a few blocks).  The mix is a row of slots, one block each,
 dealt to output shards.  A shard's counts per source are multinomial draws given
 the source totals: a pseudorandom permutation of all slots cuts them into runs as
 long as each source's share.  The r-th slot of a source maps through that source's
@@ -54,8 +55,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataF
                        .alias("target"))
 
 
-def permuted(x: Column, n: Column, key: Column, walks: int = 16) -> Column:
-    """A pseudorandom permutation of 0..n-1, a function of x, n and key.
+def permuted(x: Column, n: Column, key: Column, walks: int = 16, back: bool = False) -> Column:
+    """A pseudorandom permutation of 0..n-1, a function of x, n and key; `back`: its inverse.
 
     A Feistel network over a x b >= n with a near the root of n; values from n on walk
     the cycle back.  At most a of them exist, so a walk of 16 misses with a chance
@@ -66,7 +67,10 @@ def permuted(x: Column, n: Column, key: Column, walks: int = 16) -> Column:
 
     def step(v: Column) -> Column:
         left, right = F.floor(v / b).cast("bigint"), F.pmod(v, b)
-        for i in range(0, 4, 2):
+        for i in (2, 0) if back else ():
+            right = F.pmod(right - F.pmod(F.xxhash64(left, key, F.lit(i + 1)), b), b)
+            left = F.pmod(left - F.pmod(F.xxhash64(right, key, F.lit(i)), a), a)
+        for i in () if back else (0, 2):
             left = F.pmod(left + F.pmod(F.xxhash64(right, key, F.lit(i)), a), a)
             right = F.pmod(right + F.pmod(F.xxhash64(left, key, F.lit(i + 1)), b), b)
         return left * b + right
@@ -101,13 +105,49 @@ def stream_offsets(docs: DataFrame, id_col: str, text_col: str, source_col: str,
     return rows.select("doc_id", "source", "size", (F.col("_base") + F.col("_in")).alias("start"))
 
 
+def pass_key(seed: int, nth: Column) -> Column:
+    """The key of a source's index permutation in its nth pass."""
+    return F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(),
+                      nth.cast("bigint"))
+
+
+def source_quotas(targets: DataFrame, block: int, cap: float, seed: int, least_slots: int = 16
+                  ) -> DataFrame:
+    """`targets` with block_words, blocks and quota: the slots whose words come nearest the target.
+
+    Full passes give the source's size each.  The pass that is left gives whole blocks,
+    and its short last one from the place on that the pass's permutation has for it.  A
+    target below `least_slots` blocks is cut into blocks of a `least_slots`-th of it (one
+    word at least), so it is met to half such a block.
+    """
+    short = F.floor(F.col("target") / least_slots).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    rows = targets.withColumn("block_words", F.greatest(one, F.least(F.lit(block).cast("bigint"), short)))
+    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("bigint"))
+    size, words, n = F.greatest("source_size", one), F.col("block_words"), F.greatest("blocks", one)
+    rows = rows.withColumn("_full", F.floor(F.col("target") / size).cast("bigint"))
+    rows = rows.withColumns({
+        "_rest": F.col("target") - F.col("_full") * F.col("source_size"),
+        "_lack": F.col("blocks") * words - F.col("source_size"),
+        "_short": permuted(n - 1, n, pass_key(seed, F.col("_full")), back=True)})
+    rest, lack, place = F.col("_rest"), F.col("_lack"), F.col("_short")
+    without = F.least(place, F.round(rest / words).cast("bigint"))
+    held = F.least(n, F.greatest(place + 1, F.round((rest + lack) / words).cast("bigint")))
+    rows = rows.withColumns({"_without": without, "_held": held})
+    nearer = F.abs(F.col("_held") * words - lack - rest) < F.abs(F.col("_without") * words - rest)
+    quota = F.col("_full") * F.col("blocks") + F.when(nearer, F.col("_held")).otherwise(F.col("_without"))
+    quota = F.least(quota, F.floor(cap * F.col("blocks")).cast("bigint"))
+    return rows.withColumn("quota", quota).select(*targets.columns, "block_words", "blocks", "quota")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights=WEIGHTS, cap: float = 3.0,
                 block: int = 32, shard_slots: int = 4096, seed: int = 11):
     """(placed, uses, slots): the documents in their streams, how often each block is taken,
     and the slots of the mix.
 
-    placed: doc_id, source, size, start, source_size, target.
+    placed: doc_id, source, size, start, source_size, target, block_words (`block`, or
+    fewer for a small target).
     uses: source, block, uses (1 to `cap`; blocks not taken have no row).
     slots: shard, slot, source, block: one row per block of the mix.
     Null texts have size 0, null sources form a source of their own (last in order),
@@ -117,10 +157,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = stream_offsets(docs, id_col, text_col, source_col)
     placed = stored(placed, "mix-places")
     per = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(per, weights, cap).withColumns({
-        "blocks": F.ceil(F.col("source_size") / block).cast("bigint"),
-        "quota": F.round(F.col("target") / block).cast("bigint")}), "mix-targets")
-    targets = targets.withColumn("quota", F.least("quota", F.floor(cap * F.col("blocks")).cast("bigint")))
+    targets = stored(source_quotas(source_targets(per, weights, cap), block, cap, seed), "mix-targets")
     run = Window.orderBy(F.col("source").isNull(), F.col("source"))
     shares = targets.filter("quota > 0").select(
         "source", "blocks", "quota",
@@ -140,17 +177,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("_at") >= F.col("first")) & (F.col("_at") < F.col("first") + F.col("quota")))
     nth = F.col("_at") - F.col("first")
     slots = slots.withColumns({"_nth": nth, "_pass": F.floor(nth / F.col("blocks"))})
-    key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull(), "_pass")
     slots = slots.select("shard", "slot", "source", permuted(
-        F.pmod(F.col("_nth"), F.col("blocks")), F.col("blocks"), key).alias("block"))
+        F.pmod(F.col("_nth"), F.col("blocks")), F.col("blocks"), pass_key(seed, F.col("_pass")))
+        .alias("block"))
     uses = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
-    known = targets.select(F.col("source").alias("_s"), "source_size", "target")
+    known = targets.select(F.col("source").alias("_s"), "source_size", "target", "block_words")
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return placed, uses, slots
 
 
-def doc_blocks(placed: DataFrame, uses: DataFrame, block: int = 32) -> DataFrame:
+def doc_blocks(placed: DataFrame, uses: DataFrame) -> DataFrame:
     """One row per document and block it reaches into: `placed` plus block, words, uses."""
+    block = F.col("block_words")
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     rows = placed.withColumn("block", F.explode_outer(F.when(
         F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), last))))
@@ -166,7 +204,7 @@ def doc_blocks(placed: DataFrame, uses: DataFrame, block: int = 32) -> DataFrame
 def taken_words(docs: DataFrame, block: int = 32, **options) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken."""
     placed, uses, _ = mix_sources(docs, block=block, **options)
-    return (doc_blocks(placed, uses, block)
+    return (doc_blocks(placed, uses)
             .groupBy("doc_id", "source", "size", "start", "source_size", "target")
             .agg(F.sum(F.col("words") * F.col("uses")).cast("bigint").alias("taken")))
 
@@ -182,12 +220,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     placed, uses, _ = mix_sources(docs, id_col=id_col, text_col=text_col, block=block,
                                   cap=float(cap), **options)
-    per = (doc_blocks(placed, uses, block).filter("size > 0")
-           .groupBy("doc_id", "source", "size", "start")
+    per = (doc_blocks(placed, uses).filter("size > 0")
+           .groupBy("doc_id", "source", "size", "start", "block_words")
            .agg(F.sort_array(F.collect_list(F.struct("block", "uses"))).alias("_uses")))
     per = per.select(F.col("doc_id").alias("_d"), F.col("source").alias("_src"),
                      F.col("size").alias("_z"), F.col("start").alias("_start"),
-                     F.col("_uses")["uses"].alias("_uses"),
+                     F.col("block_words").alias("_block"), F.col("_uses")["uses"].alias("_uses"),
                      F.row_number().over(Window.partitionBy("doc_id", "source", "size")
                                          .orderBy("start")).alias("_k"))
     rows = packed(docs, _id=F.col(id_col), _text=text_of(text_col), _z2=word_count(text_col),
@@ -201,7 +239,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.forall("_uses", lambda u: u >= F.col("_nth"))
     words = F.regexp_extract_all("_text", F.lit(f"({WORD})"), 1)
     part = F.concat_ws(" ", F.filter(words, lambda w, i: F.get(F.col("_uses"), (
-        F.floor((F.col("_start") + i) / block) - F.floor(F.col("_start") / block)).cast("int"))
+        F.floor((F.col("_start") + i) / F.col("_block"))
+        - F.floor(F.col("_start") / F.col("_block"))).cast("int"))
         >= F.col("_nth")))
     changed = {text_col: F.when(whole, F.col(f"_row.`{text_col}`")).otherwise(part)}
     if "n_chars" in docs.columns:

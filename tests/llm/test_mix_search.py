@@ -94,6 +94,33 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 4099])
+def test_permutation_and_back(spark, n):
+    from pyspark.sql import functions as F
+    size = F.lit(n).cast("bigint")
+    there = mixing.permuted(F.col("id"), size, F.lit(5))
+    df = spark.range(n).withColumn("p", there)
+    assert df.filter(mixing.permuted(F.col("p"), size, F.lit(5), back=True) != F.col("id")).isEmpty()
+
+
+def test_small_sources_meet_their_targets(spark):
+    # beside a hot source: capped ones, and (by weight) some that get a few words only
+    sizes = {"a": 5, "b": 10, "c": 33, "d": 321, "e": 90000, "f": 1, "g": 64, "h": 700}
+    few = {f"s{i:03}": 20 for i in range(60)}
+    for size in (sizes, {**few, "t": 900}):
+        df = docs(spark, [(i, " ".join(prose(i, n)), "en", s) for i, (s, n) in enumerate(size.items())])
+        target, taken = water_fill(size), {r.source: r.taken for r in mixing.taken_words(df).collect()}
+        for s, n in size.items():
+            if target[s] == 3 * n:
+                assert taken[s] == 3 * n, s
+            assert abs(taken[s] - target[s]) <= min(16, max(0.5, target[s] / 32)), s
+        assert {s for s in size if target[s] == 3 * size[s]} or "t" in size
+        got = Counter()
+        for r in mixing.mixed_documents(df).collect():
+            got[r.source] += len(r.text.split())
+        assert got == {s: t for s, t in taken.items() if t}
+
+
 def test_mix_of_nothing(spark):
     assert mixing.taken_words(docs(spark, [])).count() == 0
     empty = [(1, None, "en", "a"), (2, "", "en", "b")]
