@@ -145,10 +145,27 @@ def labelled_texts(docs, labels, label_col, held_out, id_col, text_col, bound, s
             .agg(F.max("_y").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"))
 
 
+def gates(n: int, pos: int, least: int, sure: float) -> tuple[int, float]:
+    """How many texts a word needs and its least z score, for `pos` toxic texts of `n`.
+
+    Below 4 * least toxic texts a word needs a quarter of them (3 at least), and a word
+    seen so often in toxic texts only passes, unless its z score is below 3.
+    """
+    if pos >= 4 * least:
+        return least, sure
+    few = min(least, max(3, -(-pos // 4)))
+    a = min(few, pos)
+    z = a / pos / np.sqrt((a / n * (1 - a / n) + 1e-6) * (1 / pos + 1 / (n - pos)))
+    return few, min(sure, max(3.0, float(z) * (1 - 1e-9)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bound: int = 20_000, words: int = 4000, least: int = 5, sure: float = 4.5, penalty: float = 1.0,
         swaps: int = 2, terms=IDENTITY_TERMS, seed: int = 5) -> Model:
-    """Fit on at most about `bound` labelled rows whose crc32(id) mod 5 is not 0."""
+    """Fit on at most about `bound` labelled rows whose crc32(id) mod 5 is not 0.
+
+    `least` and `sure` choose the words; both fall when few rows are toxic (`gates`).
+    """
     rows = stored(labelled_texts(docs, labels, "toxic", (5, 0), id_col, text_col, bound, seed),
                   "toxic-sample")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
@@ -156,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n == 0 or pos == 0 or pos == n:   # nothing to learn: the share of toxic rows
         share = (pos + 0.5) / (n + 1) if n else 0.0
         return Model({}, float(np.log(share / (1 - share))) if share else -20.0)
+    least, sure = gates(n, pos, least, sure)
     counts = (rows.mapInArrow(_words, "toxic int, word string").groupBy("word")
               .agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("a")).filter(F.col("a") >= least))
     gap = F.abs(F.col("p") / pos - (F.col("a") - F.col("p")) / (n - pos))

@@ -39,3 +39,17 @@ def test_pipeline_stages(spark):
     last = seen["sentencepiece"]
     assert last.count() == seen["mix_sources"].count()
     assert last.filter("n_corrected > 0").isEmpty()
+
+
+def test_pipeline_drops_toxic_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.filter("length(text) between 200 and 2000").orderBy("doc_id").first().asDict()
+    insult = first["text"] + " You are scum, a worthless loser."
+    planted = spark.createDataFrame(
+        [{**first, "doc_id": 10 ** 9, "text": insult}, {**first, "doc_id": 10 ** 9 + 1}], docs.schema)
+    left = corpus_pipeline.drop_toxic(spark, docs.unionByName(planted), SF)
+    ids = {r.doc_id for r in left.select("doc_id").collect()}
+    assert 10 ** 9 not in ids and 10 ** 9 + 1 in ids
+    marks = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic is not null")
+    gone = docs.join(marks, "doc_id").filter(~docs.doc_id.isin(ids)).select("toxic").collect()
+    assert gone and all(r.toxic == 1 for r in gone)

@@ -241,6 +241,13 @@ def test_toxicity_rows_and_cleaning(spark):
     assert none.filter("predicted = 1").count() == 0
 
 
+def test_gates_fall_with_few_toxic_texts():
+    assert toxicity.gates(319, 44, 5, 4.5) == (5, 4.5)
+    few, sure = toxicity.gates(68, 10, 5, 4.5)
+    assert few == 3 and 4.2 < sure < 4.3
+    assert toxicity.gates(20, 10, 5, 4.5) == (3, 3.0)
+
+
 def test_swap_terms_always_changes_the_term():
     for step in range(200):
         out = toxicity.swap_terms(["all", "women", "and", "jews"], step=step)
