@@ -13,6 +13,7 @@ so a cell with a third of all vectors is many groups; each part returns its best
 
 from __future__ import annotations
 
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,6 +25,8 @@ from daywatch.llm.common import bounded_sample
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
     """Lloyd's rounds from a seeded start; k at most the distinct rows."""
+    if not x.shape[1]:                       # the second half of one component
+        return x[:1].copy()
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     c = distinct[rng.permutation(len(distinct))[:k]].copy()
@@ -66,24 +69,33 @@ class Index:
     """Centroids of both halves and the share of the vectors that a query visits."""
 
     def __init__(self, sample: np.ndarray, cells: int, recall: float, k: int, seed: int, probes: int = 200):
-        self.half = sample.shape[1] // 2
+        self.dims = sample.shape[1]
+        self.half = max(1, self.dims // 2)
+        self.mean = sample.mean(0)           # expanded squares are exact near the origin only
+        sample = sample - self.mean
         self.first = kmeans(sample[:, :self.half], cells, seed)
         self.second = kmeans(sample[:, self.half:], cells, seed + 1)
         self.share = self.calibrate(sample, recall, k, seed, probes)
 
     def cells(self, x):
+        return self.centred_cells(x - self.mean)
+
+    def centred_cells(self, x):
         return nearest(x[:, :self.half], self.first), nearest(x[:, self.half:], self.second)
 
     def distances(self, x):
+        return self.centred_distances(x - self.mean)
+
+    def centred_distances(self, x):
         return squared(x[:, :self.half], self.first), squared(x[:, self.half:], self.second)
 
     def calibrate(self, x, recall, k, seed, probes) -> float:
         n = len(x)
         own = np.random.default_rng(seed).permutation(n)[:probes]
-        a, b = self.cells(x)
+        a, b = self.centred_cells(x)
         count = np.zeros((len(self.first), len(self.second)), np.int64)
         np.add.at(count, (a, b), 1)
-        d1, d2 = self.distances(x[own])
+        d1, d2 = self.centred_distances(x[own])
         need = []
         for i, q in enumerate(own):
             d = squared(x[q:q + 1], x)[0]
@@ -102,7 +114,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"),
                           F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 1))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     return rows.filter(~bad).filter(F.exists("v", lambda x: x != 0))
 
 
@@ -123,7 +135,7 @@ def _route(batches, index, count, want):
     """A query once per first centroid, with the second centroids that it visits there."""
     for b in batches:
         q, v, i, js = [], [], [], []
-        x = _matrix(b.column(1)) if b.num_rows else np.empty((0, 2 * index.half))
+        x = _matrix(b.column(1)) if b.num_rows else np.empty((0, index.dims))
         d1, d2 = index.distances(x)
         for r, ident in enumerate(b.column(0).to_pylist()):
             own: dict[int, list[int]] = {}
@@ -149,18 +161,24 @@ def rerank(entries: pa.Table, queries: pa.Table, k: int, wide: int) -> pa.Table:
         q = _matrix(queries.column("q").combine_chunks())
         js = queries.column("js").to_pylist()
         qid = queries.column("query_id").to_pylist()
+        # squares are expanded around the part's mean; their rounding error has this bound
+        mean = x.mean(0)
+        centred = x - mean
+        slack, norm = 4 * np.finfo(float).eps * (x.shape[1] + 4), (centred ** 2).sum(1)
         for at in range(0, len(q), 64):
-            d = squared(q[at:at + 64], x)
+            own = q[at:at + 64] - mean
+            d = squared(own, centred)
+            error = slack * ((own ** 2).sum(1)[:, None] + norm[None])
             for r in range(len(d)):
                 open_ = np.zeros(wide, bool)
                 open_[js[at + r]] = True
-                row = np.where(open_[j] & (ids != qid[at + r]), d[r], np.inf)
+                row = np.where(open_[j] & (ids != qid[at + r]), d[r] + error[r], np.inf)
                 found = np.isfinite(row).sum()
                 if not found:
                     continue
                 # all that may be among the k nearest, ties and rounding included
                 edge = np.partition(row, min(k, found) - 1)[min(k, found) - 1]
-                near = np.flatnonzero(row <= edge + 1e-9 * (1 + abs(edge)))
+                near = np.flatnonzero(row - 2 * error[r] <= edge)
                 exact = np.sqrt(((x[near] - q[at + r]) ** 2).sum(1))
                 order = np.lexsort((ids[near], exact))[:k]
                 out_q.append(np.full(len(order), qid[at + r]))
@@ -177,19 +195,26 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """query_id, rank, vec_id, score: for each id divisible by `every`, its k nearest found.
 
     Ties go to the smaller id.  Vectors take no part when null, zero, holding null or
-    non-finite components, or of another length than most.  Rows that repeat an id count
-    once, by their first vector in order.  Fewer candidates than k give all of them; an
+    non-finite components.  Vectors of each length are searched among themselves: there
+    is no distance between lengths.  Rows that repeat an id count once, by their first
+    vector in order.  Fewer candidates than k give all of them; an
     empty table gives no rows.  `recall` is what the calibration aims at.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
+    sizes = rows.groupBy(F.size("v").alias("d")).count().filter("count > 1").orderBy("d").collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if sizes is None:
+    if not sizes:
         return spark.createDataFrame([], schema)
-    n = sizes["count"]
-    rows = rows.filter(F.size("v") == sizes["d"])
+    return reduce(DataFrame.unionByName, [
+        _search(rows.filter(F.size("v") == s["d"]), s["count"], k, every, cells, recall, bound,
+                part_rows, query_rows, seed) for s in sizes])
+
+
+def _search(rows: DataFrame, n: int, k, every, cells, recall, bound, part_rows, query_rows, seed
+            ) -> DataFrame:
+    """`search` among `n` usable vectors of one length."""
     sample = bounded_sample(rows, "vec_id", bound, seed).toPandas().sort_values("vec_id")
     index = Index(np.array(sample["v"].tolist(), float), cells, recall, k, seed)
     placed = rows.mapInArrow(lambda it: _place(it, index), "vec_id bigint, v array<double>, i int, j int")

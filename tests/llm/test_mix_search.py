@@ -174,6 +174,37 @@ def test_search_few_and_none(spark):
     assert ann.search(few.limit(0)).count() == 0
 
 
+def test_search_far_from_the_origin_and_every_length(spark):
+    rng = np.random.default_rng(2)
+    far = 1000 + 1e-5 * rng.normal(size=(600, 16))
+    own = {i: far[i].tolist() for i in range(600)}
+    one = {1000 + i: [float(x)] for i, x in enumerate(rng.normal(size=150))}
+    three = {2000 + i: x.tolist() for i, x in enumerate(rng.normal(size=(120, 3)))}
+    df = spark.createDataFrame(list({**own, **one, **three}.items()), "vec_id bigint, embedding array<double>")
+    found = ann.search(df, cells=4, recall=1.0).collect()
+    truth = brute(own) | brute(one) | brute(three)
+    by = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(by) == set(truth)
+    for part in (own, one, three):
+        mine = [q for q in truth if q in part]
+        assert sum(len(set(by[q]) & {j for _, j in truth[q]}) for q in mine) >= 9 * len(mine)
+
+
+def test_candidates_survive_rounding():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    x = 1000 + 1e-5 * rng.normal(size=(500, 32))
+    entries = pa.table({"vec_id": range(500), "v": x.tolist(), "j": pa.array([0] * 500, pa.int32())})
+    queries = pa.table({"query_id": range(0, 500, 10), "q": x[::10].tolist(), "js": [[0]] * 50})
+    out = ann.rerank(entries, queries, 10, 1).to_pylist()
+    for i in range(0, 500, 10):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [r["vec_id"] for r in out if r["query_id"] == i] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_cells_are_visited_by_summed_distance():
     rng = np.random.default_rng(3)
     d1, d2 = rng.random(9), rng.random(7)
