@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daywatch.llm import (ann, chat, exact_dedup, langid, mixing, neardup, pieces, quality, substring,
-                          toxicity)
+from daywatch.llm import (ann, audit, chat, exact_dedup, langid, lexical, mixing, neardup, pieces,
+                          quality, simhash, substring, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,3 +159,85 @@ m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
 SELECT s.doc_id, len(s.g) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM s JOIN m ON m.id = s.doc_id
 """
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return lexical.best_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_lexical_search"] = r"""
+WITH lowered AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(coalesce(t, ''), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM lowered),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::bigint AS n_terms FROM w),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+      FROM benchmark),
+p AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM w),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+       FROM p SEMI JOIN i USING (term) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+v AS (SELECT r, doc_id, term,
+             floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS x
+      FROM tf JOIN df USING (term), s),
+f AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(x)::bigint AS score
+      FROM i JOIN v USING (term) GROUP BY item_id, r HAVING sum(x) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM f WHERE doc_id IS NOT NULL)
+SELECT item_id, rank::int AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    """What five filters remove of each language, in all 120 orders."""
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic
+           FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS later FROM t),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text)
+                     THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN later THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM d GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM f p, f q, f r, f s, f u
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+st AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own,
+              substr(filter_order, 1, step - 1) AS before
+       FROM o, (SELECT unnest(range(1, 6))::int AS step)),
+m AS (SELECT c.*, st.*, contains(fails, own) AS hit, translate(fails, before, '') = fails AS reached
+      FROM c, st),
+g AS (SELECT part, filter_order, step, own,
+             coalesce(sum(n) FILTER (reached AND NOT hit), 0)::bigint AS kept,
+             coalesce(sum(n) FILTER (reached AND hit), 0)::bigint AS removed,
+             coalesce(sum(n) FILTER (hit AND NOT reached), 0)::bigint AS redundant,
+             coalesce(sum(n) FILTER (fails = own), 0)::bigint AS unique_fails,
+             coalesce(sum(good) FILTER (reached AND hit), 0)::bigint AS good_lost,
+             coalesce(sum(toxic) FILTER (reached AND hit), 0)::bigint AS toxic_lost
+      FROM m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley
+FROM g
+"""
+
+
+@query
+def op13_simhash(spark, sf_dir):
+    """Components of near copies by 64-bit fingerprints of four-word shingles."""
+    return simhash.near_copies(table(spark, sf_dir, "documents"))

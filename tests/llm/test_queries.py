@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     ten = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in ten) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in ten) == list(range(1, 14))
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
 
 
