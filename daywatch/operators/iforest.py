@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, 2008), grown and applied on Spark.
 
-Fitting needs `trees` samples of at most `tree_rows` rows.  Rows are numbered by a
-hash of their keys, so the draw does not depend on partitioning, and only the drawn
-rows go to the trees.  Each tree grows in a task of its own; scoring is one
+Fitting needs `trees` samples of at most `tree_rows` rows.  They are bottom-k sketches on
+hashes of the keys, so the draw does not depend on partitioning, and only the drawn rows
+are shuffled.  Each tree grows in a task of its own; scoring is one
 vectorised pass with the node table (at most trees * (2 * tree_rows - 1) rows)
 broadcast.
 """
@@ -10,16 +10,15 @@ broadcast.
 from __future__ import annotations
 
 import math
-import random
 from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from daywatch.functions import columns as C
-from daywatch.operators.ranking import exact_quantiles, indexed
+from daywatch.operators.ranking import exact_quantiles
 from daywatch.params import Params
 from daywatch.session import materialise
 
@@ -112,22 +111,36 @@ def spread(df: DataFrame, groups: int, key: str) -> DataFrame:
     return df.repartition(max(1, min(groups, 4 * cores)), key)
 
 
-def draw_samples(train: DataFrame, keys: list[str], p: Params) -> tuple[DataFrame, int]:
+def draw_samples(train: DataFrame, keys: list[str], p: Params, margin: float = 2.0
+                 ) -> tuple[DataFrame, int]:
     """`tree_rows` rows without replacement for every tree, as (tree_id, nth, features).
 
-    Rows are numbered in a pseudorandom order of their keys; every tree draws numbers.
-    The draws, trees * tree_rows numbers, are a bounded table that meets the rows by
-    number: one rule at every size, and no tree is short.
+    A bottom-k sketch: each tree keeps the rows with the smallest hashes of (keys, tree).
+    Rows first pass a threshold on one hash, which leaves a pool of about
+    `pool_rows` at any number of training rows; every tree then looks at the
+    `margin` * `tree_rows` rows of the pool that its own hash lets through, and keeps the
+    smallest, before and after the only shuffle.  Keys alone decide, so partitions do not
+    matter, and the training rows are neither sorted nor written.  A tree that comes out
+    short (less than one draw in 1e20) shows in its root's size; `fit_iforest` then draws
+    again with a wider margin.
     """
-    rows = indexed(train.select(*keys, "features"), keys, p.seed)
     total = train.count()
     size = min(p.tree_rows, total)
-    drawn = [(t, i, x) for t in range(p.trees)
-             for i, x in enumerate(random.Random(p.seed * 1_000_003 + t).sample(range(total), size))]
-    picks = train.sparkSession.createDataFrame(drawn, "tree_id int, nth int, _idx bigint")
-    # bounded by trees * tree_rows
-    chosen = rows.join(F.broadcast(picks), "_idx").select("tree_id", "nth", "features")
-    return spread(chosen, p.trees, "tree_id"), size
+    share = min(1.0, max(p.pool_rows, p.trees * p.tree_rows) / max(1, total))
+    pool = train.select(*keys, "features").filter(
+        _unit(F.xxhash64(*keys, F.lit(p.seed))) < share)
+    through = min(1.0, margin * size / max(1.0, share * total))
+    marked = (pool.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(p.trees - 1))))
+              .withColumn("_mark", F.xxhash64(*keys, F.lit(p.seed), "tree_id"))
+              .filter(_unit(F.col("_mark")) < through))
+    order = W.partitionBy("tree_id").orderBy("_mark", *keys)
+    drawn = marked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= size)
+    return spread(drawn.select("tree_id", "nth", "features"), p.trees, "tree_id"), size
+
+
+def _unit(mark: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(mark, 11) / F.lit(float(1 << 53))
 
 
 @dataclass(frozen=True)
@@ -187,6 +200,7 @@ def fit_iforest(train: DataFrame, p: Params = Params(),
     samples, size = draw_samples(train, list(keys), p)
     if size == 0:
         raise ValueError("no training rows")
+    margin = 2.0
     limit, seed = max(1, math.ceil(math.log2(max(size, 2)))), p.seed
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -197,7 +211,13 @@ def fit_iforest(train: DataFrame, p: Params = Params(),
         return pd.DataFrame([(tree, *n) for n in nodes], columns=[
             "tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"])
 
-    nodes = samples.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    while True:
+        nodes = samples.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        whole = nodes[(nodes["node_id"] == 0) & (nodes["size"] == size)]
+        if len(whole) == p.trees:
+            break
+        margin *= 4
+        samples, _ = draw_samples(train, list(keys), p, margin)
     draft = IsolationForestModel(nodes, size, 0.0, 0.0, 0.0)
     raw = materialise(train.select(
         draft.raw_score(train.sparkSession, F.col("features")).alias("raw")), "iforest-raw")

@@ -1,6 +1,7 @@
 """Exact global ranks, running totals and quantiles without a one-task sort.
 
-A global window would pull every row into one task.  Here Spark's range partitioner
+Quantiles need no order at all: mergeable sketches bracket them and counts settle them.
+For ranks, a global window would pull every row into one task.  Here Spark's range partitioner
 deals the rows, every row is tagged with its partition's number, and the result is
 written once so that the tag is stable.  Partitions are monotone in the sort order, so
 a running total is the local one plus the totals of the lower partitions.
@@ -9,6 +10,7 @@ a running total is the local one plus the totals of the lower partitions.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -46,56 +48,121 @@ def indexed(df: DataFrame, keys: list[str], seed: int, name: str = "_idx") -> Da
     return rows.drop("_mark").withColumn(name, F.col(name) - 1)
 
 
+def sketch_size(error: float) -> int:
+    """The KLL parameter k for a rank error of about `error` (published error curve)."""
+    return min(65_535, max(8, math.ceil((2.296 / error) ** (1 / 0.9021))))
+
+
+def _clean(df: DataFrame, cols: list[str], keep: list[str] = []) -> DataFrame:
+    """The columns as doubles, NaN as null."""
+    return df.select(*keep, *[F.when(~F.isnan(F.col(c).cast("double")),
+                                     F.col(c).cast("double")).alias(c) for c in cols])
+
+
+def sketches(df: DataFrame, cols: list[str], by: list[str],
+             error: float = Params.quantile_error) -> DataFrame:
+    """A mergeable KLL sketch and a count of each column per group: `by`, `n|c`, `s|c`.
+
+    Kept beside a table partitioned by day, they give `exact_quantiles` its brackets
+    without a pass over older days.
+    """
+    k = sketch_size(error)
+    return _clean(df, cols, by).groupBy(*by).agg(*[x for c in cols for x in (
+        F.count(c).alias(f"n|{c}"), F.kll_sketch_agg_double(c, k).alias(f"s|{c}"))])
+
+
+@dataclass
+class _Span:
+    """A bracket around the ranks `first` and `last` of a column."""
+    col: str
+    first: int
+    last: int
+    part: float          # how far the quantile lies between the two
+    lo: float
+    hi: float
+    size: float          # values strictly inside, as far as the sketch knows
+
+    def find(self, rank: int, below: int, at_lo: int, inside: int, at_hi: int, values):
+        """The value of a rank; None when it lies inside and `values` is not given."""
+        nth = rank - below
+        if nth < 0 or nth >= at_lo + inside + at_hi:
+            raise LookupError("the bracket misses its rank")
+        if nth < at_lo:
+            return self.lo
+        if nth >= at_lo + inside:
+            return self.hi
+        return None if values is None else values[nth - at_lo]
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    error: float = Params.quantile_error) -> dict[tuple[str, float], float]:
-    """Linear-interpolated quantiles, exact at any size, by one path.
+                    error: float = Params.quantile_error, days: DataFrame | None = None,
+                    keep: int = 1_000_000) -> dict[tuple[str, float], float]:
+    """Linear-interpolated quantiles, exact at any size, by one path and without a shuffle.
 
-    `approxQuantile` brackets every quantile; values inside a bracket (at most
-    6 * `error` of the rows, equal values collapsed) are ranked across partitions,
-    and two values per quantile reach the driver.
+    A KLL sketch per column (one pass, or the merged `days` of `sketches`) brackets every
+    quantile.  The next pass counts what lies below and at the ends of each bracket and
+    looks inside: about 6 * `error` of the rows at most, since a value with more rows than
+    that is an end.  At most `keep` values in all reach the driver; larger insides are
+    sketched again in the same pass and narrowed by that.
     """
-    clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")),
-                               F.col(c).cast("double")).alias(c) for c in cols])
-    width = error
-    while True:
-        edges = [e for q in probs for e in (max(0.0, q - 2 * width), min(1.0, q + 2 * width))]
-        found = clean.approxQuantile(cols, edges, width)
-        spans = [(c, i, found[j][2 * i], found[j][2 * i + 1])
-                 for j, c in enumerate(cols) if found[j] for i in range(len(probs))]
-        if not spans:
-            return {(c, q): None for c in cols for q in probs}
-        row = clean.agg(
-            *[F.count(c).alias(f"n|{c}") for c in {s[0] for s in spans}],
-            *[x for g, (c, _, lo, hi) in enumerate(spans) for x in (
-                F.count_if(F.col(c) < lo).alias(f"below|{g}"),
-                F.count_if(F.col(c).between(lo, hi)).alias(f"in|{g}"))]).first()
-        tagged = clean.select(F.explode(F.array(*[
-            F.when(F.col(c).between(lo, hi), F.struct(F.lit(g).alias("g"), F.col(c).alias("v")))
-            for g, (c, _, lo, hi) in enumerate(spans)])).alias("t")).filter("t IS NOT NULL")
-        counts = tagged.groupBy("t.g", "t.v").agg(F.count(F.lit(1)).alias("n"))
-        ranked = running_totals(counts, ["g", "v"], {"upto": "n"})
-        # ranks count from the whole column's start instead of the first group's
-        targets, shift, before = [], [], 0
-        for g, (c, i, _, _) in enumerate(spans):
-            at = probs[i] * (row[f"n|{c}"] - 1)
-            targets.append((math.floor(at), math.ceil(at), at - math.floor(at)))
-            shift.append(row[f"below|{g}"] - before)
-            before += row[f"in|{g}"]
-
-        def of(values):
-            return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("g") + 1)
-
-        last = F.col("upto") + of(shift)
-        hit = ranked.select(
-            "g", "v", of([t[0] for t in targets]).between(last - F.col("n"), last - 1).alias("lo"),
-            of([t[1] for t in targets]).between(last - F.col("n"), last - 1).alias("hi"),
-        ).filter("lo OR hi").collect()
-        low = {r["g"]: r["v"] for r in hit if r["lo"]}
-        high = {r["g"]: r["v"] for r in hit if r["hi"]}
-        if len(low) == len(high) == len(spans):
-            break
-        width *= 4  # a bracket missed its rank: widen and look again
-    out = {(c, q): None for c in cols for q in probs}
-    for g, (c, i, _, _) in enumerate(spans):
-        out[(c, probs[i])] = low[g] + (high[g] - low[g]) * targets[g][2]
+    clean, k = _clean(df, cols), sketch_size(error)
+    slack, grid = 2 * error, [i / 512 for i in range(513)]
+    edges = F.array(*[F.lit(e) for q in probs for e in (max(0.0, q - slack), min(1.0, q + slack))])
+
+    def bracket(n, sketch, ranks):
+        return F.when(n > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
+
+    if days is None:
+        known = sketches(df, cols, [], error)
+    else:
+        known = days.agg(*[x for c in cols for x in (
+            F.sum(f"n|{c}").alias(f"n|{c}"), F.kll_merge_agg_double(f"s|{c}").alias(f"s|{c}"))])
+    row = known.select(*[x for c in cols for x in (
+        F.col(f"n|{c}").alias(f"n|{c}"),
+        bracket(F.col(f"n|{c}"), F.col(f"s|{c}"), edges).alias(f"e|{c}"))]).first()
+    out, todo = {(c, q): None for c in cols for q in probs}, {}
+    for c in cols:
+        n = row[f"n|{c}"] or 0
+        for i, q in enumerate(probs):
+            if n:
+                at = q * (n - 1)
+                lo, hi = row[f"e|{c}"][2 * i:2 * i + 2]
+                todo[c, q] = _Span(c, math.floor(at), math.ceil(at), at - math.floor(at), lo, hi,
+                                   6 * error * n)
+    while todo:
+        room = keep / len(todo)
+        items = list(todo.items())
+        counts, looks = [], []
+        for g, (_, s) in enumerate(items):
+            x = F.col(s.col)
+            inner = (x > s.lo) & (x < s.hi)
+            counts += [F.count_if(x < s.lo).alias(f"below{g}"), F.count_if(x == s.lo).alias(f"lo{g}"),
+                       F.count_if(inner).alias(f"in{g}"),
+                       F.count_if((x == s.hi) & (x > s.lo)).alias(f"hi{g}"),
+                       (F.collect_list(F.when(inner, x)) if s.size <= room else
+                        F.kll_sketch_agg_double(F.when(inner, x), k)).alias(f"x{g}")]
+            look = F.col(f"x{g}")
+            if s.size > room:
+                look = bracket(F.col(f"in{g}"), look, F.array(*map(F.lit, grid)))
+            looks += [*[F.col(f"{k_}{g}") for k_ in ("below", "lo", "in", "hi")], look.alias(f"x{g}")]
+        row = clean.agg(*counts).select(*looks).first()
+        todo = {}
+        for g, (key, s) in enumerate(items):
+            seen = [row[f"{k_}{g}"] for k_ in ("below", "lo", "in", "hi")]
+            values = sorted(row[f"x{g}"]) if s.size <= room else None
+            try:
+                low, high = (s.find(r, *seen, values) for r in (s.first, s.last))
+            except LookupError:        # widen to all values and look again, more closely
+                todo[key] = replace(s, lo=-math.inf, hi=math.inf, size=math.inf)
+                continue
+            if low is None or high is None:
+                # the grid's values around the rank, as far as the sketch may err
+                nth = (s.first - seen[0] - seen[1]) / seen[2]
+                a = max(0, math.floor((nth - slack) * (len(grid) - 1)))
+                b = min(len(grid) - 1, math.ceil((nth + 1 / seen[2] + slack) * (len(grid) - 1)))
+                todo[key] = replace(s, lo=row[f"x{g}"][a] if low is None else s.lo,
+                                    hi=row[f"x{g}"][b] if high is None else s.hi,
+                                    size=(grid[b] - grid[a] + 2 * error) * seen[2])
+            else:
+                out[key] = low + (high - low) * s.part
     return out

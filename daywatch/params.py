@@ -85,6 +85,7 @@ class Params:
     # isolation forest
     trees: int = 200
     tree_rows: int = 256
+    pool_rows: int = 409_600        # rows that pass the first hash, at any table size
     contamination: float = 0.05
     seed: int = 42
     # reconstruction model
@@ -113,4 +114,4 @@ class Params:
     behaviour_rows: int = 30
     calendar_rows: int = 60
     # exact quantiles: error of the approximate bracket around each
-    quantile_error: float = 1e-4
+    quantile_error: float = 1e-3

@@ -52,6 +52,32 @@ def test_samples_are_full_and_without_replacement(vectors):
     assert all(r.n == r.d == 128 for r in rows)
 
 
+def test_samples_are_even(vectors):
+    """Every row has the same chance: the draws of 300 trees spread like a fair draw."""
+    p = Params(trees=300, tree_rows=120)
+    drawn, _ = draw_samples(vectors, ["user", "day"], p)
+    uses = [r["count"] for r in drawn.groupBy("features").count().collect()]
+    assert len(uses) == N                        # 30 uses expected, deviation sqrt(27)
+    assert np.std(uses) == pytest.approx(np.sqrt(300 * 0.1 * 0.9), rel=0.2)
+
+
+def test_a_small_pool_still_fills_every_tree(vectors):
+    p = Params(trees=4, tree_rows=50, pool_rows=300)
+    drawn, size = draw_samples(vectors, ["user", "day"], p)
+    again, _ = draw_samples(vectors.repartition(9), ["user", "day"], p)
+    rows = sorted((r.tree_id, r.nth, r.features) for r in drawn.collect())
+    assert rows == sorted((r.tree_id, r.nth, r.features) for r in again.collect())
+    assert len(rows) == 4 * 50 and len({(t, tuple(f)) for t, _, f in rows}) == 4 * 50
+    short, _ = draw_samples(vectors, ["user", "day"], p, margin=0.2)
+    assert short.count() < 4 * 50                # what fit_iforest answers with a wider margin
+
+
+def test_draw_neither_sorts_nor_writes_the_training_rows(vectors):
+    text = draw_samples(vectors, ["user", "day"], P)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "WindowGroupLimit" in text
+    assert text.index("Filter") > 0 and "ranges" not in text
+
+
 def test_forest_scores(spark, vectors, forest):
     raw = vectors.select("user", forest.raw_score(spark, F.col("features")).alias("raw"))
     rows = raw.select("user", "raw", forest.score(F.col("raw")).alias("s"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daywatch import schemas
 from daywatch.operators import alerts as A
-from daywatch.operators.ranking import exact_quantiles, running_totals
+from daywatch.operators.ranking import exact_quantiles, running_totals, sketches
 from daywatch.operators.scoring import by_risk, recent, score_days, user_risk
 from daywatch.params import Params
 
@@ -161,6 +161,47 @@ def test_exact_quantiles(spark):
         assert large[("b", q)] == pytest.approx(2 * want, abs=1e-12)
 
 
+def test_quantiles_narrow_when_little_may_be_kept(spark):
+    """Insides above `keep` are sketched again; heavy ties end at the ends of brackets."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=20000), np.full(9000, 0.25), np.arange(500) / 7])
+    df = spark.createDataFrame([(float(a),) for a in x], "a double").repartition(5)
+    probs = [0.001, 0.3, 0.5, 0.61, 0.999]
+    got = exact_quantiles(df, ["a"], probs, error=0.02, keep=40)
+    assert got == {("a", q): pytest.approx(float(np.quantile(x, q)), abs=1e-12) for q in probs}
+
+
+def test_quantiles_from_stored_sketches(spark):
+    """Sketches kept per day give the same values without a first pass over the rows."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(int(d), float(v), None if v > 2 else float(v * v))
+            for d, v in zip(rng.integers(0, 9, 5000), rng.normal(size=5000))]
+    df = spark.createDataFrame(rows, "day int, a double, b double")
+    days = sketches(df, ["a", "b"], ["day"])
+    assert days.count() == 9
+    probs = [0.1, 0.5, 0.99]
+    assert exact_quantiles(df, ["a", "b"], probs, days=days) == exact_quantiles(df, ["a", "b"], probs)
+    a = [v for _, v, _ in rows]
+    assert exact_quantiles(df, ["a"], probs, days=days)[("a", 0.99)] == pytest.approx(
+        float(np.quantile(a, 0.99)), abs=1e-12)
+
+
+def test_quantiles_do_not_shuffle_rows(spark):
+    """Jobs of a quantile call end in one row: no range exchange and no written table."""
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.range(50_000).selectExpr("cast(id * 7919 % 50000 as double) a")
+    spark.sparkContext.setJobGroup("quantile", "quantile")
+    try:
+        assert exact_quantiles(df, ["a"], [0.25])[("a", 0.25)] == 12499.75
+        jobs = tracker.getJobIdsForGroup("quantile")
+        stages = [s for j in jobs for s in tracker.getJobInfo(j).stageIds]
+        assert len(jobs) <= 4 and len(set(stages)) <= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_status_updates(spark):
     s = alerting(spark)
     alerts = A.generate_alerts(s, user_risk(s))
