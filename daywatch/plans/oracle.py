@@ -52,6 +52,17 @@ CTES = {
         DATE '2024-01-10' + (doc_id % 10)::int END AS trigger_date, toxic = 1 AS is_insider,
         CASE WHEN toxic = 1 THEN 'labelled toxic' ELSE 'Normal behavior' END AS description
         FROM labels""",
+    "gaps": """SELECT "user", min(ts) AS start, max(ts) AS last, count(*) AS events FROM (
+        SELECT "user", ts, sum(pause::int) OVER (PARTITION BY "user" ORDER BY ts, event_id) AS part
+        FROM (SELECT "user", ts, event_id, coalesce(ts - lag(ts) OVER (
+            PARTITION BY "user" ORDER BY ts, event_id) > INTERVAL 6 HOUR, false) AS pause FROM ev))
+        GROUP BY "user", part""",
+    "arrivals": """SELECT *, day + (CASE WHEN event_id % 11 = 0 THEN event_id % 5 + 1 ELSE 0 END)::int
+        AS arrival FROM ev""",
+    "arrival_days": """SELECT arrival, max(max(day)) OVER (ORDER BY arrival
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 AS shut FROM arrivals GROUP BY arrival""",
+    "arrived": """SELECT day, value, coalesce(day <= shut, false) AS late
+        FROM arrivals JOIN arrival_days USING (arrival)""",
     "nth": """SELECT "user", day, activity, date, row_number() OVER (
         PARTITION BY "user", day, activity ORDER BY date) AS rn FROM logon""",
     "sess": """SELECT "user", day, session_minutes FROM (SELECT a."user", a.day,
@@ -572,6 +583,19 @@ BODIES = {
     "stream_daily_alerts": f"""SELECT 'ALT-' || user_id || '-' || substr(timestamp, 1, 10)
         AS alert_id, {ALERT_COLS} FROM day_alerts, (SELECT max(ts) AS m FROM ev)
         WHERE substr(timestamp, 1, 10)::date + 1 <= m - INTERVAL 1 DAY""",
+    "stream_logon_sessions": """SELECT "user", day::varchar AS day,
+        round(session_duration_total, 3) AS session_duration_total, session_count
+        FROM d_session, (SELECT max(day) AS newest FROM logon) WHERE day < newest""",
+    "gap_sessions": """SELECT "user", strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start,
+        strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS last, events FROM gaps""",
+    "stream_gap_sessions": """SELECT "user", strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start,
+        strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS last, events
+        FROM gaps, (SELECT max(ts) AS newest FROM ev)
+        WHERE last + INTERVAL 6 HOUR <= newest - INTERVAL 1 DAY""",
+    "stream_late_rows": """SELECT day::varchar AS day,
+        CASE WHEN late THEN 'late' WHEN day <= until THEN 'closed' ELSE 'open' END AS kind,
+        count(*) AS events, round(sum(value::decimal(18, 2))::double, 6) AS spent
+        FROM arrived, (SELECT max(day) - 2 AS until FROM ev) GROUP BY ALL""",
     "stream_daily_rollup": """SELECT "user", day::varchar AS day, files_accessed,
         files_after_hours, sensitive_files FROM d_file, (SELECT max(date) AS m FROM filelog)
         WHERE day + 1 <= m - INTERVAL 1 DAY""",

@@ -34,6 +34,8 @@ from daywatch.sources import adapters, tables as T
 from daywatch.sources.logs import FILES, read_corpus
 from daywatch.sources.tables import read_table, run_summary, to_json_records
 from daywatch.streaming import daily as S
+from daywatch.streaming import sessions as SS
+from daywatch.streaming.rollup import DailyRollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +90,10 @@ class Inputs:
     def email(self):
         return clean_email(adapters.email(self.events))
 
+    @property
+    def any_activity(self):
+        return adapters.activity(self.events)
+
     @property
     def logs(self):
         return {"logon": self.logon, "file": self.file, "device": self.device,
@@ -796,5 +802,50 @@ def stream_daily_alerts(t):
     return read_table(t.spark, target, ALERTS).select(*ALERTS.names)
 
 
+@query(3)
+def stream_logon_sessions(t):
+    """Closed days of logon pairs by keyed state, drained through the file sink."""
+    stream = S.stream_events(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+    target = scratch_dir(t.spark, "stream")
+    days = SS.stream_sessions(clean_logon(adapters.logon(stream)))
+    with SS.keyed_state(t.spark):
+        S.run_to_files(days, target, scratch_dir(t.spark, "stream-progress"))
+    return t.spark.read.schema(days.schema).parquet(target)
+
+
+@query()
+def gap_sessions(t):
+    """Activity sessions that end with six hours of silence."""
+    return SS.gap_sessions(t.any_activity, "6 hours")
+
+
+@query()
+def stream_gap_sessions(t):
+    """The same from a stream, as far as the watermark has closed them."""
+    stream = S.stream_events(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+    target = scratch_dir(t.spark, "stream")
+    found = SS.stream_gap_sessions(adapters.activity(stream), "6 hours")
+    with SS.merged_before_shuffle(t.spark):
+        S.run_to_files(found, target, scratch_dir(t.spark, "stream-progress"))
+    return t.spark.read.schema(found.schema).parquet(target)
+
+
+@query()
+def stream_late_rows(t):
+    """Every event of a feed with stragglers is in a closed day, in an open day, or late."""
+    feed, root = scratch_dir(t.spark, "feed"), scratch_dir(t.spark, "rollup")
+    files = adapters.write_arrivals(t.events, feed)
+    cents = F.col("value").cast("decimal(18,2)")
+    rollup = DailyRollup(root, {"spent": (F.sum(cents), "sum"), "dearest": (F.max("value"), "max")})
+    stream = S.stream_events(t.spark, feed, t.spark.read.parquet(feed).schema, files)
+    rollup.start(stream, scratch_dir(t.spark, "stream-progress")).awaitTermination()
+    late = rollup.late(t.spark, stream.schema).select("day", F.lit("late").alias("kind"),
+                                                      F.lit(1).cast("bigint").alias("_events"), cents.alias("spent"))
+    kept = [df.select("day", F.lit(kind).alias("kind"), "_events", "spent")
+            for kind, df in (("closed", rollup.closed(t.spark)), ("open", rollup.open(t.spark)))]
+    return reduce(DataFrame.union, kept, late).groupBy("day", "kind").agg(
+        F.sum("_events").alias("events"), F.sum("spent").cast("double").alias("spent"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

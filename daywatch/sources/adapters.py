@@ -87,6 +87,32 @@ def ground_truth(labels: DataFrame) -> DataFrame:
         F.when(insider, "labelled toxic").otherwise("Normal behavior").alias("description"))
 
 
+def activity(events: DataFrame) -> DataFrame:
+    """Every event as (user, date)."""
+    return events.select(user_name(F.col("user_id")).alias("user"),
+                         F.col("ts").cast("timestamp").alias("date"))
+
+
+def write_arrivals(events: DataFrame, path: str, file_rows: int = 2_000_000) -> int:
+    """The events as a feed in order of arrival: every eleventh is 1 to 5 days late.
+
+    One write per day of arrival, so files are as old as the order says, and the same
+    number of files each day, which is returned: a stream that takes so many at a time
+    sees one day per micro-batch.
+    """
+    user, day = user_name(F.col("user_id")).alias("user"), F.to_date("ts")
+    held = F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 5 + 1).otherwise(0).cast("int")
+    feed = events.select("event_id", user, day.alias("day"), "value",
+                         F.date_add(day, held).alias("arrival"))
+    days = [r["arrival"] for r in feed.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy("arrival").collect()]            # one row per calendar day
+    files = max(1, feed.count() // max(1, len(days)) // file_rows)
+    for arrival in days:
+        (feed.filter(F.col("arrival") == F.lit(arrival)).drop("arrival").repartition(files)
+         .write.mode("append").parquet(path))
+    return files
+
+
 def component_measures() -> list[Column]:
     total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
     return [F.least(F.lit(100.0), F.max("value") / F.lit(2.3)).alias("if_raw"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from daywatch.operators.alerts import daily_alerts
 from daywatch.params import Params
@@ -37,10 +38,28 @@ def closed_days(clean: DataFrame, measures: list, lateness: str = "1 day") -> Da
             .withColumn("day", day).drop("window"))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed their day, over the kept progress."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Adds up, over all micro-batches of a query, what Spark dropped behind the watermark.
+
+    A query keeps its last progress reports only; a listener hears them all.  An
+    aggregation counts its partial rows: `rollup.DailyRollup` counts and keeps the events.
+    """
+
+    def __init__(self):
+        self.dropped, self.over = {}, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.dropped[p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryTerminated(self, event):
+        self.over.set()
 
 
 def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> int:
@@ -48,11 +67,17 @@ def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> int:
 
     Returns how many rows came too late and are in no day.
     """
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", target).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return late_rows(query)
+    spark, late = stream.sparkSession, LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", target).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        late.over.wait(60)
+    finally:
+        spark.streams.removeListener(late)
+    return sum(late.dropped.values())
 
 
 def stream_alerts(days: DataFrame, score: Callable[[DataFrame], DataFrame], target: str,
