@@ -170,3 +170,33 @@ def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
                                                                   dtype=np.uint64)))
         back = _powers(pow(base, -1, 1 << 64), n)
         return mix((total[width:] - total[:n]) * back)
+
+
+class Forest:
+    """Components of numbered entries; labels always point to the least entry."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.change = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
+        while True:
+            la, lb = label[a], label[b]
+            apart = la != lb
+            if not apart.any():
+                break
+            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+            while True:
+                up = label[label]
+                if np.array_equal(up, label):
+                    break
+                label = up
+        self.label = label
+        self.change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+
+    def together(self, alo, ahi, blo, bhi) -> np.ndarray:
+        """Node pairs whose entries are all in one component."""
+        c = self.change
+        return ((c[alo] == c[ahi - 1]) & (c[blo] == c[bhi - 1]) & (self.label[alo] == self.label[blo]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from daywatch.llm.common import (blocks_of, stored, stored_and_counted, text_bytes, text_of,
+from daywatch.llm.common import (Forest, blocks_of, stored, stored_and_counted, text_bytes, text_of,
                                  word_spans)
 from daywatch.llm.neardup import LOWER, components
 
@@ -128,36 +128,6 @@ def budgets(block: int, errors: int) -> np.ndarray:
     return np.repeat(np.arange(1, errors + 2) * errors // (errors + 1), width)
 
 
-class _Forest:
-    """Components of numbered entries; labels always point to the least entry."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.change = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        label = self.label
-        while True:
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while True:
-                up = label[label]
-                if np.array_equal(up, label):
-                    break
-                label = up
-        self.label = label
-        self.change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-
-    def together(self, alo, ahi, blo, bhi) -> np.ndarray:
-        """Node pairs whose entries are all in one component."""
-        c = self.change
-        return ((c[alo] == c[ahi - 1]) & (c[blo] == c[bhi - 1]) & (self.label[alo] == self.label[blo]))
-
-
 def joined(key: np.ndarray, fp: np.ndarray, side: np.ndarray | None, block: int, errors: int,
            chunk: int = 1 << 17, small: int = 16):
     """Walk one block's tries: entries sorted by (key, turned bits); labels of the entries.
@@ -167,7 +137,7 @@ def joined(key: np.ndarray, fp: np.ndarray, side: np.ndarray | None, block: int,
     many entry pairs were looked at.
     """
     n, allowed = len(fp), budgets(block, errors)
-    forest, ones = _Forest(n), {}
+    forest, ones = Forest(n), {}
     seen_nodes = seen_pairs = 0
 
     def cumulated(depth):

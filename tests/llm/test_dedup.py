@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from daywatch.llm import exact_dedup, neardup, substring
 from tests.llm.frames import docs, near_rows, prose
 
@@ -113,20 +115,90 @@ def test_pigeonhole_keys_meet():
         assert keys[1] & keys[2]
 
 
-def test_distance_counts_symbols(spark):
+def test_halved_symbols_never_exceed_the_distance():
     import numpy as np
-    from pyspark.sql import functions as F
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, (40, 80)).astype(np.uint8)
     b = a.copy()
     for i in range(40):
         b[i, rng.permutation(80)[:2 * i]] ^= np.uint8(rng.integers(1, 256))
-    rows = [tuple(map(int, x)) + tuple(map(int, y))
-            for x, y in zip(a.view(np.int64), b.view(np.int64))]
-    names = neardup._columns(80)
-    df = spark.createDataFrame(rows, [*names, *[f"{c}_2" for c in names]])
-    got = [r[0] for r in df.select(neardup.distance(80)).collect()]
-    assert got == (a != b).sum(axis=1).tolist()
+    got = neardup._apart(neardup._nibbles(a), neardup._nibbles(b))
+    assert got.tolist() == ((a & 15) != (b & 15)).sum(axis=1).tolist()
+    assert (got <= (a != b).sum(axis=1)).all()
+
+
+def family(n, words=100, own=16, seed=1, at=0):
+    """n documents with a base in common and `own` words each of its own: about 0.72 alike."""
+    base = prose(seed, words)
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in range(own):
+            w[k * words // own] = f"own{seed}x{i}x{k}"
+        rows.append((at + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("room", [2_000_000, 3000])
+def test_near_families_in_one_or_many_parts(spark, room):
+    """Below-threshold families, near copies and strangers; parts change nothing."""
+    base = prose(77, 90)
+    rows = family(60) + near_rows(5)[:70] + [
+        (5000 + i, " ".join(base[:40] + [f"edit{i}"] + base[41:])) for i in range(150)]
+    rows = [(1000 + k if i is not None and i < 5000 else i, t) for k, (i, t, *_) in enumerate(rows)]
+    found = neardup.near_duplicates(docs(spark, rows), words=2, room=room, hot=40)
+    assert collect(found) == near_truth(rows, 2)
+
+
+def test_near_rows_follow_a_familys_size(spark, monkeypatch):
+    """Doubling a family that stays below the threshold doubles the rows between the stages."""
+    seen = {}
+    plain = neardup.stored
+
+    def counted(df, name):
+        kept = plain(df, name)
+        seen[name] = seen.get(name, 0) + kept.count()
+        return kept
+
+    def counted_too(df, name, *rest):
+        kept = counted(df, name)
+        return kept, kept.count()
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    monkeypatch.setattr(neardup, "stored_and_counted",
+                        lambda df, name, which=None: counted_too(df, name) if which is None else
+                        (lambda k: (k, k.filter(which).count()))(counted(df, name)))
+    totals = []
+    for n in (100, 200, 400):
+        seen.clear()
+        found = neardup.near_duplicates(docs(spark, family(n, 120, 8)), words=5)
+        assert found.filter("kept").count() == n          # no link at all
+        totals.append({k: v for k, v in seen.items() if k != "near-components"})
+    for a, b in zip(totals, totals[1:]):
+        assert all(b[k] <= 2.6 * a[k] + 5 for k in a), totals
+    assert totals[-1]["near-links"] == 0 and totals[-1]["near-members"] > 300
+
+
+def test_linked_equals_all_pairs():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(80)]
+    sets += [np.append(sets[3], 1000 + i) for i in range(20)]
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    grams = np.concatenate(sets).astype(np.uint64)
+    found = neardup.linked(grams, first, 70, np.arange(100), np.ones(100, bool))
+    comp = list(range(100))
+    for a in range(100):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if len(sets[a]) and both * 100 >= 70 * (len(sets[a]) + len(sets[b]) - both):
+                comp = [comp[b] if c == comp[a] else c for c in comp]
+    mine = list(range(100))
+    for a, b in found:
+        assert mine[a] != mine[b]                          # every link joins something
+        mine = [mine[b] if c == mine[a] else c for c in mine]
+    assert {frozenset(i for i in range(100) if comp[i] == c) for c in comp} == \
+        {frozenset(i for i in range(100) if mine[i] == c) for c in mine}
 
 
 # ---- substring --------------------------------------------------------------

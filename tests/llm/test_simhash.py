@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from daywatch.llm import simhash
+from daywatch.llm.common import Forest
 from tests.llm.frames import docs, near_rows, prose
 
 
@@ -85,11 +86,11 @@ def test_tries_find_every_link(errors):
     r = random.Random(errors)
     fp = np.array(sorted({r.getrandbits(64) for _ in range(1500)} | family(1, 300, 5) | family(2, 300, 12)
                          | {r.getrandbits(12) for _ in range(200)}), np.uint64)
-    forest = simhash._Forest(len(fp))
+    forest = Forest(len(fp))
     for a in range(len(fp)):
         near = np.flatnonzero(np.bitwise_count(fp ^ fp[a]) <= errors)
         forest.join(np.full(len(near), a), near)
-    mine, edges = simhash._Forest(len(fp)), simhash.cuts(errors)
+    mine, edges = Forest(len(fp)), simhash.cuts(errors)
     for b in range(errors + 1):
         x = simhash.turned(fp, np.full(len(fp), edges[b]))
         key = (x >> np.uint64(64 - (edges[b + 1] - edges[b]))).astype(np.int64)
