@@ -7,6 +7,8 @@ batch (or the one longest text), never the table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -62,6 +64,58 @@ def unpacked(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
     return rows.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])
 
 
+class Sieve:
+    """A bit table of keys, of at most 16 MB at any number of them.
+
+    It tells rows whose key is certainly not among the keys, where they lie and without a
+    shuffle; the others (the keys' rows and a few more) are then settled by a join.  When
+    keys are very many, more rows pass: the work grows, the result stays.
+    """
+
+    def __init__(self, keys: DataFrame, mark: Column, name: str):
+        """`mark` is a 64-bit hash of a row's key."""
+        few = 1 << 15
+        self.bits = min(1 << 27, max(few, 1 << (16 * keys.count()).bit_length()))
+        at = self._slot(mark)
+        self.table = stored(keys.select(at.alias("at")).groupBy(
+            F.bitmap_bucket_number("at").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits")), name)
+
+    def _slot(self, mark: Column) -> Column:
+        return F.pmod(mark, F.lit(self.bits)) + 1
+
+    def flagged(self, rows: DataFrame, mark: Column, name: str = "_maybe") -> DataFrame:
+        """Adds whether a row's key may be among the keys."""
+        at = self._slot(mark)
+        place = F.bitmap_bit_position(at)
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+        bit = F.shiftright(byte.cast("int"), 0).bitwiseAND(
+            F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int"))) != 0
+        # at most 4096 rows of 4 KB
+        found = rows.withColumn("_at", F.bitmap_bucket_number(at)).join(
+            F.broadcast(self.table), F.col("_at") == F.col("_bucket"), "left")
+        return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_at", "_bucket", "_bits")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """`rows` left-joined with `groups` by `keys`; `size` counts a group's rows.
+
+    A group of over a thousandth of all `total` rows is looked up in place (there are fewer
+    than a thousand), so that no key of the shuffle holds more.
+    """
+    often = F.col(size) * 1000 > total
+    others = [c for c in groups.columns if c not in keys]
+    big = F.broadcast(groups.filter(often).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_g_{c}") for c in others],
+        F.lit(True).alias("_big")))
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    met = rows.join(big, reduce(lambda a, b: a & b, same), "left")
+    here = met.filter("_big").select(*rows.columns, *[F.col(f"_g_{c}").alias(c) for c in others])
+    rest = met.filter("_big is null").select(*rows.columns).join(
+        groups.filter(~often), keys, "left").select(*rows.columns, *others)
+    return here.unionByName(rest)
+
+
 def id_remainder(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % parts

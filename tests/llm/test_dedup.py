@@ -243,3 +243,25 @@ def test_substring_window_and_digest(spark):
     want = [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in substring_truth(rows, 9)]
     assert collect(found) == sorted(want, key=repr)
     assert substring.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_drop_copies_matches_by_text(spark):
+    """A dropped copy goes even where another text of its id stays."""
+    rows = [(0, "aa bb  cc"), (1, "aabbcc"), (1, "quite another text"), (2, "x"), (2, "x"), (3, "X"),
+            (4, "x"), (None, "aabbcc"), (None, "nobody"), (None, "nobody"), (5, None), (6, "")]
+    kept = exact_dedup.drop_copies(docs(spark, rows, clash=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(0, "aa bb  cc"), (1, "quite another text"), (2, "x"), (3, "X"), (None, "nobody"), (5, None)], key=repr)
+
+
+def test_sieve_holds_all_keys_and_few_others(spark):
+    from pyspark.sql import functions as F
+    from daywatch.llm.common import Sieve
+    sieve = Sieve(spark.range(0, 3000, 3).toDF("k"), F.xxhash64("k"), "sieve")
+    rows = sieve.flagged(spark.range(30_000).toDF("k"), F.xxhash64("k")).filter("_maybe").collect()
+    found = {r.k for r in rows}
+    assert set(range(0, 3000, 3)) <= found and len(found) < 5000
+    none = Sieve(spark.range(0).toDF("k"), F.xxhash64("k"), "sieve")
+    assert none.flagged(spark.range(9).toDF("k"), F.xxhash64("k")).filter("_maybe").isEmpty()
+    text = none.flagged(spark.range(9).toDF("k"), F.xxhash64("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text.split("BroadcastExchange")[0]
