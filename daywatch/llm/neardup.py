@@ -32,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from daywatch.llm.common import (Forest, blocks_of, mix, packed, span_hashes, stored,
+from daywatch.llm.common import (Forest, Sieve, blocks_of, mix, packed, span_hashes, stored,
                                  stored_and_counted, text_bytes, text_of, unpacked, window_hashes,
-                                 word_spans)
+                                 word_spans, with_group)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -122,8 +122,8 @@ def _columns(symbols: int) -> list[str]:
 def _keys(batches, chunks, width):
     """(key, id) for every chunk and symbol left out."""
     for b in batches:
-        for at in range(0, b.num_rows, 5000):
-            part = b.slice(at, 5000)
+        for at in range(0, b.num_rows, 2000):
+            part = b.slice(at, 2000)
             sig = np.column_stack([part.column(i).to_numpy() for i in range(1, part.num_columns)])
             sig = np.ascontiguousarray(sig).view(np.uint8)
             sig = sig.reshape(part.num_rows, chunks, width).astype(np.uint64)
@@ -335,7 +335,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def families(classes: DataFrame, n: int, chunks: int, width: int, percent: int,
-             per_bucket: int = 300_000, hot: int = 100_000) -> DataFrame:
+             per_bucket: int = 100_000, hot: int = 100_000) -> DataFrame:
     """(rep, family) of the classes that may have a link: families hold all pairs within
     the signature distance.
 
@@ -364,11 +364,17 @@ def families(classes: DataFrame, n: int, chunks: int, width: int, percent: int,
 
 
 def _compared(rows: DataFrame, texts: DataFrame, words: int, percent: int, room: int) -> DataFrame:
-    """Joining links of rows (unit, rep, n, comp, ask): each unit in one task, stored."""
+    """Joining links of rows (unit, rep, n, comp, ask): each unit in one task, stored.
+
+    Texts that cannot be wanted are left out before the shuffle.  The list of rows follows
+    the input, so it is merged with the texts at every size.
+    """
     weight = rows.agg(F.sum(F.col("n") + 16)).first()[0] or 0
-    buckets = max(1, -(-weight // room))
-    met = rows.select("unit", "rep", "comp", "ask").join(
-        texts.select(F.col("id").alias("rep"), "text"), "rep")
+    buckets = max(1, -(-2 * weight // room))
+    wanted = Sieve(rows.select("rep").distinct(), F.xxhash64("rep"), "near-sieve").flagged(
+        texts.select(F.col("id").alias("rep"), "text"), F.xxhash64("rep")).filter("_maybe")
+    met = rows.select("unit", "rep", "comp", "ask").hint("merge").join(
+        wanted.select("rep", "text"), "rep")
     return stored(met.groupBy(F.pmod("unit", F.lit(buckets)).alias("bucket")).applyInArrow(
         lambda t: _exact(t, words, percent), "a bigint, b bigint"), "near-links")
 
@@ -380,7 +386,7 @@ def _parts(df: DataFrame, by: list[str], name: str, room: int) -> DataFrame:
 
 
 def exact_links(members: DataFrame, texts: DataFrame, words: int, percent: int,
-                room: int = 2_000_000) -> DataFrame:
+                room: int = 1_000_000) -> DataFrame:
     """Links (a, b) that join all of the members (rep, n, family) similar enough.
 
     `texts` (id, text) has one row per rep.
@@ -425,7 +431,7 @@ def exact_links(members: DataFrame, texts: DataFrame, words: int, percent: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = 5, percent: int = 80, chunks: int = 16, width: int = 5,
-                    room: int = 2_000_000, hot: int = 100_000) -> DataFrame:
+                    room: int = 1_000_000, hot: int = 100_000) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Linked are documents with 100 * common shingles >= percent * all shingles.  Letters
@@ -438,14 +444,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     symbols = chunks * width
     names = _columns(symbols)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(
+    signed, total = stored_and_counted(texts.mapInArrow(
         lambda it: _sign(it, words, symbols),
         "id bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{c} bigint" for c in names)),
         "near-signed")
     # classes of equal sets, hence of equal signatures; the smallest id stands for a class
     classes, count = stored_and_counted(
         signed.filter("n > 0 and id is not null").groupBy("n", "c1", "c2")
-        .agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in names]), "near-classes")
+        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in names]), "near-classes")
     family = families(classes, count, chunks, width, percent, hot=hot)
     members = stored(family.join(classes.select("rep", "n"), "rep"), "near-members")
     named = signed.select("id", "n", "c1", "c2").join(
@@ -459,19 +465,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = exact_links(members, texts, words, percent, room)
     links = links if same is None else links.union(same)
     label = components(links, "near-components").select(F.col("id").alias("rep"), "component")
-    out = signed.select("id", "n", "c1", "c2").join(classes.select("n", "c1", "c2", "rep"),
-                                                    ["n", "c1", "c2"], "left")
-    out = out.join(label, "rep", "left")
+    named = stored(classes.join(label, "rep", "left").select(
+        "n", "c1", "c2", "m", F.coalesce("component", "rep").alias("component")), "near-named")
+    out = with_group(signed.select("id", "n", "c1", "c2"), named, ["n", "c1", "c2"], "m", total)
     comp = F.when((F.col("n") > 0) & F.col("id").isNotNull(),
-                  F.coalesce("component", "rep")).otherwise(F.col("id"))
+                  F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      words: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of `docs`, all columns, one document of each component."""
-    keep = (near_duplicates(docs, id_col, text_col, words, percent, **options).filter("kept")
-            .select(F.col("doc_id").alias("_keep")).distinct())
-    rows = packed(docs, _id=F.col(id_col).cast("bigint"))
-    return unpacked(rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep"))), docs.columns)
+    """The rows of `docs`, all columns, one document of each component.
+
+    Rows with a null id stay, and so do all rows of an id that stays.
+    """
+    gone = stored(near_duplicates(docs, id_col, text_col, words, percent, **options).filter("not kept")
+                  .select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    sieve = Sieve(gone, F.xxhash64("_gone"), "near-sieve")
+    rows = sieve.flagged(packed(docs, _id=F.col(id_col).cast("bigint")), F.xxhash64("_id"))
+    # only rows that may go are shuffled
+    some = rows.filter("_maybe").join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti")
+    return unpacked(rows.filter("not _maybe").select("_row").unionByName(some.select("_row")), docs.columns)
