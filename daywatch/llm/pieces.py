@@ -18,6 +18,7 @@ import string
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -129,8 +130,8 @@ class Encoder:
 
     def __init__(self, path: str | None = None, keep: int = 500_000, short: int = 48):
         self.vocabulary, self.keep, self.short = Vocabulary(path), keep, short
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, str] = {}      # ids as text, joined by commas
+        self.older: dict[str, str] = {}
         self.corrected = 0
 
     def learn(self, cuts: set[str]) -> dict[str, tuple[int, ...]]:
@@ -153,6 +154,10 @@ class Encoder:
         return new
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [numbers(line).tolist() for line in self.lines(texts)]
+
+    def lines(self, texts: list[str]) -> list[str]:
+        """Each text's ids, joined by commas."""
         find = self.vocabulary.cut.findall
         if len(self.known) > self.keep:
             self.older, self.known = self.known, {}
@@ -162,22 +167,29 @@ class Encoder:
             cut = [find(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:at + step]]
             new = set(chain.from_iterable(cut)).difference(known)
             if new:
-                old = new.intersection(older)
-                known.update((c, older[c]) for c in old)
-                got = self.learn(new - old)
-                long = {c for c in got if len(c) > self.short}
-                extra = {c: got[c] for c in long}
-                known.update((c, ids) for c, ids in got.items() if c not in long)
+                old = {c: older[c] for c in new if c in older}
+                known.update(old)
+                got = self.learn(new.difference(old))
+                for c, ids in got.items():
+                    (extra if len(c) > self.short else known)[c] = ",".join(map(str, ids))
             if extra:
-                rows.extend(list(chain.from_iterable(
-                    extra[c] if len(c) > self.short else known[c] for c in cuts)) for cuts in cut)
+                rows.extend(",".join([extra[c] if len(c) > self.short else known[c] for c in cuts])
+                            for cuts in cut)
                 extra = {}
             else:
-                rows.extend(list(chain.from_iterable(map(known.__getitem__, cuts))) for cuts in cut)
+                rows.extend(",".join(map(known.__getitem__, cuts)) for cuts in cut)
         return rows
 
     def decode(self, ids: list[int]) -> str:
-        return self.vocabulary.library.decode(ids) if ids else ""
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[list[int]]) -> list[str]:
+        return self.vocabulary.library.decode(rows, num_threads=1) if rows else []
+
+
+def numbers(line: str) -> np.ndarray:
+    """The ids of a line."""
+    return np.fromstring(line, np.int32, sep=",") if line else np.empty(0, np.int32)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -196,18 +208,20 @@ def _batches(batches, path, keep, digest):
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             before = enc.corrected
-            rows = enc.encode(batch.column(1).to_pylist())
-            decoded = [enc.decode(ids) for ids in rows]
-            out = {"doc_id": batch.column(0),
-                   "n_tokens": pa.array(map(len, rows), pa.int64())}
+            lines = enc.lines(batch.column(1).to_pylist())
+            ids = list(map(numbers, lines))
+            size = np.array([len(x) for x in ids], np.int64)
+            decoded = enc.decode_all([x.tolist() for x in ids])
+            out = {"doc_id": batch.column(0), "n_tokens": pa.array(size)}
             if digest:
-                out["ids_sha256"] = pa.array([_sha(",".join(map(str, r))) for r in rows])
+                out["ids_sha256"] = pa.array(map(_sha, lines), pa.string())
                 out["decoded_sha256"] = pa.array(map(_sha, decoded), pa.string())
             else:
-                out["ids"] = pa.array(rows, pa.list_(pa.int32()))
+                out["ids"] = pa.ListArray.from_arrays(
+                    np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(np.concatenate(ids)))
                 out["decoded"] = pa.array(decoded, pa.string())
             n = enc.corrected - before
-            out["n_corrected"] = pa.array([n if i == 0 else 0 for i in range(len(rows))], pa.int32())
+            out["n_corrected"] = pa.array([n if i == 0 else 0 for i in range(len(lines))], pa.int32())
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
