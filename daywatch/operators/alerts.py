@@ -113,12 +113,18 @@ def split_status_events(events: DataFrame, alerts: DataFrame) -> tuple[DataFrame
             checked.filter("reason IS NOT NULL"))
 
 
-def current_status(events: DataFrame) -> DataFrame:
-    """Latest valid status per alert (latest by time, then sequence)."""
+def newest_updates(events: DataFrame) -> DataFrame:
+    """The latest valid update per alert (latest by time, then sequence)."""
     valid = events.withColumn("status", normal_status(F.col("status"))) \
         .filter(F.col("status").isin(*ALERT_STATUSES))
-    return valid.groupBy(*STATUS_KEY).agg(
-        F.max_by("status", F.struct("ts", "seq")).alias("_status"))
+    newest = valid.groupBy(*STATUS_KEY).agg(
+        F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("e"))
+    return newest.select(*STATUS_KEY, "e.*")
+
+
+def current_status(events: DataFrame) -> DataFrame:
+    """Latest valid status per alert."""
+    return newest_updates(events).select(*STATUS_KEY, F.col("status").alias("_status"))
 
 
 def with_current_status(alerts: DataFrame, events: DataFrame) -> DataFrame:

@@ -9,16 +9,31 @@ from daywatch.functions import columns as C
 from daywatch.params import Params
 
 
+REASON, RAW = "reject_reason", "reject_row"
+
+
+def _parsed(df: DataFrame, p: Params) -> Column:
+    if isinstance(df.schema["date"].dataType, StringType):
+        return C.parse_timestamp(F.col("date"), p.date_formats)
+    return F.col("date").cast("timestamp")
+
+
+def with_reasons(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """A raw log with why a row cannot be used (null: it can) and, if so, the row as JSON.
+
+    The cleaners keep unusable rows of such a log, for a writer to set aside.
+    """
+    reason = (F.when(F.col("user").isNull(), "no user").when(F.col("date").isNull(), "no date")
+              .when(_parsed(df, p).isNull(), "unreadable date"))
+    whole = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.withColumns({REASON: reason, RAW: F.when(reason.isNotNull(), whole)})
+
+
 def _timed(df: DataFrame, p: Params) -> DataFrame:
     """Parsed `date`, rows without user or date dropped, `hour` and `day` added."""
-    if isinstance(df.schema["date"].dataType, StringType):
-        parsed = C.parse_timestamp(F.col("date"), p.date_formats)
-    else:
-        parsed = F.col("date").cast("timestamp")
-    df = df.withColumn("date", parsed)
-    return (df.dropna(subset=["user", "date"])
-              .withColumn("hour", F.hour("date"))
-              .withColumn("day", F.to_date("date")))
+    timed = df.withColumn("date", _parsed(df, p))
+    usable = timed if REASON in df.columns else timed.dropna(subset=["user", "date"])
+    return usable.withColumn("hour", F.hour("date")).withColumn("day", F.to_date("date"))
 
 
 def clean_logon(df: DataFrame, p: Params = Params()) -> DataFrame:
@@ -46,10 +61,7 @@ def clean_email(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def read_counts(df: DataFrame, p: Params = Params()) -> list[Column]:
     """Aggregates over a raw log: rows, rows without a usable date, rows without a user."""
-    if isinstance(df.schema["date"].dataType, StringType):
-        parsed = C.parse_timestamp(F.col("date"), p.date_formats)
-    else:
-        parsed = F.col("date").cast("timestamp")
+    parsed = _parsed(df, p)
     return [F.count(F.lit(1)).alias("rows"), F.count_if(parsed.isNull()).alias("bad_dates"),
             F.count_if(F.col("user").isNull()).alias("no_user")]
 

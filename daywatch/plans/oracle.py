@@ -363,6 +363,16 @@ BODIES = {
         AS bad_dates FROM ev WHERE event_type IN ({kinds})""" for name, kinds in (
             ("logon", "'view','click'"), ("file", "'signup'"), ("device", "'error'"),
             ("email", "'purchase'"))),
+    "log_rejects": " UNION ALL ".join(
+        f"""SELECT '{name}' AS log, CASE WHEN event_id % 50 = 0 THEN 'unreadable date' ELSE 'clean' END
+        AS outcome, count(*) AS rows FROM ev WHERE event_type IN ({kinds}) GROUP BY ALL"""
+        for name, kinds in (("logon", "'view','click'"), ("file", "'signup'"), ("device", "'error'"),
+                            ("email", "'purchase'"))),
+    "incremental_deviation": f"""SELECT "user", day::varchar AS day,
+        {', '.join(f'round({m}_deviation, {3 if m == "session_duration_total" else 6}) '
+                   f'AS {m}_deviation' for m in BASELINE_MEASURES)}
+        FROM matrix, (SELECT max(day) AS newest FROM daily) WHERE day > newest - 5""",
+    "compacted_status": "SELECT user_id, alert_day, alert_type, newest_status AS status FROM latest",
     "recon_energy": 'SELECT "user", day::varchar AS day, round(' + " + ".join(
         f"(s.{n} - m.{n}) ** 2" for n in NAMES) + ", 3) AS energy FROM scaled s JOIN (SELECT "
         + ", ".join(f"avg({n}) AS {n}" for n in NAMES) + " FROM scaled WHERE is_train) m ON true",

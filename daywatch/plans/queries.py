@@ -18,9 +18,9 @@ from daywatch.operators import daily as D
 from daywatch.operators import evaluate as E
 from daywatch.operators import quality as Q
 from daywatch.operators import reports as R
-from daywatch.operators.baseline import with_deviations
+from daywatch.operators.baseline import advance, last_rows, with_deviations
 from daywatch.operators.clean import (clean_device, clean_email, clean_file, clean_logon,
-                                      unparseable)
+                                      unparseable, with_reasons)
 from daywatch.operators.features import NAMES, fit_features, training_rows
 from daywatch.operators.iforest import fit_iforest
 from daywatch.operators.recon import fit_recon
@@ -211,18 +211,18 @@ def clean_email_events(t):
     return t.email
 
 
-def _csv_corpus(t):
+def _csv_corpus(t, only=None):
     """The derived logs as CSV files: mail with line breaks, stamps in three styles, some unusable."""
     root, n = scratch_dir(t.spark, "csv"), F.substring("id", 2, 20).cast("bigint")
     stamp = (F.when(n % 50 == 0, "n/a").when(n % 3 == 0, F.date_format("date", "M/d/yyyy H:mm"))
              .when(n % 3 == 1, F.date_format("date", "M/d/yyyy H:mm:ss"))
              .otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")))
-    for name in CLEANERS:
+    for name in [only] if only else CLEANERS:
         raw = getattr(adapters, name)(t.events).withColumn("date", stamp)
         if name == "email":
             raw = raw.withColumn("content", F.concat("content", F.lit('\nsecond line, "quoted"')))
         T.write_csv(raw, f"{root}/{FILES[name]}")
-    return read_corpus(t.spark, root)
+    return read_corpus(t.spark, root)[only] if only else read_corpus(t.spark, root)
 
 
 @query()
@@ -245,6 +245,19 @@ def csv_dropped(t):
         if name in CLEANERS])
 
 
+@query()
+def log_rejects(t):
+    """Per CSV log: rows read, rows cleaned and rows set aside, by reason."""
+    parts = []
+    for name, clean in CLEANERS.items():
+        raw = _csv_corpus(t, name)
+        kept, rejects = T.write_judged(clean(with_reasons(raw)), scratch_dir(t.spark, f"judged-{name}"))
+        parts += [kept.agg(F.count(F.lit(1)).alias("rows")).withColumn("outcome", F.lit("clean")),
+                  rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("rows"))]
+        parts[-2:] = [x.select(F.lit(name).alias("log"), "outcome", "rows") for x in parts[-2:]]
+    return reduce(DataFrame.union, parts)
+
+
 @query()
 def session_list(t):
     return sessions(t.logon)
@@ -290,6 +303,21 @@ def rolling_deviation(t):
     return t.matrix.select("user", "day", *[c for c in FEATURES if c.endswith("_deviation")])
 
 
+@query()
+def incremental_deviation(t):
+    """The last five days, each from the state that the days before have left."""
+    daily = materialise(t.daily(), "daily")
+    newest = daily.agg(F.max("day")).first()[0]
+    start = F.date_sub(F.lit(newest), 5)
+    state, out = materialise(last_rows(daily.filter(F.col("day") <= start)), "state"), []
+    for back in range(4, -1, -1):
+        new = daily.filter(F.col("day") == F.date_sub(F.lit(newest), back))
+        found, state = advance(state, new)
+        out.append(found.select("user", "day", *[c for c in FEATURES if c.endswith("_deviation")]))
+        state = materialise(state, "state")
+    return reduce(DataFrame.unionByName, out)
+
+
 # ---- features and detectors --------------------------------------------------
 
 @query(4)
@@ -426,6 +454,18 @@ def snapshot_alerts(t):
         "user_id", "timestamp", "alert_type", "status")
 
 
+@query()
+def compacted_status(t):
+    """Newest status per alert from a log that was compacted between and after its appends."""
+    root, events = scratch_dir(t.spark, "triage"), t.status_events
+    for part in range(3):
+        T.append_status(events.filter(F.col("seq") % 3 == part), T.status_path(root))
+        if part:
+            T.compact_status_log(t.spark, root)
+    valid = A.current_status(T.status_log(t.spark, root))
+    return valid.select("user_id", "alert_day", "alert_type", F.col("_status").alias("status"))
+
+
 @query()
 def alert_status_rejects(t):
     return A.split_status_events(t.status_events, t.alerts)[1]

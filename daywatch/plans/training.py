@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from daywatch.operators.alerts import generate_alerts
-from daywatch.operators.baseline import with_deviations
+from daywatch.operators.baseline import last_rows, with_deviations
 from daywatch.operators.clean import (clean_device, clean_email, clean_file, clean_logon,
-                                      read_counts)
+                                      read_counts, with_reasons)
 from daywatch.operators.daily import daily_behaviour
 from daywatch.operators.evaluate import detector_report
 from daywatch.operators.features import META, FeaturePrep, fit_features
@@ -67,7 +67,8 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
     """Clean, aggregate, fit, score, alert, publish; returns the one-row summary.
 
     Each step reads the table the step before has written, so a lost executor
-    costs one step and nothing is computed twice.  The summary says for each log how
+    costs one step and nothing is computed twice.  Rows that cannot be used lie beside the
+    cleaned log (`tables.read_rejects`); `baseline_state` lets later days continue from here.  The summary says for each log how
     many rows were read and how many had no usable date or no user; with a ground
     truth among the logs, the run also writes `evaluation`, a row per detector.
     """
@@ -76,9 +77,9 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
 
     # counted while the logs are cleaned and written, without a further read
     read = {name: Observation(f"{name}-{run_id}") for name in CLEANERS}
-    clean = {name: T.write_by_day(
-        cleaner(logs[name].observe(read[name], *read_counts(logs[name], p)), p),
-        f"{out}/{name}_clean") for name, cleaner in CLEANERS.items()}
+    clean = {name: T.write_judged(cleaner(with_reasons(
+        logs[name].observe(read[name], *read_counts(logs[name], p)), p), p), f"{out}/{name}_log")[0]
+        for name, cleaner in CLEANERS.items()}
     dropped = {name: r.get for name, r in read.items()}
     directory = T.write_table(logs["directory"], f"{out}/directory")
 
@@ -87,6 +88,7 @@ def run_training(spark: SparkSession, logs: dict[str, DataFrame], root: str,
     daily = T.write_by_day(with_deviations(daily, p), f"{out}/daily_behaviour")
     if daily.isEmpty():
         raise ValueError("no activity to aggregate")
+    T.write_table(last_rows(daily, p), f"{out}/baseline_state")
 
     prep = fit_features(daily, p)
     features = T.write_by_day(prep.transform(daily), f"{out}/features")

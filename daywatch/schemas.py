@@ -47,5 +47,7 @@ USER_RISK = _struct(
 STATUS_EVENTS = _struct("user_id string, alert_day string, alert_type string, status string, "
                         "ts timestamp, seq bigint")
 
+REJECTS = _struct("reject_reason string, reject_row string")
+
 RESULTS = {"scored": SCORED, "user_risk": USER_RISK, "alerts": ALERTS,
            "directory": DIRECTORY}

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from daywatch import schemas
-from daywatch.operators.alerts import STATUS_KEY, with_current_status
+from daywatch.operators.alerts import newest_updates, with_current_status
+from daywatch.operators.clean import RAW, REASON
 from daywatch.operators.reports import alert_export, tier_map, user_export
 from daywatch.sources.logs import path_missing
 
@@ -24,6 +26,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
         return spark.createDataFrame([], schema)
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """JSON lines; None when the path is absent."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if not path_missing(e):
+            raise
+        return None
+
+
 def write_by_day(df: DataFrame, path: str) -> DataFrame:
     """Parquet partitioned by day; returns the written table.
 
@@ -36,6 +48,27 @@ def write_by_day(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_judged(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """A cleaned log `with_reasons`, in one pass: usable rows by day, the others beside them.
+
+    Returns (usable rows as `write_by_day` would, rejects as (reason, row, day)).
+    """
+    bad = F.col(REASON).isNotNull()
+    (df.withColumn("outcome", F.when(bad, "rejected").otherwise("clean"))
+     .hint("rebalance", "outcome", "day").sortWithinPartitions("outcome", "day", "user")
+     .write.mode("overwrite").partitionBy("outcome", "day").parquet(path))
+    clean = df.drop(REASON, RAW)
+    spark = df.sparkSession
+    return (read_table(spark, f"{path}/outcome=clean", clean.schema).select(*clean.columns),
+            read_rejects(spark, path))
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The rejects of a log that `write_judged` wrote: why, and the row as it was read."""
+    rows = read_table(spark, f"{path}/outcome=rejected", schemas.REJECTS)
+    return rows.select(F.col(REASON).alias("reason"), F.col(RAW).alias("row"))
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
     df.hint("rebalance").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -87,11 +120,58 @@ def append_status(events: DataFrame, path: str) -> None:
 
 
 def compact_status(spark: SparkSession, path: str, target: str) -> None:
-    """Newest update per alert into a new folder."""
-    events = spark.read.schema(schemas.STATUS_EVENTS).parquet(path)
-    newest = events.groupBy(*STATUS_KEY).agg(
-        F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("e"))
-    write_table(newest.select(*STATUS_KEY, "e.*"), target)
+    """Newest valid update per alert into a new folder."""
+    write_table(newest_updates(spark.read.schema(schemas.STATUS_EVENTS).parquet(path)), target)
+
+
+def _base(spark: SparkSession, root: str):
+    """The newest compaction: (folder, names of the files it stands for), or None."""
+    pointers = read_lines(spark, f"{root}/status_base",
+                          "base string, replaced array<string>, published double")
+    return pointers and pointers.agg(F.max_by(F.struct("base", "replaced"), "published")).first()[0]
+
+
+def _live_files(spark: SparkSession, root: str, base) -> list[str]:
+    """Files of the status log that no compaction stands for."""
+    gone = set(base["replaced"]) if base else set()
+    files = read_table(spark, status_path(root), schemas.STATUS_EVENTS).inputFiles()
+    return [f for f in files if f.rsplit("/", 1)[-1] not in gone]
+
+
+def status_log(spark: SparkSession, root: str) -> DataFrame:
+    """All triage updates that count: the newest compaction and what was appended since."""
+    base = _base(spark, root)
+    if base is None:
+        return read_table(spark, status_path(root), schemas.STATUS_EVENTS)
+    paths = [f"{root}/{base['base']}", *_live_files(spark, root, base)]
+    return spark.read.schema(schemas.STATUS_EVENTS).parquet(*paths)
+
+
+def compact_status_log(spark: SparkSession, root: str) -> None:
+    """Newest valid update per alert in place of the log so far; readers switch at once.
+
+    The pointer names the files that the compaction stands for, so an update appended
+    meanwhile, or a second compaction at the same time, is neither lost nor counted twice.
+    The files go with the next compaction: a reader of the pointer before still finds them.
+    """
+    before = _base(spark, root)
+    files = _live_files(spark, root, before)
+    if not files:
+        return
+    base = f"status_compacted/{uuid.uuid4().hex}"
+    parts = [f"{root}/{before['base']}"] if before else []
+    events = spark.read.schema(schemas.STATUS_EVENTS).parquet(*parts, *files)
+    write_table(newest_updates(events), f"{root}/{base}")
+    old = set(before["replaced"]) if before else set()
+    names = [f.rsplit("/", 1)[-1] for f in files]
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status_path(root))
+    fs = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    left = [n for n in old if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log, n))]
+    now = dt.datetime.now(dt.timezone.utc).timestamp()
+    spark.createDataFrame([(base, names + left, now)], "base string, replaced array<string>, "
+                          "published double").coalesce(1).write.mode("append").json(f"{root}/status_base")
+    for name in left:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log, name), False)
 
 
 # ---- snapshots ---------------------------------------------------------------
@@ -104,13 +184,8 @@ def publish(spark: SparkSession, root: str, run_id: str) -> None:
 
 
 def current_run(spark: SparkSession, root: str) -> str | None:
-    try:
-        runs = spark.read.schema("run_id string, published double").json(f"{root}/current")
-    except AnalysisException as e:
-        if not path_missing(e):
-            raise
-        return None
-    return runs.agg(F.max_by("run_id", "published")).first()[0]
+    runs = read_lines(spark, f"{root}/current", "run_id string, published double")
+    return runs and runs.agg(F.max_by("run_id", "published")).first()[0]
 
 
 def load_snapshot(spark: SparkSession, root: str, views: bool = True) -> dict[str, DataFrame]:
@@ -125,7 +200,7 @@ def load_snapshot(spark: SparkSession, root: str, views: bool = True) -> dict[st
         df = (read_table(spark, f"{root}/{run}/{name}", schema) if run
               else spark.createDataFrame([], schema))
         if name == "alerts":
-            df = with_current_status(df, read_table(spark, status_path(root), schemas.STATUS_EVENTS))
+            df = with_current_status(df, status_log(spark, root))
         if views:
             df.createOrReplaceTempView(name)
         out[name] = df

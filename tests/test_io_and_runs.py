@@ -128,7 +128,7 @@ def test_whole_run(spark, corpus, run):
     again = Detectors.load(spark, f"{base}/models").score(features, Params(trees=80))
     cols = ["user", "day", "if_score", "ae_score", "risk_score", "risk_tier"]
     assert Q.is_subset(again.select(cols), t["scored"].select(cols))
-    logs = {n: T.read_table(spark, f"{base}/{n}_clean") for n in ("logon", "email")}
+    logs = {n: T.read_table(spark, f"{base}/{n}_log/outcome=clean") for n in ("logon", "email")}
     report = Q.quality_report(logs["logon"], logs["email"], daily, t["scored"], t["user_risk"],
                               t["alerts"], truth)
     assert report.filter("violations > 0").count() == 0

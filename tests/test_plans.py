@@ -17,7 +17,8 @@ EAGER = {"full_run", "stream_daily_rollup", "stream_daily_alerts", "iforest_scor
          "recon_scores", "permutation_importance", "scaled_features", "correlation",
          "describe", "histogram", "recon_energy", "recon_calibration", "iforest_gates",
          "iforest_ends", "detector_report", "full_run_tables", "csv_logs", "csv_dropped",
-         "snapshot_alerts", "stream_logon_sessions", "stream_gap_sessions", "stream_late_rows"}
+         "snapshot_alerts", "stream_logon_sessions", "stream_gap_sessions", "stream_late_rows",
+         "log_rejects", "incremental_deviation", "compacted_status"}
 
 
 def plan(df):
