@@ -380,6 +380,11 @@ BODIES = {
         count(*) - floor(0.95 * (count(*) - 1))::bigint - 1 AS above_p95,
         count(*) - floor(0.999 * (count(*) - 1))::bigint - 1 AS above_p999
         FROM matrix WHERE is_weekend = 0""",
+    "iforest_labels": """SELECT count(*) AS training, ceil(0.05 * (count(*) - 1))::bigint AS anomalies
+        FROM matrix WHERE is_weekend = 0""",
+    "detector_reload": "SELECT count(*) AS rows, " + ", ".join(
+        f"count(*) AS {c}" for c in ("features", "iforest_raw", "if_label", "recon_error",
+                                     "recon_label")) + " FROM matrix",
     "iforest_gates": """SELECT "user", day::varchar AS day, true AS in_range,
         is_weekend = 0 AS is_train FROM matrix""",
     "iforest_ends": "SELECT 0.0::double AS ordinary, 100.0::double AS oddest",

@@ -27,7 +27,7 @@ from daywatch.operators.recon import fit_recon
 from daywatch.operators.scoring import score_days, user_risk
 from daywatch.operators.sessions import daily_sessions, sessions
 from daywatch.params import ALERT_EXPORT, BEHAVIOUR_MAXIMA, COMPARED, FEATURES, USER_EXPORT
-from daywatch.plans.training import CLEANERS, fit_detectors, run_training
+from daywatch.plans.training import CLEANERS, Detectors, fit_detectors, run_training
 from daywatch.schemas import ALERTS
 from daywatch.session import materialise, scratch_dir
 from daywatch.sources import adapters, tables as T
@@ -390,6 +390,36 @@ def detector_report(t):
     return E.detector_report(scored, t.truth).select("detector", "insiders", "normals")
 
 
+@query()
+def iforest_labels(t):
+    """Training rows that the forest calls anomalies: those under the contamination quantile."""
+    rows = t.detectors.raw_scores(t.features.filter("is_train"))
+    return rows.agg(F.count(F.lit(1)).alias("training"),
+                    F.count_if(F.col("if_label") == -1).alias("anomalies"))
+
+
+@query()
+def detector_reload(t):
+    """Rows whose features, scores and labels are the same after saving and loading the models."""
+    path = scratch_dir(t.spark, "models")
+    t.detectors.save(t.spark, path)
+    again = Detectors.load(t.spark, path)
+    keys, figures = ["user", "day"], ["iforest_raw", "if_label", "recon_error", "recon_label"]
+    before = t.detectors.raw_scores(t.features).select(*keys, F.col("features").alias("_f"), *figures)
+    after = again.raw_scores(again.prep.transform(t.stored_matrix)).select(
+        *keys, "features", *[F.col(c).alias(f"_{c}") for c in figures])
+    both = before.join(after, keys)
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_f") == F.col("features")).alias("features"),
+        *[F.count_if(F.col(c) == F.col(f"_{c}")).alias(c) for c in figures])
+
+
+@query()
+def detector_quality(t):
+    """Area under the ROC curve and precision among the K best, of real detector scores."""
+    return E.detector_report(t.detectors.score(t.features), t.truth)
+
+
 @query()
 def permutation_importance(t):
     model = fit_iforest(t.features.filter("is_train"))

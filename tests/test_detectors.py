@@ -273,3 +273,25 @@ def test_histogram(spark):
     assert [counts[i] for i in range(4)] == list(want)
     assert {r.bin: r.edge for r in got if r.measure == "m"}[1] == edges[1]
     assert [(r.bin, r["count"], r.density) for r in got if r.measure == "c"] == [(2, 2, 4.0)]
+
+
+def test_detector_report_equals_brute_force(spark):
+    """AUC by all pairs, precision among the K best by sorting, for three score columns."""
+    rng = np.random.default_rng(8)
+    day = dt.date(2010, 1, 4)
+    users = [f"u{i}" for i in range(60)]
+    bad = set(users[:9])
+    rows = [(u, day + dt.timedelta(days=d), *[float(rng.integers(0, 12) * 7 + 9 * (u in bad))
+                                             for _ in range(3)]) for u in users for d in range(5)]
+    scored = spark.createDataFrame(rows, "user string, day date, if_score double, ae_score double, "
+                                         "risk_score double")
+    truth = spark.createDataFrame([(u, "t" if u in bad else "none", day, u in bad, "x") for u in users],
+                                  schemas.GROUND_TRUTH)
+    got = {r.detector: r for r in E.detector_report(scored, truth).collect()}
+    for at, name in enumerate(("if_score", "ae_score", "risk_score")):
+        best = {u: r.score for u, r in ((r.user, r) for r in E.user_scores(scored, name).collect())}
+        wins = [(best[a] > best[b]) + (best[a] == best[b]) / 2 for a in bad for b in users if b not in bad]
+        top = sorted(users, key=lambda u: (-best[u], u))[:9]
+        assert got[name].auc_roc == pytest.approx(np.mean(wins))
+        assert got[name].precision_top_k == pytest.approx(np.mean([u in bad for u in top]))
+        assert (got[name].insiders, got[name].normals) == (9, 51)

@@ -26,7 +26,7 @@ def con():
 def test_names_agree():
     assert set(SQL) <= set(QUERIES)
     assert sorted(set(QUERIES) - set(SQL)) == [
-        "full_run", "iforest_scores", "permutation_importance", "recon_scores"]
+        "detector_quality", "full_run", "iforest_scores", "permutation_importance", "recon_scores"]
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
