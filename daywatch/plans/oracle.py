@@ -607,6 +607,8 @@ BODIES = {
         strftime(last, '%Y-%m-%d %H:%M:%S.%f') AS last, events
         FROM gaps, (SELECT max(ts) AS newest FROM ev)
         WHERE last + INTERVAL 6 HOUR <= newest - INTERVAL 1 DAY""",
+    "stream_scored_days": """SELECT day::varchar AS day, count(*) AS rows, count(*) AS same
+        FROM matrix, (SELECT max(day) AS newest FROM daily) WHERE day > newest - 3 GROUP BY ALL""",
     "stream_late_rows": """SELECT day::varchar AS day,
         CASE WHEN late THEN 'late' WHEN day <= until THEN 'closed' ELSE 'open' END AS kind,
         count(*) AS events, round(sum(value::decimal(18, 2))::double, 6) AS spent

@@ -36,6 +36,7 @@ from daywatch.sources.tables import read_table, run_summary, to_json_records
 from daywatch.streaming import daily as S
 from daywatch.streaming import sessions as SS
 from daywatch.streaming.rollup import DailyRollup
+from daywatch.streaming.scoring import DayScorer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -917,5 +918,28 @@ def stream_late_rows(t):
         F.sum("_events").alias("events"), F.sum("spent").cast("double").alias("spent"))
 
 
+@query()
+def stream_scored_days(t):
+    """The last three days from a stream, scored with saved models and carried-on baselines:
+    rows, and rows whose scores are those of the batch run on the same models."""
+    spark, run, target, feed, mark = t.spark, *[scratch_dir(t.spark, n) for n in (
+        "run", "scored", "days", "stream-progress")]
+    daily = materialise(t.daily(), "daily")
+    newest = daily.agg(F.max("day")).first()[0]
+    start = F.date_sub(F.lit(newest), 3)
+    t.detectors.save(spark, f"{run}/models")
+    T.write_table(last_rows(daily.filter(F.col("day") <= start)), f"{run}/baseline_state")
+    scorer = DayScorer(run, target)
+    for back in (2, 1, 0):       # a restart for each day that closes
+        daily.filter(F.col("day") == F.date_sub(F.lit(newest), back)).write.mode("append").parquet(feed)
+        scorer.start(S.stream_events(spark, feed, daily.schema), mark).awaitTermination()
+    figures = ["if_score", "ae_score", "risk_score", "risk_tier"]
+    batch = t.detectors.score(t.features).filter(F.col("day") > start)
+    batch = batch.select("user", "day", *[F.col(c).alias(f"_{c}") for c in figures])
+    both = spark.read.parquet(f"{target}/scored").join(batch, ["user", "day"])
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in figures])
+    return both.groupBy("day").agg(F.count(F.lit(1)).alias("rows"), F.count_if(same).alias("same"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

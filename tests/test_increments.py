@@ -53,6 +53,48 @@ def test_the_state_is_cut_before_the_shuffle(spark):
     assert text.index("Exchange") < text.rindex("WindowGroupLimit")
 
 
+# ---- days scored with a published run ----------------------------------------------
+
+def test_streamed_days_equal_the_batch_on_the_same_models(spark, tmp_path):
+    """Training ends, three days follow in a stream with a restart and a repeated batch."""
+    from daywatch.operators.alerts import daily_alerts
+    from daywatch.operators.features import fit_features
+    from daywatch.params import FEATURES
+    from daywatch.plans.training import fit_detectors
+    from daywatch.streaming.daily import stream_events
+    from daywatch.streaming.scoring import DayScorer
+
+    r = random.Random(11)
+    measured = [f for f in FEATURES if not f.endswith("_deviation")]
+    extra = [c for c in ("session_duration_total", "unique_pcs") if c not in measured]
+    cols = [*measured, *extra]
+    rows = [(f"u{u}", START + dt.timedelta(days=d), "IT" if u % 2 else "HR", "r",
+             *[float(r.choice([0, 1, 2, 3, 90 if u == 3 and d > 17 else 4])) if c != "is_weekend"
+               else float(d % 7 > 4) for c in cols]) for u in range(12) for d in range(21)]
+    every = materialise(spark.createDataFrame(rows, "user string, day date, department string, role string, "
+                                              + ", ".join(f"{c} double" for c in cols)), "daily")
+    p = Params(trees=20, tree_rows=64)
+    cut = F.lit(START + dt.timedelta(days=17))
+    past = materialise(with_deviations(every.filter(F.col("day") <= cut), p), "past")
+    prep = fit_features(past, p)
+    models = fit_detectors(prep.transform(past), prep, p)
+    run, target, feed = (str(tmp_path / x) for x in ("run", "target", "feed"))
+    models.save(spark, f"{run}/models")
+    T.write_table(last_rows(past, p), f"{run}/baseline_state")
+    for d in (18, 19, 20):
+        day = every.filter(F.col("day") == F.lit(START + dt.timedelta(days=d)))
+        day.write.mode("append").parquet(feed)
+        scorer = DayScorer(run, target, p)                   # a new process each time
+        scorer.start(stream_events(spark, feed, every.schema), str(tmp_path / "mark")).awaitTermination()
+    scorer(day, 2)                                           # the last batch once more
+    keys = ["user", "day", "if_score", "ae_score", "risk_score", "risk_tier"]
+    got = sorted(map(tuple, spark.read.parquet(f"{target}/scored").select(*keys).collect()))
+    batch = models.score(prep.transform(with_deviations(every, p).filter(F.col("day") > cut)), p)
+    assert got == sorted(map(tuple, batch.select(*keys).collect())) and len(got) == 36
+    found = {(x.user_id, x.timestamp) for x in spark.read.parquet(f"{target}/alerts").collect()}
+    assert found == {(x.user_id, x.timestamp) for x in daily_alerts(batch, p).collect()}
+
+
 # ---- rejects --------------------------------------------------------------------
 
 def test_every_row_is_cleaned_or_rejected(spark, tmp_path):
