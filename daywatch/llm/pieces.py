@@ -1,9 +1,9 @@
 """SentencePiece merges with a score-ordered agenda, in Arrow batches.
 
-Every symbol is a node of a linked list; the agenda is a heap of adjacent pairs
-whose joined string is a piece, best score first, then leftmost.  A popped pair is
-merged when both nodes still hold what they held when it was pushed.  Symbols that
-are no piece fall back to byte pieces.
+The agenda holds the adjacent pairs whose joined string is a piece, best score first,
+then leftmost.  For a long text it is a heap over a linked list of symbols, and a popped
+pair is merged when both nodes still hold what they held when it was pushed; for a short
+one it is a list that is searched.  Symbols that are no piece fall back to byte pieces.
 
 A text is cut where no merge can cross: between two characters that are neighbours in
 no piece (`cuts` derives such places from the vocabulary).  Cuts repeat a lot: their ids are kept in a bounded table, and
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from daywatch.llm.common import text_of
 
 MARK = "▁"
+SHORT, NEVER = 24, float("inf")      # cuts whose agenda is a list; the score of no piece
 SCHEMA = ("doc_id bigint, n_tokens bigint, ids array<int>, decoded string, n_corrected int")
 
 
@@ -51,6 +52,7 @@ class Vocabulary:
                 self.bytes[int(s[3:5], 16)] = i
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 self.rank[s] = (-p.get_score(i), i)
+        self.cost = {s: score for s, (score, _) in self.rank.items()}
         self.cut = re.compile(self.cuts())
 
     def cuts(self) -> str:
@@ -81,9 +83,38 @@ class Vocabulary:
     def encode_cut(self, text: str) -> tuple[int, ...]:
         """Ids of one cut, blanks already written as marks."""
         find, n = self.rank.get, len(text)
-        if n == 1:
-            whole = find(text)
-            return (whole[1],) if whole else tuple(self.fallback(text))
+        symbols = self.merged(text) if n <= SHORT else self.merged_by_heap(text)
+        ids = []
+        for s in symbols:
+            found = find(s)
+            if found:
+                ids.append(found[1])
+            else:
+                ids.extend(self.fallback(s))
+        return tuple(ids)
+
+    def merged(self, text: str) -> list[str]:
+        """The symbols of a short cut: its agenda is a list of scores, one per adjacent pair,
+        whose least entry (the leftmost of equals) is next."""
+        cost, none = self.cost.get, NEVER
+        symbols = list(text)
+        agenda = [cost(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The symbols of a cut of any length: the agenda is a heap over a linked list."""
+        find, n = self.rank.get, len(text)
         symbols = list(text)
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
@@ -110,15 +141,7 @@ class Vocabulary:
                 found = find(joined)
                 if found:
                     heappush(agenda, (found[0], h, joined))
-        ids = []
-        for s in symbols:
-            if s is not None:
-                found = find(s)
-                if found:
-                    ids.append(found[1])
-                else:
-                    ids.extend(self.fallback(s))
-        return tuple(ids)
+        return [s for s in symbols if s is not None]
 
 
 class Encoder:

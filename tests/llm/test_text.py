@@ -37,6 +37,15 @@ def test_encoder_cuts_equal_library(library):
     assert enc.corrected == 0
 
 
+def test_both_agendas_merge_alike(library):
+    import random
+    v, r = pieces.Vocabulary(), random.Random(5)
+    words = [pieces.MARK + "".join(r.choice("aaabcdeeinorst") for _ in range(r.randrange(1, 24)))
+             for _ in range(400)] + ["", "a", "ab", "\u6f22\u5b57", pieces.MARK * 5]
+    for w in words:
+        assert v.merged(w) == v.merged_by_heap(w), w
+
+
 def test_encode_documents(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(90, None), (None, "null id"), (3, ODD[3])]
     found = {(r.doc_id, r.decoded): r for r in pieces.encode_documents(docs(spark, rows, clash=True)).collect()}
