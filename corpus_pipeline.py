@@ -2,7 +2,9 @@
 
 Toxic documents go, then exact copies, then near copies; the sources left are mixed to
 target weights, and the mix is encoded.  Every stage works on all rows of its
-predecessor.  No SQL states the whole run (a learned classifier, hash permutations and
+predecessor.  Null and repeated ids, null, empty and long texts, ties and extra columns are
+treated as each operator's docstring says; an empty table runs through and gives no rows.
+No SQL states the whole run (a learned classifier, hash permutations and
 a tokenizer take part); tests compare it with a brute-force version.
 """
 
@@ -32,7 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs)
+    # smaller tables of known cuts than the default: workers keep them beside the other stages
+    return pieces.encode_documents(docs, keep=200_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
