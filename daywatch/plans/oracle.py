@@ -196,7 +196,8 @@ CTES |= {
     "perday": """SELECT day, avg(risk_score) AS risk_score_avg, max(risk_score)
         AS risk_score_max, count(*) FILTER (risk_tier IN ('HIGH', 'CRITICAL')) AS n_anomalies
         FROM scored GROUP BY day""",
-    "heat": """SELECT department, dayname(day) AS dow, round_even(avg(risk_score), 1) AS avg_risk
+    "heat": """SELECT department, dayname(day) AS dow, round_even(
+        sum(risk_score::decimal(18, 2))::double / count(risk_score), 1) AS avg_risk
         FROM scored GROUP BY ALL""",
     "dept": """SELECT department, count(*) AS user_count, round_even(avg(avg_risk_score), 2)
         AS avg_risk, round_even(max(max_risk_score), 2) AS max_risk,
