@@ -87,10 +87,11 @@ def test_rollup_accounts_for_every_row_across_restarts(spark, tmp_path):
 def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     """What a crash before the checkpoint's commit leads to: the last batch once more."""
     batches, rollup = feed(2, 9, 25), rollup_of(tmp_path)
+    batches.insert(8, [(900 + k, "u1", START - dt.timedelta(days=9), 1.0) for k in range(3)])   # late alone
     for i, rows in enumerate(batches):
         df = spark.createDataFrame(rows, EVENT)
         rollup(df, i)
-        if i in (0, 4, 8):
+        if i in (0, 4, 8, 9):
             rollup(df.repartition(3), i)
     check(spark, rollup, batches)
 
