@@ -106,37 +106,74 @@ def test_chat_bad_text_is_refused():
 
 # ---- language ---------------------------------------------------------------
 
-def test_forward_sums_all_segmentations():
-    table = {"a": (0.2,), "b": (0.1,), "ab": (0.3,), "ba": (0.05,), "aba": (0.01,)}
-    s = "abab"
+def segmentations(s, table):
+    """Every way to write s in pieces; a character that is no piece stands for itself."""
+    if not s:
+        yield []
+    for k in range(1, len(s) + 1):
+        if s[:k] in table or k == 1:
+            for rest in segmentations(s[k:], table):
+                yield [s[:k], *rest]
 
-    def every(rest):
-        if not rest:
-            return 1.0
-        return sum(table[rest[:k]][0] * every(rest[k:]) for k in range(1, len(rest) + 1) if rest[:k] in table)
 
-    assert langid.forward(s, table, 3, 1)[-1][0] == pytest.approx(every(s))
-    pieces_seen = langid.expected(s, table, 3, 0)
-    assert sum(len(p) * e for p, e in pieces_seen) == pytest.approx(len(s))
-
-
-def test_batched_forward_equals_word_by_word():
+def test_word_sums_equal_all_segmentations():
     import math
+    import numpy as np
     r = random.Random(5)
     table = {p: (r.random() / 9, r.random() / 9) for p in
-             ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bbb", "aabb"]}
-    m = langid.Model(["x", "y"], table, 4, keep=40)
-    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 90))) for _ in range(200)]
+             ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bbb", "aabb", "ababababa"]}
+    m = langid.Model(["x", "y"], table)
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 11))) for _ in range(60)] + ["abababababab", "é日c"]
+    got, counts = m.words(words), np.array([r.randrange(1, 9) for _ in words])
+    lang = np.array([r.randrange(2) for _ in words])
+    want_e = {(p, x): 0.0 for p in table for x in (0, 1)}
+    for w, row, n, x in zip(words, got, counts, lang):
+        every = list(segmentations("▁" + w, table))
+        value = [[math.prod(table.get(p, (langid.FLOOR,) * 2)[y] for p in s) for s in every] for y in (0, 1)]
+        assert row.tolist() == pytest.approx([math.log(sum(v)) for v in value])
+        for s, v in zip(every, value[x]):
+            for p in s:
+                if p in table:
+                    want_e[p, x] += n * v / sum(value[x])
+    e = m.expected(lang, words, counts)
+    for i, p in enumerate(table):
+        assert e[i].tolist() == pytest.approx([want_e[p, 0], want_e[p, 1]])
+
+
+def test_long_words_are_summed_end_to_end():
+    from decimal import Decimal
+    r = random.Random(6)
+    table = {p: (r.random() / 9, r.random() / 9) for p in
+             ["a", "b", "ab", "ba", "aba", "▁", "▁a", "▁ab", "bbb", "aabb", "abababababababab"]}
+    m = langid.Model(["x", "y"], table, keep=40)
+    words = ["".join(r.choice("abc") for _ in range(n)) for n in [33, 40, 64, 65, 200, 1500, 1, 2]] + ["ab" * 400]
     got = m.words(words)
     for w, row in zip(words, got):
-        want = [0.0, 0.0]
-        for s in langid.stretches(w):
-            want = [a + math.log(e) for a, e in zip(want, langid.forward(s, table, 4, 2)[-1])]
-        assert row.tolist() == pytest.approx(want)
-    for k in range(0, 200, 10):                # through both word tables
-        text = " ".join(words[k:k + 10] + words[:3])
-        own = [words.index(w) for w in text.split()]
-        assert m.text(text).tolist() == pytest.approx(got[own].sum(axis=0).tolist())
+        s = "▁" + w
+        for x in (0, 1):
+            alpha = [Decimal(1)] + [Decimal(0)] * len(s)
+            for i in range(1, len(s) + 1):
+                if s[i - 1] not in table:
+                    alpha[i] += alpha[i - 1] * Decimal(langid.FLOOR)
+                for p in table:
+                    if i >= len(p) and s[i - len(p):i] == p:
+                        alpha[i] += alpha[i - len(p)] * Decimal(table[p][x])
+            assert row[x] == pytest.approx(float(alpha[-1].ln()))
+    for k in range(0, 9, 3):                   # through both word tables, in pieces of any size
+        own = list(range(k, k + 3)) + [0, 1]
+        assert m.text(" ".join(words[i] for i in own)).tolist() == pytest.approx(got[own].sum(axis=0).tolist())
+    assert [(x.start, x.stop) for x in langid.together(["aaaa", "b", "c" * 50, "d"], 10)] == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_the_vocabulary_is_whole():
+    pieces_ = langid.fixed_vocabulary()
+    assert max(map(len, pieces_)) > 8 and len(pieces_) > 20_000
+    model = langid.Model(["x"], {p: (1 / len(pieces_),) for p in pieces_})
+    trie = model._tables()["trie"]
+    for p in random.Random(1).sample([p for p in pieces_ if p[0] == langid.MARK and len(p) > 1], 300):
+        net = trie.lattice([p[1:]])
+        whole = (net.begin == 0) & (net.end == len(p))
+        assert [pieces_[i] for i in net.piece[whole]] == [p]
 
 
 def test_language_learns_and_answers_odd_texts(spark):
