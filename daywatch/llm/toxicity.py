@@ -1,8 +1,8 @@
 """A counterfactually regularised toxicity classifier.
 
 Features are the words a text holds (lower case, runs of letters), presence only, from
-a vocabulary chosen by how strongly a word's document frequency differs between the
-classes.  In every labelled text that names an identity term the terms of its sentences
+a vocabulary chosen by how unlikely a word's counts in both classes are by chance, at a
+false discovery rate that is the same at every size.  In every labelled text that names an identity term the terms of its sentences
 are swapped for other terms; the squared change of the logit is a penalty of the fit.
 So a group's name cannot raise the score by itself.
 
@@ -145,27 +145,54 @@ def labelled_texts(docs, labels, label_col, held_out, id_col, text_col, bound, s
             .agg(F.max("_y").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"))
 
 
-def gates(n: int, pos: int, least: int, sure: float) -> tuple[int, float]:
-    """How many texts a word needs and its least z score, for `pos` toxic texts of `n`.
+def tails(n: int, pos: int, a: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of a word that lies in `a` of `n` texts at random, `pos` of them toxic.
 
-    Below 4 * least toxic texts a word needs a quarter of them (3 at least), and a word
-    seen so often in toxic texts only passes, unless its z score is below 3.
+    First: of being in `p` or more toxic texts, or in `p` or fewer, whichever is rarer.
+    Second: the smallest such chance that any count of toxic texts could have.
     """
-    if pos >= 4 * least:
-        return least, sure
-    few = min(least, max(3, -(-pos // 4)))
-    a = min(few, pos)
-    z = a / pos / np.sqrt((a / n * (1 - a / n) + 1e-6) * (1 / pos + 1 / (n - pos)))
-    return few, min(sure, max(3.0, float(z) * (1 - 1e-9)))
+    fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    choose = lambda x, y: fact[x] - fact[y] - fact[x - y]      # noqa: E731
+    chance, least = np.empty(len(a)), np.empty(len(a))
+    for x in np.unique(a):
+        lo, hi = max(0, x - (n - pos)), min(x, pos)
+        k = np.arange(lo, hi + 1)
+        each = np.exp(choose(pos, k) + choose(n - pos, x - k) - choose(n, x))
+        up, down = np.cumsum(each[::-1])[::-1], np.cumsum(each)
+        own = np.flatnonzero(a == x)
+        chance[own] = np.minimum(up, down)[p[own] - lo]
+        least[own] = min(each[0], each[-1])
+    return chance, least
+
+
+def telling(n: int, pos: int, a, p, words, rate: float) -> np.ndarray:
+    """Which (a, p) pairs, with their numbers of words, tell toxic texts from others.
+
+    The false discovery rate is held at `rate`: the highest chance t is taken at which
+    t times the words that could reach t at all is at most `rate` times the words that
+    did.  Nothing else gates a word, whatever the number of texts.
+    """
+    a, p, words = (np.asarray(x, np.int64) for x in (a, p, words))
+    chance, least = tails(n, pos, a, p)
+    order = np.argsort(chance, kind="stable")
+    did = np.cumsum(words[order])
+    at = np.argsort(least, kind="stable")
+    could = np.concatenate(([0], np.cumsum(words[at])))[np.searchsorted(least[at], chance[order], "right")]
+    good = np.flatnonzero(chance[order] * could <= rate * did)
+    return chance <= chance[order][good[-1]] if len(good) else np.zeros(len(a), bool)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        bound: int = 20_000, words: int = 4000, least: int = 5, sure: float = 4.5, penalty: float = 1.0,
-        swaps: int = 2, terms=IDENTITY_TERMS, seed: int = 5) -> Model:
+        bound: int = 20_000, rate: float = 0.1, penalty: float = 1.0, swaps: int = 2,
+        terms=IDENTITY_TERMS, seed: int = 5) -> Model:
     """Fit on at most about `bound` labelled rows whose crc32(id) mod 5 is not 0.
 
-    `least` and `sure` choose the words; both fall when few rows are toxic (`gates`).
+    The vocabulary is every word that `telling` lets in, and the identity terms.  Without
+    labelled texts of both classes every text gets the share of toxic ones; an empty
+    table, a score near 0.  Rows with a null id or label teach nothing, copies once.
+    Other columns are not read, whatever their names.
     """
+    spark = docs.sparkSession
     rows = stored(labelled_texts(docs, labels, "toxic", (5, 0), id_col, text_col, bound, seed),
                   "toxic-sample")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
@@ -173,15 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n == 0 or pos == 0 or pos == n:   # nothing to learn: the share of toxic rows
         share = (pos + 0.5) / (n + 1) if n else 0.0
         return Model({}, float(np.log(share / (1 - share))) if share else -20.0)
-    least, sure = gates(n, pos, least, sure)
-    counts = (rows.mapInArrow(_words, "toxic int, word string").groupBy("word")
-              .agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("a")).filter(F.col("a") >= least))
-    gap = F.abs(F.col("p") / pos - (F.col("a") - F.col("p")) / (n - pos))
-    # a two-proportion z score: words whose difference may be chance take no part
-    noise = F.sqrt(((F.col("a") / n) * (1 - F.col("a") / n) + 1e-6) * (1 / pos + 1 / (n - pos)))
-    best = (counts.withColumn("_z", gap / noise).filter(F.col("_z") >= sure)
-            .orderBy(F.col("_z").desc(), "word").limit(words).select("word"))
-    vocabulary = sorted({r[0] for r in best.collect()} | set(terms))
+    counts = stored(rows.mapInArrow(_words, "toxic int, word string").groupBy("word")
+                    .agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("a")), "toxic-words")
+    pairs = counts.groupBy("a", "p").count().toPandas()    # text counts of the bounded sample
+    pairs = pairs[telling(n, pos, pairs["a"], pairs["p"], pairs["count"], rate)][["a", "p"]]
+    chosen = spark.createDataFrame(pairs.values.tolist(), "a bigint, p bigint")
+    best = counts.join(F.broadcast(chosen), ["a", "p"]).select("word").collect()
+    vocabulary = sorted({r[0] for r in best} | set(terms))
     coded = rows.mapInArrow(lambda it: _encode(it, vocabulary, terms, swaps),
                             "toxic int, own array<int>, other array<array<int>>").toPandas()
     coded = coded.sort_values("toxic", kind="stable")
@@ -204,7 +229,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id",
     """Per row: doc_id, held_out, score, predicted.  Whole texts; null counts as empty.
 
     An empty text has the score of no evidence.  Every row is scored by itself, so
-    repeated rows get equal scores; a null id is not held out.
+    repeated rows get equal scores; an empty table gives no rows; a null id is not held
+    out.  Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     scored = rows.mapInArrow(lambda it: _score(it, model),

@@ -287,11 +287,66 @@ def test_toxicity_rows_and_cleaning(spark):
     assert none.filter("predicted = 1").count() == 0
 
 
-def test_gates_fall_with_few_toxic_texts():
-    assert toxicity.gates(319, 44, 5, 4.5) == (5, 4.5)
-    few, sure = toxicity.gates(68, 10, 5, 4.5)
-    assert few == 3 and 4.2 < sure < 4.3
-    assert toxicity.gates(20, 10, 5, 4.5) == (3, 3.0)
+def test_word_chances_equal_counting():
+    import itertools
+    import numpy as np
+    n, pos = 9, 4
+    a, p = map(np.array, zip(*[(x, y) for x in range(1, 10) for y in range(max(0, x - 5), min(x, 4) + 1)]))
+    chance, least = toxicity.tails(n, pos, a, p)
+    for x, y, c, m in zip(a, p, chance, least):
+        hits = [sum(i < pos for i in s) for s in itertools.combinations(range(n), int(x))]
+        tail = lambda z: min(sum(h >= z for h in hits), sum(h <= z for h in hits)) / len(hits)
+        assert c == pytest.approx(tail(y)) and m == pytest.approx(min(map(tail, set(hits))))
+
+
+def test_one_rule_lets_words_in_at_every_size():
+    import numpy as np
+
+    def brute(n, pos, a, p, words, rate):
+        c, m = toxicity.tails(n, pos, np.array(a), np.array(p))
+        ok = [t for t in c if t * sum(w for w, x in zip(words, m) if x <= t)
+              <= rate * sum(w for w, x in zip(words, c) if x <= t)]
+        return [bool(ok) and x <= max(ok) for x in c]
+
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randrange(2, 60)
+        pos = r.randrange(1, n)
+        a = [r.randrange(1, n + 1) for _ in range(12)]
+        p = [r.randrange(max(0, x - (n - pos)), min(x, pos) + 1) for x in a]
+        words = [r.randrange(1, 30) for _ in a]
+        assert toxicity.telling(n, pos, a, p, words, 0.2).tolist() == brute(n, pos, a, p, words, 0.2)
+    # one toxic word among many that are not, in a small and in a large sample
+    for n, pos, a in ((60, 12, 8), (20_000, 4000, 900)):
+        assert toxicity.telling(n, pos, [a, a, 1], [a, a // 5, 0], [1, 500, 9000], 0.1).tolist() == [True, False, False]
+
+
+def test_training_finds_the_least_penalised_loss():
+    import numpy as np
+    r = np.random.default_rng(3)
+    y = r.integers(0, 2, 40)
+    own = [sorted(set(r.integers(0, 6, 3).tolist()) | ({6} if t and r.random() < 0.8 else set())) for t in y]
+    other = [[sorted({5 - w if w < 2 else w for w in x})] if i % 3 == 0 else [] for i, x in enumerate(own)]
+    names = [f"w{i}" for i in range(7)]
+
+    def loss(w):
+        logit = lambda x: w[7] + sum(w[i] for i in x)      # noqa: E731
+        fit = sum(np.log1p(np.exp(-logit(x) if t else logit(x))) for t, x in zip(y, own)) / len(y)
+        moves = [(logit(x) - logit(c)) ** 2 for x, cs in zip(own, other) for c in cs]
+        return fit + 0.01 / 2 * sum(v * v for v in w[:7]) + 0.5 * sum(moves) / len(moves)
+
+    m = toxicity.train(y, own, other, names, penalty=0.5, ridge=0.01, steps=3000, rate=0.02)
+    best = np.array([*(m.weights[x] for x in names), m.bias])
+    slope = [(loss(best + e) - loss(best - e)) / 2e-4 for e in np.eye(8) * 1e-4]
+    assert np.abs(slope).max() < 2e-3
+    assert all(loss(best) <= loss(best + r.normal(size=8) * 0.05) + 1e-6 for _ in range(50))
+
+
+def test_toxicity_and_quality_of_empty_tables(spark):
+    none, lab = docs(spark, [], clash=True), labels(spark, [(1, 1, 1)])
+    assert toxicity.score_documents(none, toxicity.fit(none, lab)).count() == 0
+    assert toxicity.clean_documents(none, lab.limit(0)).count() == 0
+    assert quality.score_quality(none, lab).count() == 0
 
 
 def test_swap_terms_always_changes_the_term():
