@@ -79,7 +79,8 @@ def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
     """Two aggregate rows: limits at mean +- k std, then mean and std after clipping.
 
     The standard deviation of the limits is the sample one, that of the scale
-    the population one; a constant feature is neither clipped nor scaled.
+    the population one; a constant feature is neither clipped nor scaled, also where
+    rounding leaves it a tiny deviation.
     """
     names = (*p.features, "dept_encoded")
     departments = index_departments(daily)
@@ -98,4 +99,6 @@ def _moments(df: DataFrame, cols: list) -> list[tuple]:
     """(mean, sample std, population std) per column, nulls left out; one aggregate row."""
     row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols)
                    for n, f in (("m", F.avg), ("s", F.stddev_samp), ("p", F.stddev_pop))]).first()
-    return [(row[f"m{i}"], row[f"s{i}"], row[f"p{i}"]) for i in range(len(cols))]
+    found = [(row[f"m{i}"], row[f"s{i}"], row[f"p{i}"]) for i in range(len(cols))]
+    return [(m, s, p) if m is None or (p or 0.0) > 1e-12 * abs(m) else (m, 0.0, 0.0)
+            for m, s, p in found]

@@ -275,11 +275,25 @@ def _long(table: str, names, extra: str = "") -> str:
         f"SELECT {extra}'{n}' AS measure, {n}::double AS value FROM {table}" for n in names)
 
 
-def _correlation() -> str:
+def _correlation(rows: str = "scaled") -> str:
     pairs = ", ".join(f"{{'f1': '{a}', 'f2': '{b}', 'r': corr({a}, {b})}}"
                       for a in NAMES for b in NAMES)
     return with_ctes(f"""SELECT u.f1, u.f2, CASE WHEN isnan(u.r) THEN NULL
-        ELSE round(u.r, 4) END AS r FROM (SELECT unnest([{pairs}]) AS u FROM scaled)""")
+        ELSE round(u.r, 4) END AS r FROM (SELECT unnest([{pairs}]) AS u FROM {rows})""")
+
+
+def _refit() -> dict[str, str]:
+    """Limits of the encoded matrix, means and scales of the clipped one; correlations of
+    training rows, which scaling does not change."""
+    first = ", ".join(f"{{'feature': '{n}', 'm': avg({n}), 's': stddev_samp({n})}}" for n in NAMES)
+    second = ", ".join(f"{{'feature': '{n}', 'mean': avg({n}), 'scale': stddev_pop({n})}}" for n in NAMES)
+    scales = f"""SELECT feature, CASE WHEN a.s > 0 THEN round(a.m - 5 * a.s, 6) END AS low,
+        CASE WHEN a.s > 0 THEN round(a.m + 5 * a.s, 6) END AS high, round(b.mean, 6) AS mean,
+        CASE WHEN b.scale > 0 THEN round(b.scale, 6) ELSE 1 END AS scale
+        FROM (SELECT unnest([{first}], recursive := true) FROM encoded) a
+        JOIN (SELECT unnest([{second}], recursive := true) FROM winsored) b USING (feature)"""
+    return {"refit_scales": with_ctes(scales),
+            "refit_correlation": _correlation("winsored WHERE is_train")}
 
 
 def _histogram(rows: str, groups: str, bins: str) -> str:
@@ -635,4 +649,5 @@ def oracle_sql() -> dict[str, str]:
     out["scaled_features"] = with_ctes(
         f'SELECT "user", day::varchar AS day, is_train, {_r(" ".join(NAMES), 4)} FROM scaled')
     out["correlation"] = _correlation()
+    out |= _refit()
     return out

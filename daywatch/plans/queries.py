@@ -23,6 +23,7 @@ from daywatch.operators.clean import (clean_device, clean_email, clean_file, cle
                                       unparseable, with_reasons)
 from daywatch.operators.features import NAMES, fit_features, training_rows
 from daywatch.operators.iforest import fit_iforest
+from daywatch.operators.moments import Guard, add_days, refit
 from daywatch.operators.recon import fit_recon
 from daywatch.operators.scoring import score_days, user_risk
 from daywatch.operators.sessions import daily_sessions, sessions
@@ -329,6 +330,36 @@ def scaled_features(t):
                        *[F.col("features")[i].alias(n) for i, n in enumerate(NAMES)])
 
 
+def _refitted(t):
+    """Sums of all days but the newest, kept on storage; then the newest day alone."""
+    m = t.stored_matrix
+    newest = m.agg(F.max("day")).first()[0]
+    before = m.filter(F.col("day") < F.lit(newest))
+    guard, path = Guard.within(fit_features(before)), scratch_dir(t.spark, "day-sums")
+    add_days(before, guard, path)
+    add_days(m.filter(F.col("day") == F.lit(newest)), guard, path)
+    return refit(t.spark, path, guard)
+
+
+@query()
+def refit_scales(t):
+    """Limits and scales after a new day, from sums per day."""
+    f = _refitted(t).prep
+    finite = lambda x: round(x, 6) if abs(x) < float("inf") else None
+    rows = [(n, *map(finite, x)) for n, *x in zip(f.names, f.low, f.high, f.mean, f.scale)]
+    return t.spark.createDataFrame(
+        rows, "feature string, low double, high double, mean double, scale double")
+
+
+@query()
+def refit_correlation(t):
+    """Correlations of the training rows' features after a new day, from the same sums."""
+    r = _refitted(t).correlation()
+    rows = [(a, b, None if r[i, j] != r[i, j] else round(float(r[i, j]), 4))
+            for i, a in enumerate(NAMES) for j, b in enumerate(NAMES)]
+    return t.spark.createDataFrame(rows, "f1 string, f2 string, r double")
+
+
 @query()
 def training_set(t):
     return training_rows(t.daily()).select("user", "day", "department", "login_count")

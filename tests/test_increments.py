@@ -10,7 +10,10 @@ from daywatch import schemas
 from daywatch.operators import alerts as A
 from daywatch.operators.baseline import advance, last_rows, with_deviations
 from daywatch.operators.clean import clean_email, clean_logon, with_reasons
-from daywatch.params import BASELINE_MEASURES, Params
+from daywatch.operators.features import META, fit_features
+from daywatch.operators.moments import Guard, StartAnew, add_days, refit
+from daywatch.operators.recon import fit_recon
+from daywatch.params import BASELINE_MEASURES, FEATURES, Params
 from daywatch.session import materialise
 from daywatch.sources import tables as T
 
@@ -182,3 +185,62 @@ def test_an_update_during_a_compaction_counts(spark, tmp_path, monkeypatch):
     assert statuses(spark, root) == {"u": "IN_PROGRESS"}
     T.compact_status_log(spark, root)
     assert statuses(spark, root) == {"u": "IN_PROGRESS"}
+
+
+# ---- sums per day -----------------------------------------------------------------
+
+def matrix(spark, days, wild=0.02, departments=("a", "b", "c")):
+    r = random.Random(11)
+    rows = []
+    for d in range(days):
+        day = START + dt.timedelta(days=d)
+        for u in range(40):
+            x = [r.gauss(3, 1) if r.random() > wild else r.choice([1e4, -300.0, None, float("inf"), float("nan")])
+                 for _ in FEATURES[:-2]]
+            x[1] = x[0] * 2 if x[0] else x[1]
+            values = dict(zip(FEATURES, [*x, 7.0, 0.1]))       # two constant features
+            values["is_weekend"] = float(day.weekday() >= 5)
+            rows.append((f"u{u}", day, departments[u % len(departments)], *[values[n] for n in FEATURES]))
+    df = spark.createDataFrame(rows, "user string, day date, department string, " + ", ".join(
+        f"{n} double" for n in FEATURES))
+    return df.withColumns({c: F.lit(0.0) for c in META if c not in df.columns})
+
+
+@pytest.mark.parametrize("fit_on", ["all", "train"])
+def test_refit_from_sums_equals_the_fit_over_all_days(spark, tmp_path, fit_on):
+    import numpy as np
+    p, path = Params(fit_on=fit_on), str(tmp_path / "sums")
+    every = materialise(matrix(spark, 20), "matrix")
+    day = lambda d: F.lit(START + dt.timedelta(days=d))      # noqa: E731
+    guard = Guard.within(fit_features(every.filter(F.col("day") < day(17)), p), 0.5)
+    add_days(every.filter(F.col("day") < day(17)), guard, path)
+    for d in (17, 18, 18, 19):                                # one day twice: it is replaced
+        add_days(every.filter(F.col("day") == day(d)), guard, path)
+    got, want = refit(spark, path, guard, p), fit_features(every, p)
+    for name in ("low", "high", "mean", "scale"):
+        assert getattr(got.prep, name) == pytest.approx(getattr(want, name), rel=1e-9, abs=1e-9)
+    train = want.transform(every).filter("is_train")
+    x = np.array([r.features for r in train.select("features").collect()])
+    assert got.rows == len(x)
+    assert np.allclose(got.mean, x.mean(axis=0), atol=1e-9)
+    assert np.allclose(got.covariance, np.cov(x.T), atol=1e-9)
+    recon = fit_recon(train, p)
+    both = recon.with_error(train).select("recon_error", got.recon_error(F.col("features"), recon.kept).alias("e"))
+    assert all(r.e == pytest.approx(r.recon_error, rel=1e-7, abs=1e-9) for r in both.collect())
+    # the newest day's write reads and leaves that day only; few rows are kept whole
+    kept = spark.read.parquet(path)
+    assert kept.groupBy("day", "is_train").agg(F.count("i").alias("n")).agg(F.max("n")).first()[0] == 1 + 27 + 27 * 14
+    assert kept.filter("x is not null").count() < every.count()
+
+
+def test_sums_ask_for_a_new_start(spark, tmp_path):
+    every = matrix(spark, 12, wild=0)
+    guard, path = Guard.within(fit_features(every), 0.9), str(tmp_path / "sums")
+    with pytest.raises(StartAnew, match="department"):
+        add_days(matrix(spark, 1, departments=("a", "new")), guard, path)
+    add_days(every, Guard.within(fit_features(every), 1.3), path)
+    with pytest.raises(StartAnew, match="guard"):
+        refit(spark, path, Guard.within(fit_features(every), 1.3))
+    add_days(every.filter("is_weekend = 1"), guard, str(tmp_path / "weekend"))
+    with pytest.raises(ValueError, match="no rows"):
+        refit(spark, str(tmp_path / "weekend"), guard, Params(fit_on="train"))

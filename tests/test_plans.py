@@ -19,7 +19,8 @@ EAGER = {"full_run", "stream_daily_rollup", "stream_daily_alerts", "iforest_scor
          "iforest_ends", "detector_report", "full_run_tables", "csv_logs", "csv_dropped",
          "snapshot_alerts", "stream_logon_sessions", "stream_gap_sessions", "stream_late_rows",
          "stream_scored_days", "iforest_labels", "detector_reload", "detector_quality",
-         "log_rejects", "incremental_deviation", "compacted_status"}
+         "log_rejects", "incremental_deviation", "compacted_status",
+         "refit_scales", "refit_correlation"}
 
 
 def plan(df):
