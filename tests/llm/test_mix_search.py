@@ -212,3 +212,58 @@ def test_cells_are_visited_by_summed_distance():
     out = ann.visited(d1, d2, count, 10 ** 9)
     total = [d1[a] + d2[b] for a, b in out]
     assert total == sorted(total) and len(out) == (count > 0).sum()
+
+
+def test_recall_on_many_queries(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 6000)] + 0.4 * rng.normal(size=(6000, 24))
+    own = {i: x[i].tolist() for i in range(len(x))}
+    df = spark.createDataFrame(list(own.items()), "vec_id bigint, embedding array<double>")
+    by = {}
+    for r in ann.search(df, part_rows=300).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = brute(own)
+    assert len(by) == len(truth) == 60
+    hits = sum(len(by[q] & {j for _, j in truth[q]}) for q in truth)
+    assert hits >= 0.9 * sum(map(len, truth.values()))
+
+
+def test_entries_are_sent_once_and_parts_are_bounded():
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(5000, 8)), np.arange(5000)
+    x[:2000] += 40                               # one large cell
+    index = ann.Index(ids, x, 6, 1, 20)
+    cell = index.cell(x - index.mean)
+    index.calibrate(np.bincount(cell, minlength=36), [], 0.95, 10)
+    assert index.want == 11
+    free = index.lay_out(7, 300)
+    batch = pa.RecordBatch.from_pydict({"vec_id": ids, "v": x.tolist()})
+    entries = pa.Table.from_batches(ann._place([batch], {8: index}))
+    assert sorted(entries["id"].to_pylist()) == ids.tolist()
+    part = np.bincount(entries["part"].to_numpy(), minlength=free)
+    assert part[:7].sum() == 0 and len(part) == free and part.max() < 600
+    # a query reaches every part that may hold one of its cells, each once
+    index.want = 900
+    routed = pa.Table.from_batches(ann._route([batch.slice(0, 70)], {8: index})).to_pylist()
+    homes = {c: set(entries["part"].to_numpy()[cell == c].tolist()) for c in set(cell.tolist())}
+    for q in range(70):
+        own = [r for r in routed if r["id"] == q]
+        assert len({r["part"] for r in own}) == len(own)
+        for c in {c for r in own for c in r["cells"]}:
+            assert homes[c] <= {r["part"] for r in own if c in r["cells"]}
+
+
+def test_search_of_lengths_in_several_runs(spark):
+    rng = np.random.default_rng(7)
+    own = {d: {1000 * d + i: rng.normal(size=d).tolist() for i in range(120)} for d in (2, 3, 5)}
+    df = spark.createDataFrame([r for v in own.values() for r in v.items()],
+                               "vec_id bigint, embedding array<double>")
+    found = sorted(tuple(r) for r in ann.search(df, recall=1.0, model_bytes=1).collect())
+    assert found == sorted(tuple(r) for r in ann.search(df, recall=1.0).collect())
+    truth = {}
+    for v in own.values():
+        truth |= brute(v)
+    hits = sum(j == truth[q][rank - 1][1] for q, rank, j, _ in found)
+    assert len(found) == sum(map(len, truth.values())) and hits >= 0.9 * len(found)
