@@ -315,27 +315,23 @@ def activity_histogram(rates: DataFrame, truth: DataFrame) -> DataFrame:
 # ---- permutation importance --------------------------------------------------
 
 def permutation_importance(features: DataFrame, model: IsolationForestModel,
-                           names: tuple[str, ...], p: Params = Params()) -> DataFrame:
+                           names: tuple[str, ...], p: Params = Params(),
+                           rows_per_task: int = 5000) -> DataFrame:
     """Mean absolute score change when one feature is shuffled, per feature.
 
-    Every column is permuted as a whole.  Rows are numbered in a pseudorandom order;
-    feature f of row i comes from row i + s(f), modulo the rows, with a shift drawn per
-    feature.  Values travel to their rows through one shuffle; all features are scored in
-    one pass.
+    Every column is permuted as a whole.  Rows are numbered in a pseudorandom order, and
+    row i takes the replaced value of each column from row i + s, modulo the rows.  Columns
+    are replaced one at a time, so one drawn shift serves them all: a row meets one other
+    row, in one join, and all features are scored in one pass.
     """
     spark, width = features.sparkSession, len(names)
-    rows = materialise(indexed(features.select("user", "day", "features"), ["user", "day"], p.seed),
-                       "importance")
+    rows = materialise(indexed(features.select("user", "day", "features"), ["user", "day"], p.seed)
+                       .select("_idx", "features"), "importance")
     n = rows.count()
-    rng = np.random.default_rng(p.seed)
-    shifts = rng.integers(1, max(2, n), width).tolist()
-    shift = F.element_at(F.array(*[F.lit(x) for x in shifts]), F.col("f") + 1)
-    given = rows.select("_idx", F.posexplode("features").alias("f", "v")).select(
-        F.pmod(F.col("_idx") - shift, F.lit(max(1, n))).alias("_to"), "f", "v")
-    given = given.groupBy("_to").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("other"))
-    both = rows.select("_idx", "features").join(given, F.col("_idx") == F.col("_to")) \
-        .select("features", "other")
+    shift = int(np.random.default_rng(p.seed).integers(1, max(2, n)))
+    other = rows.select(F.pmod(F.col("_idx") - shift, F.lit(max(1, n))).alias("_to"),
+                        F.col("features").alias("other"))
+    both = rows.join(other, F.col("_idx") == F.col("_to")).select("features", "other")
     shared = spark.sparkContext.broadcast(model.forest())
     low, span = model.score_min, model.score_max - model.score_min + 1e-10
 
@@ -356,8 +352,8 @@ def permutation_importance(features: DataFrame, model: IsolationForestModel,
                 total[i] += float(np.abs(score(mixed) - base).sum())
         yield pd.DataFrame({"position": range(width), "total": total, "n": seen})
 
-    cores = spark.sparkContext.defaultParallelism
-    parts = both.repartition(4 * cores).mapInPandas(change, "position int, total double, n bigint")
+    tasks = n // rows_per_task + 1           # scoring costs far more than the rows weigh
+    parts = both.repartition(tasks).mapInPandas(change, "position int, total double, n bigint")
     label = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(i), F.lit(name))])
     found = parts.groupBy("position").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("importance")) \
         .select(label[F.col("position")].alias("feature"), "importance").collect()

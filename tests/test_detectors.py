@@ -152,6 +152,31 @@ def test_permutation_importance(vectors, forest):
     again = {r.feature: r.importance for r in
              E.permutation_importance(vectors.repartition(7), forest, names, P).collect()}
     assert again == pytest.approx(rows)      # partitions decide nothing
+    small = {r.feature: r.importance for r in
+             E.permutation_importance(vectors, forest, names, P, rows_per_task=50).collect()}
+    assert small == pytest.approx(rows)      # nor does the size of a task
+
+
+def test_permutation_importance_equals_shifted_columns(vectors, forest):
+    """Against plain numpy: each column shifted as a whole, the others left alone."""
+    from daywatch.operators.ranking import indexed
+    names = tuple(f"f{i}" for i in range(6))
+    rows = indexed(vectors.select("user", "day", "features"), ["user", "day"], P.seed)
+    x = np.array([r.features for r in rows.orderBy("_idx").collect()])
+    shift = int(np.random.default_rng(P.seed).integers(1, len(x)))
+    low, span = forest.score_min, forest.score_max - forest.score_min + 1e-10
+
+    def score(m):
+        return np.clip((1 - (forest.forest().raw(m) - low) / span) * 100, 0, 100)
+
+    want = {}
+    for i, name in enumerate(names):
+        mixed = x.copy()
+        mixed[:, i] = np.roll(x[:, i], -shift)
+        assert sorted(mixed[:, i]) == sorted(x[:, i])
+        want[name] = np.abs(score(mixed) - score(x)).mean()
+    got = {r.feature: r.importance for r in E.permutation_importance(vectors, forest, names, P).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_empty_training_set_is_refused(vectors):
