@@ -269,7 +269,9 @@ def density_histogram(rows: DataFrame, groups: list[str], bins: Column,
     """Equal-width histogram of `value` per group: bin, left edge, count, density.
 
     A constant group gets the unit interval around its value.  With `weight` a
-    row stands for that many equal rows (counted before any join).
+    row stands for that many equal rows (counted before any join).  `groups` are few
+    (measures and cohorts): their spans are broadcast, never the rows, whose files may be
+    small enough to pass for a small table.
     """
     rows = rows.dropna(subset=["value"]).withColumn(
         "_w", F.lit(1).cast("bigint") if weight is None else F.col(weight))
@@ -281,7 +283,7 @@ def density_histogram(rows: DataFrame, groups: list[str], bins: Column,
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
                        bins.cast("int").alias("bins"))
     if groups:
-        placed = rows.join(span, groups)    # one row per group: its size decides the join
+        placed = rows.join(F.broadcast(span), groups)
     else:
         cell = span.agg(F.first(F.struct(*span.columns))).scalar()
         placed = rows.withColumn("_s", cell).select(*rows.columns, "_s.*")

@@ -300,6 +300,17 @@ def test_histogram(spark):
     assert [(r.bin, r["count"], r.density) for r in got if r.measure == "c"] == [(2, 2, 4.0)]
 
 
+def test_histogram_never_broadcasts_its_rows(spark, tmp_path):
+    """Millions of equal values fit into a file below the broadcast limit."""
+    spark.range(200_000).select(F.lit("m").alias("measure"), (F.col("id") % 3).cast("double").alias("value")) \
+        .coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    got = E.density_histogram(rows, ["measure"], F.lit(3))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert {r.bin: r["count"] for r in got.collect()} == {0: 66_667, 1: 66_667, 2: 66_666}
+
+
 def test_detector_report_equals_brute_force(spark):
     """AUC by all pairs, precision among the K best by sorting, for three score columns."""
     rng = np.random.default_rng(8)
