@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -32,15 +33,54 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def pair_groups(on_group: np.ndarray, logon: np.ndarray, off_group: np.ndarray, logoff: np.ndarray,
+                cap_minutes: float) -> tuple[np.ndarray, np.ndarray]:
+    """(group, minutes) of the sessions of many groups: i-th logon with i-th logoff, by time."""
+    n = int(max(on_group.max(initial=-1), off_group.max(initial=-1))) + 1
+    counts = [np.bincount(g, minlength=n) for g in (on_group, off_group)]
+    pairs, sides = np.minimum(*counts), []
+    for group, at, count in zip((on_group, off_group), (logon, logoff), counts):
+        order = np.lexsort((at, group))
+        group, at = group[order], at[order]
+        nth = np.arange(len(at)) - (np.cumsum(count) - count)[group]
+        met = nth < pairs[group]
+        sides.append((group[met], at[met]))
+    (group, start), (_, end) = sides
+    minutes = np.maximum(0.0, (end - start) / 60_000_000.0)
+    kept = minutes < cap_minutes
+    return group[kept], minutes[kept]
+
+
 def pair_lengths(logon: np.ndarray, logoff: np.ndarray, cap_minutes: float) -> np.ndarray:
     """Minutes of the sessions of one (user, day): i-th logon with i-th logoff, by time."""
-    n = min(len(logon), len(logoff))
-    minutes = np.maximum(0.0, (np.sort(logoff)[:n] - np.sort(logon)[:n]) / 60_000_000.0)
-    return minutes[minutes < cap_minutes]
+    one = [np.zeros(len(side), np.int64) for side in (logon, logoff)]
+    return pair_groups(one[0], logon, one[1], logoff, cap_minutes)[1]
+
+
+def pack(part: pd.DataFrame) -> bytes:
+    """Users, stamps and kinds of events as one block: 12 bytes an event, a user's name once."""
+    users = pa.array(part["user"], pa.string(), from_pandas=True).dictionary_encode()
+    block = pa.record_batch({
+        "user": users, "at": pa.array(part["at"].to_numpy(np.int64)),
+        "is_logoff": pa.array(part["is_logoff"].to_numpy(bool))})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, block.schema) as writer:
+        writer.write_batch(block)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(blocks: list[bytes]) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    """(position of the user, users, at, is_logoff) of the events in all blocks."""
+    whole = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks]) \
+        .unify_dictionaries().combine_chunks()
+    users = whole["user"].chunk(0)
+    names = [*users.dictionary.to_pylist(), None]        # null is a user of its own
+    return (users.indices.fill_null(len(names) - 1).to_numpy(), names, whole["at"].to_numpy(),
+            whole["is_logoff"].to_numpy())
 
 
 class _Pairing(StatefulProcessor):
-    """State of a (user, day): its stamps, a packed block per side and micro-batch.
+    """State of a day's slot of users: their events, a packed block per chunk of input.
 
     A timer closes the day when the watermark passes its end; until then any later
     micro-batch may add events between those that are there.
@@ -51,46 +91,50 @@ class _Pairing(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.sides = [handle.getListState(name, "stamps binary") for name in ("logons", "logoffs")]
+        self.events = handle.getListState("events", "block binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        end = None
         for part in rows:
-            off = part["is_logoff"].to_numpy(bool)
-            at = part["at"].to_numpy(np.int64)
-            for side, state in zip((~off, off), self.sides):
-                if side.any():
-                    state.appendValue((at[side].tobytes(),))
-            self.handle.registerTimer(int(part["day_end"].iloc[0].value // 1_000_000))
+            self.events.appendValue((pack(part),))
+            end = part["day_end"].iloc[0]
+        if end is not None:
+            self.handle.registerTimer(int(end.value // 1_000_000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        sides = []
-        for state in self.sides:
-            blocks = [np.frombuffer(r[0], np.int64) for r in state.get()]
-            sides.append(np.concatenate(blocks) if blocks else np.empty(0, np.int64))
-            state.clear()
-        minutes = pair_lengths(*sides, self.cap)
-        if len(minutes):
-            yield pd.DataFrame({"user": [key[0]], "day": [key[1]],
-                                "session_duration_total": [float(minutes.sum())],
-                                "session_count": [len(minutes)]})
+        user, names, at, off = unpack([r[0] for r in self.events.get()])
+        self.events.clear()
+        group, minutes = pair_groups(user[~off], at[~off], user[off], at[off], self.cap)
+        count = np.bincount(group, minlength=len(names))
+        total = np.bincount(group, weights=minutes, minlength=len(names))
+        found = np.flatnonzero(count)
+        if len(found):
+            yield pd.DataFrame({"user": [names[i] for i in found], "day": [key[0]] * len(found),
+                                "session_duration_total": total[found],
+                                "session_count": count[found]})
 
     def close(self):
         pass
 
 
-def stream_sessions(clean: DataFrame, lateness: str = "1 day", p: Params = Params()) -> DataFrame:
+def stream_sessions(clean: DataFrame, lateness: str = "1 day", p: Params = Params(),
+                    slots: int = 256) -> DataFrame:
     """`daily_sessions` of a cleaned logon stream, one row per (user, day) once it is closed.
 
     The watermark follows the ends of days, so an event is late only when its day is
     closed, whatever its hour; late events are dropped by Spark and counted in the
-    progress.  A day's state is its logon and logoff stamps, 8 bytes each.
+    progress.  Users are hashed to `slots`, and a slot of a day is one state and one call
+    into Python, however many users it holds: a call per (user, day) costs far more than
+    its few events.  A state is the slot's share of the day's events, 12 bytes each and a
+    name per user and chunk of input.  The number of slots belongs to the checkpoint.
     """
     kind = F.lower("activity")
     events = clean.filter(kind.isin("logon", "logoff")).select(
         "user", "day", F.unix_micros("date").alias("at"), (kind == "logoff").alias("is_logoff"),
-        F.date_add("day", 1).cast("timestamp").alias("day_end"))
-    return events.withWatermark("day_end", lateness).groupBy("user", "day").transformWithStateInPandas(
+        F.date_add("day", 1).cast("timestamp").alias("day_end"),
+        F.pmod(F.xxhash64("user"), F.lit(slots)).cast("int").alias("slot"))
+    return events.withWatermark("day_end", lateness).groupBy("day", "slot").transformWithStateInPandas(
         _Pairing(p.session_cap_minutes),
         "user string, day date, session_duration_total double, session_count bigint",
         "append", "eventTime")

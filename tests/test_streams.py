@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,42 @@ def test_pairing_equals_a_loop():
     assert len(SS.pair_lengths(on, np.empty(0, np.int64), 600)) == 0
 
 
+def test_groups_of_packed_blocks_pair_like_one_by_one():
+    """Users over several blocks, one without logoffs, one whose name is null."""
+    r = np.random.default_rng(2)
+    events = pd.DataFrame({"user": r.choice(np.array(["a", "b", "c", None], object), 300),
+                           "at": r.integers(0, 10 ** 11, 300), "is_logoff": r.random(300) < 0.5})
+    events = events[(events["user"] != "c") | ~events["is_logoff"]]
+    blocks = [SS.pack(events[:90]), SS.pack(events[90:91]), SS.pack(events[91:])]
+    user, names, at, off = SS.unpack(blocks)
+    group, minutes = SS.pair_groups(user[~off], at[~off], user[off], at[off], 600)
+    assert set(names) == {"a", "b", "c", None}
+    for i, name in enumerate(names):
+        own = events[events["user"].isna() if name is None else events["user"] == name]
+        want = SS.pair_lengths(own["at"][~own["is_logoff"]].to_numpy(), own["at"][own["is_logoff"]].to_numpy(), 600)
+        assert minutes[group == i].tolist() == want.tolist()
+    assert names.index("c") not in group
+
+
+def test_a_day_of_many_users_is_a_state_per_slot(spark, tmp_path):
+    """2000 users of a day in 8 slots: states do not grow in number with the users."""
+    rows = [("x", dt.datetime(2024, 3, 1, 8 + h), f"u{i}", "p", kind) for i in range(2000)
+            for h, kind in ((0, "Logon"), (1, "Logoff"))] + [("x", dt.datetime(2024, 3, 9), "u0", "p", "Logon")]
+    path, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    put(spark, rows[:-1], LOGON, path)
+    put(spark, rows[-1:], LOGON, path)
+    stream = S.stream_events(spark, path, spark.read.parquet(path).schema, 1)
+    days = SS.stream_sessions(clean_logon(stream), slots=8)
+    with SS.keyed_state(spark):
+        query = (days.writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", mark).trigger(availableNow=True).start())
+        query.awaitTermination()
+    states = max(p.stateOperators[0].numRowsTotal for p in query.recentProgress)
+    assert 0 < states <= 3 * (8 + 1)                 # events, timer and its index
+    got = spark.read.schema(days.schema).parquet(out)
+    assert got.count() == 2000 and got.filter("session_duration_total = 60 AND session_count = 1").count() == 2000
+
+
 def test_keyed_sessions_equal_the_batch_across_a_restart(spark, tmp_path):
     rows = logons(4, 6, 40)
     path, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
