@@ -324,38 +324,38 @@ def permutation_importance(features: DataFrame, model: IsolationForestModel,
     Every column is permuted as a whole.  Rows are numbered in a pseudorandom order, and
     row i takes the replaced value of each column from row i + s, modulo the rows.  Columns
     are replaced one at a time, so one drawn shift serves them all: a row meets one other
-    row, in one join, and all features are scored in one pass.
+    row, in one join dealt into tasks of about `rows_per_task` rows, and all features are
+    scored in one pass that walks a tree again only where the replaced value turns off.
     """
     spark, width = features.sparkSession, len(names)
     rows = materialise(indexed(features.select("user", "day", "features"), ["user", "day"], p.seed)
                        .select("_idx", "features"), "importance")
     n = rows.count()
     shift = int(np.random.default_rng(p.seed).integers(1, max(2, n)))
+    tasks = n // rows_per_task + 1           # scoring costs far more than the rows weigh
     other = rows.select(F.pmod(F.col("_idx") - shift, F.lit(max(1, n))).alias("_to"),
-                        F.col("features").alias("other"))
-    both = rows.join(other, F.col("_idx") == F.col("_to")).select("features", "other")
+                        F.col("features").alias("other")).repartition(tasks, "_to")
+    # dealt once for the join and the scoring; small files must not pass for a small table
+    both = rows.repartition(tasks, "_idx").hint("merge").join(
+        other, F.col("_idx") == F.col("_to")).select("features", "other")
     shared = spark.sparkContext.broadcast(model.forest())
     low, span = model.score_min, model.score_max - model.score_min + 1e-10
 
     def change(batches):
-        def score(m):
-            return np.clip((1 - (shared.value.raw(m) - low) / span) * 100, 0, 100)
+        def score(raw):
+            return np.clip((1 - (raw - low) / span) * 100, 0, 100)
 
         total, seen = np.zeros(width), 0
         for part in batches:
             if not len(part):
                 continue
-            x, other = np.stack(part["features"].to_numpy()), np.stack(part["other"].to_numpy())
-            base = score(x)
-            seen += len(x)
-            for i in range(width):
-                mixed = x.copy()
-                mixed[:, i] = other[:, i]
-                total[i] += float(np.abs(score(mixed) - base).sum())
+            base, changed = shared.value.raw_replaced(
+                np.stack(part["features"].to_numpy()), np.stack(part["other"].to_numpy()))
+            seen += len(part)
+            total += np.abs(score(changed) - score(base)[:, None]).sum(axis=0)
         yield pd.DataFrame({"position": range(width), "total": total, "n": seen})
 
-    tasks = n // rows_per_task + 1           # scoring costs far more than the rows weigh
-    parts = both.repartition(tasks).mapInPandas(change, "position int, total double, n bigint")
+    parts = both.mapInPandas(change, "position int, total double, n bigint")
     label = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(i), F.lit(name))])
     found = parts.groupBy("position").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("importance")) \
         .select(label[F.col("position")].alias("feature"), "importance").collect()

@@ -84,6 +84,49 @@ class Forest:
             out[start:start + block] = self.length.take(at).mean(axis=1)
         return -np.exp2(-out / self.norm)
 
+    def raw_replaced(self, x: np.ndarray, other: np.ndarray, block: int = 256
+                     ) -> tuple[np.ndarray, np.ndarray]:
+        """`raw` of every row, and of every row with one column taken from `other`, by column.
+
+        A tree is left alone where no node on the row's path decides otherwise for the new
+        value.  Else the changed row leaves the path at the first such node, and only the
+        rest of its way is walked.
+        """
+        trees, width = len(self.roots), x.shape[1]
+        base, changed = np.empty(len(x)), np.empty((len(x), width))
+        for start in range(0, len(x), block):
+            old = np.ascontiguousarray(x[start:start + block]).ravel()
+            new = np.ascontiguousarray(other[start:start + block]).ravel()
+            n = len(old) // width
+            offset = np.repeat(np.arange(n) * width, trees)       # one entry per row and tree
+            at = np.tile(self.roots, n)
+            left = np.zeros(len(at) * width, bool)                # by row, tree and column
+            # rows off the path: which entry, which column, the node reached so far
+            entry, column, place = (np.empty(0, np.int64) for _ in range(3))
+            for _ in range(self.depth):
+                tested, cut = self.feature.take(place), self.threshold.take(place)
+                cell = offset.take(entry) + tested
+                value = np.where(tested == column, new.take(cell), old.take(cell))
+                place = self.child.take(2 * place + (value > cut))
+                tested, cut = self.feature.take(at), self.threshold.take(at)
+                cell = offset + tested
+                right = old.take(cell) > cut
+                turned = np.flatnonzero((new.take(cell) > cut) != right)
+                mark = turned * width + tested.take(turned)
+                first = ~left.take(mark)
+                turned, left[mark] = turned[first], True
+                entry = np.concatenate((entry, turned))
+                column = np.concatenate((column, tested.take(turned)))
+                place = np.concatenate((place, self.child.take(2 * at.take(turned) + ~right.take(turned))))
+                at = self.child.take(2 * at + right)
+            length = self.length.take(at)
+            mean = length.reshape(n, trees).mean(axis=1)
+            more = np.bincount(offset.take(entry) + column, minlength=n * width,
+                               weights=self.length.take(place) - length.take(entry))
+            base[start:start + n] = mean
+            changed[start:start + n] = mean[:, None] + more.reshape(n, width) / trees
+        return -np.exp2(-base / self.norm), -np.exp2(-changed / self.norm)
+
 
 def _flatten(nodes: pd.DataFrame, tree_rows: int) -> Forest:
     nodes = nodes.sort_values(["tree_id", "node_id"], kind="stable").reset_index(drop=True)
@@ -94,7 +137,7 @@ def _flatten(nodes: pd.DataFrame, tree_rows: int) -> Forest:
     return Forest(
         roots=roots.astype("int32"),
         feature=np.maximum(feature, 0).astype("int32"),
-        threshold=nodes["threshold"].to_numpy("float64"),
+        threshold=np.where(feature < 0, np.inf, nodes["threshold"].to_numpy("float64")),
         child=pairs.ravel().astype("int32"),
         length=nodes["depth"].to_numpy() + path_norm(nodes["size"].to_numpy()),
         depth=int(nodes["depth"].max()),

@@ -179,6 +179,35 @@ def test_permutation_importance_equals_shifted_columns(vectors, forest):
     assert got == pytest.approx(want)
 
 
+def test_replaced_columns_are_scored_as_whole_rows(forest):
+    """Against scoring every changed row from its roots, over blocks, ties and far values."""
+    f, rng = forest.forest(), np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 6)) * 2, 1)
+    other = np.where(rng.random(x.shape) < 0.3, x, x[rng.permutation(700)])
+    other[5], other[6] = np.inf, -1e300
+    base, changed = f.raw_replaced(x, other)
+    assert base == pytest.approx(f.raw(x), abs=1e-14)
+    for i in range(6):
+        mixed = x.copy()
+        mixed[:, i] = other[:, i]
+        assert changed[:, i] == pytest.approx(f.raw(mixed), abs=1e-12)
+    assert f.raw_replaced(x[:0], other[:0])[1].shape == (0, 6)
+
+
+def test_importance_meets_rows_in_one_join_without_a_third_shuffle(vectors, forest, monkeypatch):
+    plans, collect = [], type(vectors).collect
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(vectors), "collect", kept)
+    E.permutation_importance(vectors, forest, tuple(f"f{i}" for i in range(6)), P, rows_per_task=50)
+    text = next(x for x in plans if "MapInPandas" in x)
+    assert "Broadcast" not in text and text.count("SortMergeJoin") == 1
+    assert text.count("REPARTITION_BY_NUM") == 2 and text.count("Exchange") == 3   # and the sums
+
+
 def test_empty_training_set_is_refused(vectors):
     for fit in (fit_iforest, fit_recon):
         with pytest.raises(ValueError, match="no training rows"):
