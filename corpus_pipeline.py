@@ -34,8 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # smaller tables of known cuts than the default: workers keep them beside the other stages
-    return pieces.encode_documents(docs, keep=200_000)
+    # smaller tables of known cuts than the default, gone with the task: idle workers would
+    # keep them beside the other stages
+    return pieces.encode_documents(docs, keep=100_000, release=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),

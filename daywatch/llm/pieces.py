@@ -225,8 +225,8 @@ def encoder(path: str | None, keep: int) -> Encoder:
     return _ENCODERS[path, keep]
 
 
-def _batches(batches, path, keep, digest):
-    enc = encoder(path, keep)
+def _batches(batches, path, keep, digest, release=False):
+    enc = Encoder(path, keep) if release else encoder(path, keep)
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -254,15 +254,18 @@ def _sha(text: str) -> str:
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      path: str | None = None, keep: int = 500_000,
-                     digest: bool = False) -> DataFrame:
+                     digest: bool = False, release: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids, decoded (or their SHA-256), n_corrected.
 
     Whole texts; a null or empty text has no ids and decodes to an empty text.  No
     begin or end ids.  A map without a shuffle: rows stay where they are, repeated rows
     and null ids included.  n_corrected counts, on the first row of a batch, the new
     cuts whose ids the library would not give: 0 unless the agenda is wrong.
+
+    A worker process keeps its vocabulary and its table of known cuts for its next task;
+    with `release` both go with the task, for jobs whose other stages use the same workers.
     """
     schema = ("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, "
               "n_corrected int") if digest else SCHEMA
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _batches(it, path, keep, digest), schema)
+    return rows.mapInArrow(lambda it: _batches(it, path, keep, digest, release), schema)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from daywatch.llm import chat, langid, pieces, quality, toxicity
@@ -353,3 +354,17 @@ def test_swap_terms_always_changes_the_term():
     for step in range(200):
         out = toxicity.swap_terms(["all", "women", "and", "jews"], step=step)
         assert out[0] == "all" and out[1] != "women" and out[3] != "jews"
+
+
+def test_released_encoders_go_with_their_task():
+    """The same rows, and nothing left in the worker for the stages that follow."""
+    import gc
+    texts = ["one two three", None, "", "one two\nfour five " * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([t or "" for t in texts])],
+                                       ["doc_id", "text"])
+    pieces._ENCODERS.clear()
+    released = list(pieces._batches(iter([batch]), None, 100, True, True))
+    gc.collect()
+    assert not pieces._ENCODERS and not any(isinstance(x, pieces.Encoder) for x in gc.get_objects())
+    assert released[0].equals(list(pieces._batches(iter([batch]), None, 100, True))[0])
+    assert len(pieces._ENCODERS) == 1
