@@ -309,6 +309,7 @@ def rolling_deviation(t):
 def incremental_deviation(t):
     """The last five days, each from the state that the days before have left."""
     daily = materialise(t.daily(), "daily")
+    t.matrix = with_deviations(daily)        # the batch run starts from the same table
     newest = daily.agg(F.max("day")).first()[0]
     start = F.date_sub(F.lit(newest), 5)
     state, out = materialise(last_rows(daily.filter(F.col("day") <= start)), "state"), []
@@ -956,6 +957,7 @@ def stream_scored_days(t):
     spark, run, target, feed, mark = t.spark, *[scratch_dir(t.spark, n) for n in (
         "run", "scored", "days", "stream-progress")]
     daily = materialise(t.daily(), "daily")
+    t.matrix = with_deviations(daily)        # the batch run starts from the same table
     newest = daily.agg(F.max("day")).first()[0]
     start = F.date_sub(F.lit(newest), 3)
     t.detectors.save(spark, f"{run}/models")

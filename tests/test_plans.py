@@ -121,3 +121,11 @@ def test_a_hot_user_changes_no_result(spark, inputs):
 def test_login_hours_counts_before_the_join(inputs):
     text = plan(E.login_hours(inputs.logon, inputs.truth))
     assert "Exchange hashpartitioning(user" in text
+
+
+def test_stream_and_batch_of_scored_days_start_from_one_table(spark, monkeypatch):
+    """The daily measures are the dearest step: they are computed once for both."""
+    built, daily = [], Inputs.daily
+    monkeypatch.setattr(Inputs, "daily", lambda t, *a, **k: built.append(1) or daily(t, *a, **k))
+    rows = entry.queries()["stream_scored_days"](spark, SF).collect()
+    assert len(built) == 1 and len(rows) == 3 and all(r["rows"] == r["same"] > 0 for r in rows)
