@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from daywatch.functions import columns as C
 from daywatch.params import FEATURES, Params
@@ -27,19 +29,31 @@ class FeaturePrep:
     scale: tuple[float, ...]
     departments: StringIndexerModel
 
-    def clipped(self, raw: DataFrame) -> list:
-        return [F.coalesce(C.clip(F.col(n), lo, hi), F.lit(0.0))
-                for n, lo, hi in zip(self.names, self.low, self.high)]
+    def scaled(self, values: Column) -> Column:
+        """The array of all values clipped, centred and scaled; a null counts as 0 after clipping.
+
+        Written out for every feature, it makes a method that the JVM finds too large to
+        compile, and then runs far slower than this.
+        """
+        low, high, mean, scale = map(np.array, (self.low, self.high, self.mean, self.scale))
+
+        @F.arrow_udf("array<double>")
+        def scale_rows(rows: pa.Array) -> pa.Array:
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, len(low))
+            inside = np.where(np.isnan(x), 0.0, np.minimum(np.maximum(x, low), high))
+            out = ((inside - mean) / scale).ravel()
+            ends = np.arange(0, out.size + 1, len(low), dtype="int32")
+            return pa.ListArray.from_arrays(ends, out)
+
+        return scale_rows(values)
 
     def transform(self, daily: DataFrame) -> DataFrame:
         """user, day, is_train, the descriptive measures and `features`."""
-        raw = encode(daily, self.departments, self.names)
-        scaled = [(x - F.lit(m)) / F.lit(s)
-                  for x, m, s in zip(self.clipped(raw), self.mean, self.scale)]
-        return raw.select("user", "day", (F.col("is_weekend") == 0).alias("is_train"),
-                          *[F.col(f"_{c}").alias(c) if c in self.names else F.col(c)
-                            for c in META],
-                          F.array(*scaled).alias("features"))
+        weekend = F.col("is_weekend")
+        weekend = C.finite(weekend) if "is_weekend" in self.names else weekend
+        return self.departments.transform(daily).select(
+            "user", "day", (weekend == 0).alias("is_train"), *META,
+            self.scaled(values(self.names)).alias("features"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = list(zip(range(len(self.names)), self.names, self.low, self.high,
@@ -66,6 +80,11 @@ def encode(daily: DataFrame, departments: StringIndexerModel,
     return indexed.select(*others, *measured, *[C.finite(F.col(n)).alias(n) for n in names])
 
 
+def values(names: tuple[str, ...]) -> Column:
+    """The same columns of an indexed table as one array; far cheaper than as columns."""
+    return F.array(*[C.finite(F.col(n)) for n in names])
+
+
 def index_departments(daily: DataFrame) -> StringIndexerModel:
     return StringIndexer(inputCol="department", outputCol="dept_encoded",
                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(daily)
@@ -76,7 +95,7 @@ def training_rows(daily: DataFrame) -> DataFrame:
 
 
 def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
-    """Two aggregate rows: limits at mean +- k std, then mean and std after clipping.
+    """Two aggregates: limits at mean +- k std, then mean and std after clipping.
 
     The standard deviation of the limits is the sample one, that of the scale
     the population one; a constant feature is neither clipped nor scaled, also where
@@ -84,21 +103,27 @@ def fit_features(daily: DataFrame, p: Params = Params()) -> FeaturePrep:
     """
     names = (*p.features, "dept_encoded")
     departments = index_departments(daily)
-    raw = encode(daily if p.fit_on == "all" else training_rows(daily), departments, names)
-    first = _moments(raw, [F.col(n) for n in names])
+    rows = departments.transform(daily if p.fit_on == "all" else training_rows(daily))
+    first = _moments(rows.select(*[C.finite(F.col(n)).alias(n) for n in names]),
+                     F.array(*names), len(names))
     inf = float("inf")
     low = tuple(m - p.winsor_sigmas * s if s else -inf for m, s, _ in first)
     high = tuple(m + p.winsor_sigmas * s if s else inf for m, s, _ in first)
-    draft = FeaturePrep(names, low, high, (), (), departments)
-    second = _moments(raw, draft.clipped(raw))
+    clip = FeaturePrep(names, low, high, (0.0,) * len(names), (1.0,) * len(names), departments)
+    second = _moments(rows, clip.scaled(values(names)), len(names))
     return FeaturePrep(names, low, high, tuple(m or 0.0 for m, _, _ in second),
                        tuple(s or 1.0 for _, _, s in second), departments)
 
 
-def _moments(df: DataFrame, cols: list) -> list[tuple]:
-    """(mean, sample std, population std) per column, nulls left out; one aggregate row."""
-    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols)
-                   for n, f in (("m", F.avg), ("s", F.stddev_samp), ("p", F.stddev_pop))]).first()
-    found = [(row[f"m{i}"], row[f"s{i}"], row[f"p{i}"]) for i in range(len(cols))]
+def _moments(df: DataFrame, x: Column, width: int) -> list[tuple]:
+    """(mean, sample std, population std) per position of an array, nulls left out.
+
+    A row per position: as one row, the aggregates have more columns than Spark generates
+    code for.
+    """
+    rows = df.select(F.posexplode(x).alias("at", "v")).groupBy("at").agg(
+        F.avg("v").alias("m"), F.stddev_samp("v").alias("s"), F.stddev_pop("v").alias("p")).collect()
+    found = {at: (m, s, p) for at, m, s, p in rows}
+    found = [found.get(i, (None, None, None)) for i in range(width)]
     return [(m, s, p) if m is None or (p or 0.0) > 1e-12 * abs(m) else (m, 0.0, 0.0)
             for m, s, p in found]

@@ -52,6 +52,7 @@ def user_risk(scored: DataFrame, p: Params = Params(),
         "user", "day", "department", "risk_score", "risk_tier",
         F.row_number().over(user.orderBy("day")).alias("nth"),
         F.count(F.lit(1)).over(user).alias("rows"),
+        (~F.lag("day").over(user.orderBy("day")).eqNullSafe(F.col("day"))).alias("new_day"),
         (F.col("day") >= since).alias("in_window"))
     back = F.col("rows") - F.col("nth")       # 0 = newest row
     score = F.col("risk_score")
@@ -65,7 +66,7 @@ def user_risk(scored: DataFrame, p: Params = Params(),
         F.count_if(inside & (F.col("risk_tier") == "MEDIUM")).alias("medium_risk_days"),
         F.max_by(score, "day").alias("latest_score"),
         F.max("day").alias("latest_day"),
-        F.count_distinct(F.when(inside, F.col("day"))).alias("total_days_active"),
+        F.count_if(inside & F.col("new_day")).alias("total_days_active"),
         F.min_by("department", F.when(F.col("department").isNotNull(), F.col("day")))
          .alias("department"),
         F.max("rows").alias("rows"),

@@ -273,6 +273,27 @@ def test_unseen_department_is_kept(daily):
     assert len(prep.transform(new).first().features) == len(NAMES)
 
 
+def test_a_feature_is_a_row_of_the_fit_and_a_position_of_the_scaling(daily, monkeypatch):
+    wide, kind = [], type(daily)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: wide.append(len(df.columns)) or collect(df))
+    prep = fit_features(daily)
+    assert wide and max(wide) < 10        # beyond a hundred, Spark generates no code
+    text = prep.transform(daily)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in text and "greatest" not in text
+
+
+def test_features_of_nulls_and_of_no_rows(daily):
+    holes = daily.withColumn("login_count", F.lit(None).cast("double"))
+    prep = fit_features(holes)
+    at = NAMES.index("login_count")
+    assert (prep.mean[at], prep.scale[at]) == (0.0, 1.0)
+    assert {r.features[at] for r in prep.transform(holes).collect()} == {0.0}
+    none = fit_features(daily.filter("is_weekend = 1"), Params(fit_on="train"))
+    assert set(none.mean) == {0.0} and set(none.scale) == {1.0}
+    assert prep.transform(daily.filter("false")).count() == 0
+
+
 # ---- evaluation --------------------------------------------------------------
 
 def labelled(spark, rows):

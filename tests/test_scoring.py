@@ -65,6 +65,15 @@ def test_user_risk_and_trend(spark):
         (72, 1, 1, "HR")
 
 
+def test_days_are_counted_once_in_one_aggregation(spark):
+    s = scored(spark, {"a": [(1, 9, "IT"), (1, 8, "IT"), (0, 7, "IT"), (40, 7, "IT")]})
+    s = s.unionByName(s.limit(1).withColumn("day", F.lit(None).cast("date")))
+    risk_table = user_risk(s, as_of=D)
+    assert risk_table.first().total_days_active == 2
+    text = risk_table._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Aggregate(") == 2      # before and after the grouping, no distinct one
+
+
 def test_as_of_and_order(spark):
     df = scored(spark, {"a": [(0, 50, "x")], "b": [(0, 60, "x")], "c": [(0, 60, "x")]})
     assert [r.user for r in by_risk(user_risk(df, as_of=D)).collect()] == ["b", "c", "a"]
